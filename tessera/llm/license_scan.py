@@ -43,7 +43,7 @@ TEMPLATES = (
     ("gpl", "spdx license identifier <<beginOptional>>l<<endOptional>> <<beginOptional>>a<<endOptional>> gpl <<var;max=4>>"),
 )
 #: Every template's mandatory wording holds one of these, so texts without them need no automaton.
-TRIGGERS = (b"license", b"permission", b"redistribution")
+TRIGGERS = (b"license", b"licensed", b"permission", b"redistribution")
 
 _CLASSES = bytearray(b" " * 256)
 _CLASSES[0x30:0x3A] = b"0123456789"
