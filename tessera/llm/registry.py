@@ -7,11 +7,13 @@ from tessera.llm.license_scan import op10
 from tessera.llm.quality_rules import op5
 from tessera.llm.token_files import op6
 from tessera.llm.url_filter import op9
+from tessera.llm.warc import op8
 
 QUERIES = {
     "op1_html_extraction": op1,
     "op5_quality_rules": op5,
     "op6_token_ids": op6,
+    "op8_warc": op8,
     "op9_url_filter": op9,
     "op10_license_scan": op10,
 }
