@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.html_extract import op1
 from tessera.llm.license_scan import op10
+from tessera.llm.mixing import op3
 from tessera.llm.quality_rules import op5
 from tessera.llm.token_files import op6
 from tessera.llm.url_filter import op9
@@ -11,6 +12,7 @@ from tessera.llm.warc import op8
 
 QUERIES = {
     "op1_html_extraction": op1,
+    "op3_mixing": op3,
     "op5_quality_rules": op5,
     "op6_token_ids": op6,
     "op8_warc": op8,
