@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.html_extract import op1
 from tessera.llm.license_scan import op10
 from tessera.llm.mixing import op3
+from tessera.llm.ngram_jaccard import op7
 from tessera.llm.quality_rules import op5
 from tessera.llm.token_files import op6
 from tessera.llm.url_filter import op9
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_mixing": op3,
     "op5_quality_rules": op5,
     "op6_token_ids": op6,
+    "op7_ngram_jaccard": op7,
     "op8_warc": op8,
     "op9_url_filter": op9,
     "op10_license_scan": op10,
