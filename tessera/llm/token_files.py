@@ -24,6 +24,7 @@ matter; an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -47,88 +48,69 @@ BLOCK_IDS = 1 << 17
 FOOTER = struct.Struct("<QQQIQQ4s")
 ENTRY = struct.Struct(f"<QI{PLANES}I")
 END_ID = 2
-#: Cuts of a text that are kept with their ids in each worker.
-MEMO_CUTS = 1_000_000
+#: Pre-tokens that each worker keeps with their ids.
+MEMO_PIECES = 1_500_000
 
 
-class _Both(dict):
-    """A dict that turns to another one for what it lacks."""
+#: The pre-tokens of a byte-level BPE for texts of letters, decimal digits, white space and what is none of these.
+_FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
 
-    def __init__(self, own: dict, other: dict) -> None:
-        super().__init__(own)
-        self.other = other
 
-    def __missing__(self, key):
-        return self.other[key]
+def _unsure(piece: str) -> bool:
+    """Whether a pre-token holds characters that re classes otherwise than Unicode does."""
+    if piece.isascii():
+        return not _CONTROLS.isdisjoint(piece)
+    return any(c in _CONTROLS or (c.isalnum() and not c.isalpha() and not c.isdecimal()) for c in piece)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level BPE: printable ones stand for themselves, the rest
+    take code points from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
-    """The tokenizers library over cuts of a text, each distinct cut encoded once a worker.
+    """The tokenizers library, with each distinct pre-token of a worker encoded once by its model.
 
-    A byte-level BPE never merges across its pre-tokens, and a single space after a character that
-    isn't white space always starts one. So a text may be cut before such spaces, and the ids of
-    the cuts joined are the ids of the text. Special tokens' names in a text are ordinary text.
+    A byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
+    pre-tokens, joined. Special tokens' names in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.exact = regex.compile(public_tokenizers.PATTERN)
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
-        self.line_break = self.tokenizer.encode("a\na", add_special_tokens=False).ids[1]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def cuts(text: str) -> list[str]:
-        """Parts that joined by a space are the text; each part but the last ends in no white space."""
-        parts = text.split(" ")
-        if not any(p == "" or p[-1].isspace() for p in parts[:-1]):
-            return parts
-        out, held = [], []
-        for p in parts[:-1]:
-            held.append(p)
-            if p and not p[-1].isspace():
-                out.append(" ".join(held))
-                held = []
-        out.append(" ".join([*held, parts[-1]]))
-        return out
-
-    def _encode_cuts(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part after a space. Parts go to the library in lines of one text, as a line
-        break between characters that aren't white space is a pre-token and an id of its own."""
-        lines = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace() and "\n" not in p]
-        out: dict[str, bytes] = {}
-        if lines:
-            ids = np.array(self.tokenizer.encode(" " + "\n ".join(lines), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.line_break)
-            if len(ends) == len(lines) - 1:
-                raw, at = ids.tobytes(), 0
-                for p, end in zip(lines, [*(4 * ends).tolist(), len(raw)], strict=True):
-                    out[p] = raw[at:end]
-                    at = end + 4
-        rest = [p for p in parts if p not in out]
-        out.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
-        return [out[p] for p in parts]
+
+    def _ids(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.cuts(t) if t else [] for t in texts]
-        firsts = [c[0] for c in cut if c]
+        pieces = [_FAST.findall(t) if t else [] for t in texts]
         memo = self.memo
-        new = list({p for c in cut for p in c[1:] if p not in memo})
-        known = memo
-        if new:
-            fresh = dict(zip(new, self._encode_cuts(new), strict=True))
-            if len(memo) + len(fresh) <= MEMO_CUTS:
-                memo.update(fresh)
-            else:  # full: rarer cuts are encoded again where they return
-                known = _Both(fresh, memo)
-        heads = iter(self._encode(firsts))
-        get = known.__getitem__
-        return [next(heads) + b"".join(map(get, c[1:])) if c else b"" for c in cut]
+        new = set().union(*pieces).difference(memo)
+        unsure = {p for p in new if _unsure(p)}
+        if unsure:
+            pieces = [p if unsure.isdisjoint(p) else self.exact.findall(t) for p, t in zip(pieces, texts, strict=True)]
+            new = set().union(*pieces).difference(memo)
+        fresh = {p: self._ids(p) for p in new}
+        if len(memo) + len(fresh) <= MEMO_PIECES:
+            memo.update({p: ids for p, ids in fresh.items() if p not in unsure})
+        get = memo.__getitem__
+        if any(p not in memo for p in fresh):  # full, or unsure: encoded again where they return
+            get = lambda p: memo[p] if p in memo else fresh[p]
+        return [b"".join(map(get, p)) for p in pieces]
 
 
 @lru_cache(maxsize=4)
