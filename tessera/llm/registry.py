@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op4
 from tessera.llm.html_extract import op1
 from tessera.llm.license_scan import op10
 from tessera.llm.mixing import op3
@@ -14,6 +15,7 @@ from tessera.llm.warc import op8
 QUERIES = {
     "op1_html_extraction": op1,
     "op3_mixing": op3,
+    "op4_decontamination": op4,
     "op5_quality_rules": op5,
     "op6_token_ids": op6,
     "op7_ngram_jaccard": op7,
