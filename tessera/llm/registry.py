@@ -8,12 +8,14 @@ from tessera.llm.license_scan import op10
 from tessera.llm.mixing import op3
 from tessera.llm.ngram_jaccard import op7
 from tessera.llm.quality_rules import op5
+from tessera.llm.quote_links import OP2_SQL, op2
 from tessera.llm.token_files import op6
 from tessera.llm.url_filter import op9
 from tessera.llm.warc import op8
 
 QUERIES = {
     "op1_html_extraction": op1,
+    "op2_chat_formatting": op2,
     "op3_mixing": op3,
     "op4_decontamination": op4,
     "op5_quality_rules": op5,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_url_filter": op9,
     "op10_license_scan": op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
