@@ -162,6 +162,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, block_words:
     return taken.select(*rest, "taken").unionByName(none)
 
 
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """The rows of docs (doc_id, text, source, ...) that the mix takes, each as often as it takes them.
+
+    A source's last document may be taken in part; it comes whole. Texts are shuffled once, to meet
+    the number of their copies.
+    """
+    from tessera.llm.ngram_jaccard import row_keys
+
+    narrow = cut(docs.select("doc_id", "source", word_count("text").alias("size"), *row_keys()))
+    taken = mix(narrow.withColumnRenamed("key_a", "text_key"), weights, most).where("taken > 0")
+    copies = taken.groupBy(F.col("text_key").alias("key_a"), "key_b").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies_"))
+    once = docs.select("*", *row_keys()).join(copies, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    return once.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     from tessera.session import table

@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,19 +279,42 @@ def class_links(sets: DataFrame) -> DataFrame:
     return links.unionByName(verify(rest, sets))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, sig and sig2 of every row of docs (doc_id, text)."""
-    rows = cut(docs.select("doc_id", set_signature("text").alias("s")).select("doc_id", "s.*"))
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """128 bits of a row's id and text, by which it is found again without its text."""
+    known = (F.coalesce(doc_id, F.lit(-1)), F.col(doc_id).isNull(), F.coalesce(text, F.lit("")), F.col(text).isNull())
+    return [F.xxhash64(*known, F.lit(seed)).alias(name) for name, seed in (("key_a", 7), ("key_b", 11))]
+
+
+def components(docs: DataFrame, keys: list[Column] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and group of every row of docs (doc_id, text), with keys.
+
+    group names a component whatever the ids are; it is null for rows that link with nothing.
+    """
+    keys = keys or []
+    rows = cut(docs.select("doc_id", *keys, set_signature("text").alias("s")).select("*", "s.*").drop("s"))
+    extra = [c for c in rows.columns if c.startswith("key_")]
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = cut(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("first_")))
     links = cut(class_links(cut(shared_sets(docs, total))))
     roots = connected_components(links).withColumnRenamed("node", "sig")
     joined = classes.join(roots, "sig")
-    named = joined.join(joined.groupBy("root").agg(F.min("first_").alias("smallest_")), "root").select("sig", "sig2", "n", "smallest_")
-    found = classes.join(named, ["sig", "sig2", "n"], "left").select("sig", "sig2", "n", F.coalesce("smallest_", "first_").alias("component_id"))
+    named = joined.join(joined.groupBy("root").agg(F.min("first_").alias("smallest_")), "root").select("sig", "sig2", "n", "smallest_", "root")
+    found = classes.join(named, ["sig", "sig2", "n"], "left").select("sig", "sig2", "n", F.coalesce("smallest_", "first_").alias("component_id"), F.when(F.col("root").isNull(), F.struct(F.col("sig").alias("root"), "sig2")).otherwise(F.struct("root", F.lit(0).cast("long").alias("sig2"))).alias("group"))
     some = rows.where("n > 0").join(found, ["sig", "sig2", "n"])
-    none = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sig", "sig2")
+    none = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "group": F.lit(None).cast("struct<root:bigint,sig2:bigint>")})
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", *extra)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without all but one document, that of the smallest id, of each component.
+
+    Rows that link with nothing stay, but for repeated rows with the same id and text.
+    """
+    found = components(docs, row_keys())
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key_a", "key_b")).alias("best")
+    chosen = found.where("group is not null").groupBy("group").agg(best).select("best.key_a", "best.key_b")
+    chosen = chosen.unionByName(found.where("group is null").select("key_a", "key_b").distinct())
+    return docs.select("*", *row_keys()).join(chosen, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
