@@ -228,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
     order = F.xxhash64("doc_id", F.lit(17))
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("label_")).orderBy(order, "doc_id", "label_").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label_", text_statistics("text").alias("s_"))
-    rows = rows.where(~base_failed("s_")).select(order.alias("h_"), "label_", *(feature("s_", f).alias(f) for f in FEATURES))
+    # the base rule is applied after the limit: as a filter Spark would move it, with the measuring, below the join
+    rows = rows.select(order.alias("h_"), "label_", base_failed("s_").alias("failed_"), *(feature("s_", f).alias(f) for f in FEATURES))
     got = rows.orderBy("h_", "label_", *FEATURES).limit(sample_rows).toPandas()
+    got = got[~got["failed_"].astype(bool)]
     if got.empty:
         return []
     return learn(got[list(FEATURES)].to_numpy(dtype=float), (got["label_"] == 0).to_numpy())
