@@ -28,16 +28,17 @@ empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small_batches
 from tessera.llm.graph import connected_components
 from tessera.session import cut, shuffle_partitions
 
@@ -46,14 +47,22 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Shingles in a part, about, and in a batch of a map task.
 PART_SHINGLES = 2_000_000
-BATCH_SHINGLES = 2_000_000
-MEMO_WORDS = 500_000
+BATCH_SHINGLES = 1_000_000
 #: Seeds of the orders by hash.
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
+#: Bytes of text that are hashed at once.
+PIECE_BYTES = 1 << 20
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S29, _S32 = np.uint64(29), np.uint64(32)
-_words: dict[bytes, bytes] = {}
+_BASE = 0xC2B2AE3D27D4EB4F
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers: dict[int, np.ndarray] = {}
 
 
 def _mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -64,26 +73,73 @@ def _mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.array([], dtype=np.uint64)
-    known = _words
-    new = set(words).difference(known)
-    if len(known) + len(new) > MEMO_WORDS:
-        known.clear()
-        new = set(words)
-    for w in new:
-        known[w] = xxhash.xxh3_64_digest(w)
-    h = np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.uint64)
-    width = min(SHINGLE, len(h))
-    out = h[: len(h) - width + 1] + np.uint64(width)
-    for k in range(1, width):
-        out = out * _M1
-        out ^= out >> _S29
-        out = out + h[k : len(h) - width + 1 + k]
-    return np.unique(_mix(out))
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers of a base modulo 2**64, from 0 to n - 1."""
+    if len(_powers.get(base, ())) < n:
+        factors = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        factors[0] = 1
+        _powers[base] = np.multiply.accumulate(factors)
+    return _powers[base][:n]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of data (bytes with white space last) begins, and its 64-bit hash.
+
+    A word's hash is its polynomial in the base, taken from running sums over all bytes, divided by
+    the power at its begin (the base is odd, so it has an inverse), then mixed.
+    """
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    begin, end = edge[0::2], edge[1::2]
+    n = len(data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=total[1:])
+    return begin, _mix((total[end] - total[begin]) * _power(_INVERSE, n)[begin])
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles."""
+    raw, held = [], 0
+    for text in texts:
+        raw.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        held += len(raw[-1])
+        if held >= PIECE_BYTES:
+            yield from _piece_sets(raw)
+            raw, held = [], 0
+    if raw:
+        yield from _piece_sets(raw)
+
+
+def _piece_sets(raw: list[bytes]) -> Iterator[np.ndarray]:
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    begin, words = word_hashes(np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8))
+    cuts = np.searchsorted(begin, ends)
+    full = words + np.uint64(SHINGLE)
+    for k in range(1, SHINGLE):
+        full = full[: len(full) - 1] if len(full) > max(0, len(words) - k) else full
+        full = full * _M1
+        full ^= full >> _S29
+        full = full + words[k : k + len(full)]
+    full = _mix(full)
+    low = 0
+    for high in cuts.tolist():
+        n = high - low
+        yield np.unique(full[low : high - SHINGLE + 1]) if n >= SHINGLE else _short(words[low:high])
+        low = high
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle; none without words."""
+    if not len(words):
+        return words
+    h = words[:1] + np.uint64(len(words))
+    for k in range(1, len(words)):
+        h = h * _M1
+        h ^= h >> _S29
+        h = h + words[k]
+    return _mix(h)
 
 
 def signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -94,10 +150,7 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sig2", T.LongType())]))
 def set_signature(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        tokens = shingle_set(t)
-        rows.append((len(tokens), *signature(tokens)))
+    rows = [(len(tokens), *signature(tokens)) for tokens in shingle_sets(texts)]
     return pd.DataFrame(rows, columns=["n", "sig", "sig2"], dtype="int64")
 
 
@@ -160,8 +213,7 @@ def _deal(parts: int):
         sets: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingle_set(text)
+            for tokens in shingle_sets(batch.column(0).to_pylist()):
                 if len(tokens):
                     sig = signature(tokens)[0]
                     if sig not in sets:
@@ -227,56 +279,100 @@ def shared_sets(docs: DataFrame, total: int) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """sig, n and token for each prefix token under the order by frequency."""
+    """For each prefix token under the order by frequency: sig, n, shared, token and its place at.
+
+    score tells how central a set is: the frequencies of its shingles, summed, by its size.
+    """
     each = sets.select("sig", "n", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, "token").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    rarity = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    rare = each.join(rarity, "token", "left").select("sig", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("x"))
+    ordered = rare.groupBy("sig", "n").agg(F.array_sort(F.collect_list("x")).alias("order"))
     least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
     prefix = F.slice("order", 1, F.greatest(F.size("order") - least + 1, F.lit(0)).cast("int"))
-    return ordered.select("sig", "n", F.explode(prefix).alias("p")).select("sig", "n", F.col("p.token").alias("token"), F.col("p.df").alias("df")).where("df > 1")
-
+    score = F.aggregate("order", F.lit(0).cast("long"), lambda total, x: total + x.df) / F.col("n")
+    placed = ordered.select("sig", "n", F.size("order").alias("shared"), score.alias("score"), F.posexplode(prefix).alias("at", "x")).where("x.df > 1")
+    return placed.select("sig", "n", "shared", "score", "at", F.col("x.token").alias("token"))
 
-@F.pandas_udf(T.BooleanType())
-def linked(xs: pd.Series, ys: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-    """Whether two sets link: prefixes under the orders by hash first, then the overlap."""
 
-    def test(x, y, total: int) -> bool:
-        least = least_overlap(total)
-        if min(len(x), len(y)) < least:
+def _shares_prefixes(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    """Whether the prefixes of two sets have a shingle in common under each order by hash."""
+    for seed in ORDERS:
+        hx, hy = _mix(x, seed), _mix(y, seed)
+        px, py = np.partition(hx, len(x) - least)[: len(x) - least + 1], np.partition(hy, len(y) - least)[: len(y) - least + 1]
+        if not len(np.intersect1d(px, py, assume_unique=True)):
             return False
-        x, y = np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64)
-        for seed in ORDERS:
-            hx, hy = _mix(x, seed), _mix(y, seed)
-            px, py = np.partition(hx, len(x) - least)[: len(x) - least + 1], np.partition(hy, len(y) - least)[: len(y) - least + 1]
-            if not len(np.intersect1d(px, py, assume_unique=True)):
-                return False
-        return len(np.intersect1d(x, y, assume_unique=True)) >= least
+    return True
 
-    return pd.Series([test(x, y, int(a) + int(b)) for x, y, a, b in zip(xs, ys, nx, ny, strict=True)], dtype=bool)
 
+@F.pandas_udf(T.StructType([T.StructField("overlap", T.LongType()), T.StructField("links", T.BooleanType())]))
+def compare(xs: pd.Series, ys: pd.Series, totals: pd.Series, always: pd.Series) -> pd.DataFrame:
+    """Whether two sets link, and their overlap.
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+    Prefixes under the orders by hash come first; where they rule a link out, the overlap is only
+    counted if it is wanted ``always``, and else null.
+    """
+    rows = []
+    for x, y, total, wanted in zip(xs, ys, totals, always, strict=True):
+        x, y = np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64)
+        least = least_overlap(int(total))
+        candidates = min(len(x), len(y)) >= least and _shares_prefixes(x, y, least)
+        overlap = len(np.intersect1d(x, y, assume_unique=True)) if candidates or wanted else None
+        rows.append((overlap, candidates and overlap >= least))
+    return pd.DataFrame(rows, columns=["overlap", "links"]).astype({"overlap": "Int64", "links": bool})
+
+
+def verify(pairs: DataFrame, sets: DataFrame, always: bool = False) -> DataFrame:
+    """pairs (a, b) with overlap and links."""
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(linked("ta", "tb", "na", "nb")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", compare("ta", "tb", F.col("na") + F.col("nb"), F.lit(always)).alias("c")).select("a", "b", "c.*")
+
+
+def forget(spark) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    They would stay until the driver's JVM happens to collect its garbage, beside those of the next steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def class_links(sets: DataFrame) -> DataFrame:
-    """Links that connect all linked classes; not all pairs within a group, but its whole component."""
+    """Links that connect all linked classes; not all pairs within a group, but its whole component.
+
+    In a bucket of a prefix token all members are compared with one pivot, the most central of them.
+    Then only pairs of different components are left, and of these only such that
+
+    * the overlaps with the pivot leave room: what two sets share is shared with the pivot too, or
+      outside of it;
+    * the token is in the prefixes that the least overlap of these two sets leaves, which are shorter
+      than those for any partner.
+    """
     prefixes = cut(rare_prefixes(sets))
+    forget(sets.sparkSession)
     alike = lambda a, b: (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
-    pivots = prefixes.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    first = prefixes.join(pivots, "token").where((F.col("sig") != F.col("pivot.sig")) & alike(F.col("n"), F.col("pivot.n")))
-    links = cut(verify(first.select(F.col("sig").alias("a"), F.col("pivot.sig").alias("b")).distinct(), sets))
+    pivots = prefixes.groupBy("token").agg(F.max(F.struct("score", "sig", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    members = prefixes.join(pivots.select("token", F.col("pivot.sig").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "token")
+    first = members.where((F.col("sig") != F.col("pivot")) & alike(F.col("n"), F.col("pivot_n")))
+    compared = cut(verify(first.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), sets, always=True))
+    links = compared.where("links").select("a", "b")
     roots = connected_components(links)
-    placed = prefixes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
+
+    placed = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_to = placed.join(mixed, "token")
+    known = compared.select(F.col("a").alias("sig"), F.col("b").alias("pivot"), "overlap")
+    open_to = placed.join(mixed, "token").join(known, ["sig", "pivot"], "left")
+    # a set shares all of itself with itself; with a pivot of another size, anything
+    open_to = open_to.withColumn("with_pivot", F.when(F.col("sig") == F.col("pivot"), F.col("shared")).otherwise(F.col("overlap")))
+    open_to = open_to.select("token", "sig", "n", "root", "shared", "at", "with_pivot")
     x, y = open_to.alias("x"), open_to.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root"))).where(alike(F.col("x.n"), F.col("y.n")))
-    rest = pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    return links.unionByName(verify(rest, sets))
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    in_prefixes = (F.col("x.at") <= F.col("x.shared") - least) & (F.col("y.at") <= F.col("y.shared") - least)
+    pivot_most = F.least("x.with_pivot", "y.with_pivot") + F.least(F.col("x.shared") - F.col("x.with_pivot"), F.col("y.shared") - F.col("y.with_pivot"))
+    roomy = in_prefixes & (F.col("x.with_pivot").isNull() | F.col("y.with_pivot").isNull() | (pivot_most >= least))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")) & roomy)
+    common = pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    return links.unionByName(verify(common, sets).where("links").select("a", "b"))
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
@@ -291,11 +387,14 @@ def components(docs: DataFrame, keys: list[Column] | None = None) -> DataFrame:
     group names a component whatever the ids are; it is null for rows that link with nothing.
     """
     keys = keys or []
+    small_batches(docs.sparkSession)
     rows = cut(docs.select("doc_id", *keys, set_signature("text").alias("s")).select("*", "s.*").drop("s"))
     extra = [c for c in rows.columns if c.startswith("key_")]
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = cut(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("first_")))
-    links = cut(class_links(cut(shared_sets(docs, total))))
+    sets = cut(shared_sets(docs, total))
+    forget(docs.sparkSession)
+    links = cut(class_links(sets))
     roots = connected_components(links).withColumnRenamed("node", "sig")
     joined = classes.join(roots, "sig")
     named = joined.join(joined.groupBy("root").agg(F.min("first_").alias("smallest_")), "root").select("sig", "sig2", "n", "smallest_", "root")

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small_batches
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_exclaim", "n_digits")
 RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
@@ -239,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
 
 def judge(docs: DataFrame, rules: list[Rule], stats: str = "stats_") -> DataFrame:
     """The rows of docs with the struct of counts, base_failed_ and kept_."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn(stats, text_statistics("text"))
     failed = base_failed(stats)
     return out.withColumns({"base_failed_": failed, "kept_": F.when(failed, F.lit(False)).otherwise(verdict(rules, stats))})

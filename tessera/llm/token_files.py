@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small_batches
 from tessera.llm.files import open_input, open_output
 from tessera.session import shared_dir, shuffle_partitions
 
@@ -49,7 +50,7 @@ FOOTER = struct.Struct("<QQQIQQ4s")
 ENTRY = struct.Struct(f"<QI{PLANES}I")
 END_ID = 2
 #: Pre-tokens that each worker keeps with their ids.
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 1_000_000
 
 
 #: The pre-tokens of a byte-level BPE for texts of letters, decimal digits, white space and what is none of these.
@@ -246,6 +247,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.js
 
     The listing has one entry a file, so its size is that of the partitioning, not of the data.
     """
+    small_batches(docs.sparkSession)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
