@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import benchmarks, cache, corpus, prompts, retrieval
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (retrieval, corpus, prompts, cache, benchmarks):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -75,7 +75,7 @@ def trace(spark: SparkSession, sf_dir: str, caches: int = 16) -> DataFrame:
     """
     events = table(spark, sf_dir, "events")
     modality = F.when(F.col("event_type").isin("view", "click"), "visual").otherwise("text")
-    seq = F.unix_micros("ts") * 1024 + F.pmod("event_id", F.lit(1024))
+    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 1024 + F.pmod("event_id", F.lit(1024))
     block = F.substring(F.sha2(F.concat(modality, F.lit(":"), F.col("user_id").cast("string")), 256), 1, 32)
     return events.select(F.pmod("user_id", F.lit(caches)).alias("cache_id"), seq.alias("seq"), "ts", "event_id", modality.alias("modality"), block.alias("block_id"), "user_id", "event_type", "value")
 
