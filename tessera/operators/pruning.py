@@ -21,15 +21,20 @@ def crop_mask(sides: DataFrame, threshold: float) -> DataFrame:
     return grid.withColumn("kept", in_center(F.col("patch_row"), F.col("patch_col"), side, side, threshold))
 
 
-def pruned_ids(ids: Column, threshold: float) -> Column:
-    """The ids whose patch is kept on the largest square grid; all of them if none or all are."""
-    side = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(ids).cast("double"))).cast("int"))
+def prune_ids(df: DataFrame, ids: str, threshold: float, name: str = "kept_ids") -> DataFrame:
+    """df with the ids whose patch is kept on the largest square grid; all of them if none or all are.
+
+    The grid's side is a column of its own, so that the filter reads it instead of working it out
+    for every id.
+    """
+    n = F.size(ids)
+    gridded = df.withColumns({"side_": F.greatest(F.lit(1), F.floor(F.sqrt(n.cast("double"))).cast("int")), "placed_": F.transform(ids, lambda x, i: F.struct(x.alias("id"), i.alias("at")))})
+    side = F.col("side_")
     wide = side.cast("double")
-    # (id, place) pairs carry the place, since the mask is a function of it
-    placed = F.arrays_zip(ids.alias("id"), F.sequence(F.lit(0), F.size(ids) - 1).alias("at"))
-    kept = F.filter(placed, lambda x: (x["at"] < side * side) & in_center(F.floor(x["at"] / side), F.pmod(x["at"], side), wide, wide, threshold))
-    none = (F.size(kept) == 0) | (F.size(kept) == F.size(ids)) | (F.size(ids) <= 0)
-    return F.when(none, ids).otherwise(F.transform(kept, lambda x: x["id"]))
+    kept = F.filter("placed_", lambda x: (x["at"] < side * side) & in_center(F.floor(x["at"] / side), F.pmod(x["at"], side), wide, wide, threshold))
+    pruned = gridded.withColumn("pruned_", kept)
+    whole = (F.size("pruned_") == 0) | (F.size("pruned_") == n)
+    return pruned.withColumn(name, F.when(whole, F.col(ids)).otherwise(F.col("pruned_.id"))).drop("side_", "placed_", "pruned_")
 
 
 def combine_masks(pixels: DataFrame, whole: float = 0.8) -> DataFrame:

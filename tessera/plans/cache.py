@@ -97,9 +97,9 @@ def center_crop_mask(spark, sf_dir: str) -> DataFrame:
 
 
 def prune_tokens(spark, sf_dir: str) -> DataFrame:
-    n = F.greatest(F.lit(1), X.token_count("text").cast("int"))
-    kept = G.pruned_ids(F.sequence(F.lit(0), n - 1), 0.3)
-    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("num_tokens"), F.size(kept).cast("long").alias("kept"), F.md5(X.ids_text(kept)).alias("ids_md5"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1), X.token_count("text").cast("int")).alias("n"))
+    pruned = G.prune_ids(sized.withColumn("ids", F.sequence(F.lit(0), F.col("n") - 1)), "ids", 0.3)
+    return pruned.select("doc_id", F.col("n").cast("long").alias("num_tokens"), F.size("kept_ids").cast("long").alias("kept"), F.md5(X.ids_text(F.col("kept_ids"))).alias("ids_md5"))
 
 
 def mask_combine(spark, sf_dir: str) -> DataFrame:
