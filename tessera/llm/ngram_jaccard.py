@@ -286,11 +286,11 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
     each = sets.select("sig", "n", F.explode("tokens").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rare = each.join(rarity, "token", "left").select("sig", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("x"))
-    ordered = rare.groupBy("sig", "n").agg(F.array_sort(F.collect_list("x")).alias("order"))
+    # sizes and sums are aggregated beside the list, so that only the prefix needs the sorted one
+    ordered = rare.groupBy("sig", "n").agg(F.sort_array(F.collect_list("x")).alias("order"), F.count("*").alias("shared"), (F.sum("x.df") / F.first("n")).alias("score"))
     least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    prefix = F.slice("order", 1, F.greatest(F.size("order") - least + 1, F.lit(0)).cast("int"))
-    score = F.aggregate("order", F.lit(0).cast("long"), lambda total, x: total + x.df) / F.col("n")
-    placed = ordered.select("sig", "n", F.size("order").alias("shared"), score.alias("score"), F.posexplode(prefix).alias("at", "x")).where("x.df > 1")
+    prefix = F.slice("order", 1, F.greatest(F.col("shared") - least + 1, F.lit(0)).cast("int"))
+    placed = ordered.select("sig", "n", "shared", "score", F.posexplode(prefix).alias("at", "x")).where("x.df > 1")
     return placed.select("sig", "n", "shared", "score", "at", F.col("x.token").alias("token"))
 
 
