@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch; texts are some kilobytes each, so a batch is some megabytes.
@@ -11,3 +15,10 @@ ROWS = 1000
 def small_batches(spark: SparkSession) -> None:
     """Bound what a worker holds of texts at once; Spark's default of rows a batch is ten times that."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system; workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.batches import small_batches
+from tessera.llm.batches import small_batches, tidy
 from tessera.llm.files import open_input, open_output
 from tessera.session import shared_dir, shuffle_partitions
 
@@ -50,7 +50,7 @@ FOOTER = struct.Struct("<QQQIQQ4s")
 ENTRY = struct.Struct(f"<QI{PLANES}I")
 END_ID = 2
 #: Pre-tokens that each worker keeps with their ids.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 
 
 #: The pre-tokens of a byte-level BPE for texts of letters, decimal digits, white space and what is none of these.
@@ -264,6 +264,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.js
                 writer.add([None if n else int(k) for k, n in zip(part["doc_id"], part["null_"], strict=True)], [e + end for e in known.encode(texts)])
         if writer is not None:
             writer.finish()
+            tidy()
             yield pd.DataFrame([(shard, path, sum(map(len, writer.sizes)), writer.ids)], columns=LISTING.names)
 
     n = files or shuffle_partitions(docs.sparkSession)
