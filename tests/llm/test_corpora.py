@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,7 +229,7 @@ def test_archives_round_trip(spark, pages):
 
 
 def test_archive_filters_are_pushed_down(spark, pages):
-    folder = f"{shared_dir(spark)}/warc-test"
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(pages, folder)
     revisits = warc.read(spark, folder).where("record_type = 'revisit'")
     assert "record_type = revisit" not in revisits._jdf.queryExecution().executedPlan().toString()
