@@ -67,6 +67,7 @@ class _Lines(HTMLParser):
         self.links = 0
         self.in_link = False
         self.in_article = 0
+        self.held: list[tuple[int, list[str], int]] = []  # lines around inline elements that are skipped
 
     def _flush(self) -> None:
         if self.text:
@@ -147,7 +148,6 @@ class _Lines(HTMLParser):
 
     def _flush_before_skipped(self) -> None:
         """Inline elements that are skipped leave the line around them whole."""
-        self.held = getattr(self, "held", [])
         self.held.append((len(self.stack), self.text, self.links))
         self.text, self.links = [], 0
 
@@ -164,9 +164,8 @@ class _Lines(HTMLParser):
         if tag == "a":
             self.in_link = False
         if tag in INLINE_NEVER:
-            held = getattr(self, "held", [])
-            if held and any(t == tag for t, _, _ in self.stack[held[-1][0] :]):
-                depth, text, links = held.pop()
+            if self.held and any(t == tag for t, _, _ in self.stack[self.held[-1][0] :]):
+                depth, text, links = self.held.pop()
                 self._pop(depth)
                 self.text, self.links = text, links
             return
@@ -174,7 +173,7 @@ class _Lines(HTMLParser):
             self._flush()
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == tag:
-                    while getattr(self, "held", []) and self.held[-1][0] >= k:
+                    while self.held and self.held[-1][0] >= k:
                         self.held.pop()
                     self._pop(k)
                     return
@@ -188,7 +187,7 @@ class _Lines(HTMLParser):
 
     def finish(self) -> None:
         self.close()
-        for _, text, _ in reversed(getattr(self, "held", [])):
+        for _, text, _ in reversed(self.held):
             self.stack, self.text = [], text + self.text
         self._flush()
 
