@@ -29,6 +29,7 @@ empty result.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.batches import small_batches
+from tessera.llm.batches import small_batches, tidy
 from tessera.llm.graph import connected_components
 from tessera.session import cut, shuffle_partitions
 
@@ -224,6 +225,8 @@ def _deal(parts: int):
                     sets, held = {}, 0
         if sets:
             yield _to_batch(rows_of(sets))
+        sets = {}
+        tidy()
 
     return deal
 
@@ -265,6 +268,7 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     ends = np.r_[starts[1:], len(sig)]
     enough = DENOMINATOR * (ends - starts) >= NUMERATOR * n[starts].astype(np.int64)
+    tidy()
     out = [(int(sig[b]), int(n[b]), tokens[b:e].astype(np.int64)) for b, e in zip(starts[enough], ends[enough], strict=True)]
     return pd.DataFrame(out, columns=["sig", "n", "tokens"])
 
@@ -331,10 +335,13 @@ def verify(pairs: DataFrame, sets: DataFrame, always: bool = False) -> DataFrame
 def forget(spark) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    They would stay until the driver's JVM happens to collect its garbage, beside those of the next steps.
+    They would stay until the driver's JVM happens to collect its garbage, beside those of the next
+    steps. The second round finds what the first has let go of.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def class_links(sets: DataFrame) -> DataFrame:
@@ -355,6 +362,7 @@ def class_links(sets: DataFrame) -> DataFrame:
     members = prefixes.join(pivots.select("token", F.col("pivot.sig").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "token")
     first = members.where((F.col("sig") != F.col("pivot")) & alike(F.col("n"), F.col("pivot_n")))
     compared = cut(verify(first.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), sets, always=True))
+    forget(sets.sparkSession)
     links = compared.where("links").select("a", "b")
     roots = connected_components(links)
 
