@@ -38,15 +38,14 @@ def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """chunks (key, chunk_index, pieces) with token_ids.
+    """key, chunk_index and token_ids of chunks (key, chunk_index, pieces).
 
-    Distinct (piece) entries of a chunk join the vocabulary, which AQE splits for common pieces; the
-    ids come back as a map for each chunk.
+    Every piece meets the vocabulary in a join that AQE splits where a piece is common; a chunk's
+    ids come together again by one aggregate, as long as a chunk.
     """
-    each = chunks.select(key, "chunk_index", F.explode(F.array_distinct("pieces")).alias("piece"))
-    known = each.join(vocab, "piece").groupBy(key, "chunk_index").agg(F.map_from_entries(F.collect_list(F.struct("piece", "token_id"))).alias("ids_"))
-    joined = chunks.join(known, [key, "chunk_index"])
-    return joined.withColumn("token_ids", F.transform("pieces", lambda p: F.element_at(F.col("ids_"), p))).drop("ids_")
+    each = chunks.select(key, "chunk_index", F.posexplode("pieces").alias("at_", "piece"))
+    ids = F.sort_array(F.collect_list(F.struct("at_", "token_id")))
+    return each.join(vocab, "piece").groupBy(key, "chunk_index").agg(ids.alias("ids_")).select(key, "chunk_index", F.col("ids_.token_id").alias("token_ids"))
 
 
 def image_chunks(pages: DataFrame, source: Column, path: Column, text: Column) -> DataFrame:
