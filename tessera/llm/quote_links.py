@@ -41,29 +41,19 @@ def normal_line(line: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own_ (text without quotations), lines_ of (level, line), passages_."""
-    lines = F.split("text", "\n", -1)
-    levels = F.transform(lines, line_level)
+    """conv_id, turn, role, own_ (text without quotations), written_ and quoted_ lines, passages_."""
+    # a step for each column that later ones read more than once, so that none is worked out twice
+    split = messages.select("conv_id", "turn", "role", F.split("text", "\n", -1).alias("split_"))
+    leveled = split.withColumn("levels_", F.transform("split_", line_level))
     none = F.array(F.lit(0))
-    after = F.concat(F.slice(levels, 2, F.size(levels)), none)
-    runs = F.zip_with(levels, F.concat(none, levels), lambda here, before: (here > 0) & (here != before))
-    with_lines = messages.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.zip_with(lines, after, lambda line, below: F.struct(line_level(line).alias("level"), line.alias("line"), below.alias("below"))).alias("lines_"),
-        F.greatest(F.size(F.filter(runs, lambda begins: begins)), F.lit(0)).cast("long").alias("passages_"),
-    )
-    written = F.filter("lines_", lambda x: (x.level == 0) & ~((x.below > 0) & F.regexp_like(x.line, F.lit(ATTRIBUTION))))
-    quoted = F.filter("lines_", lambda x: x.level > 0)
-    return with_lines.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.regexp_replace(F.array_join(F.transform(written, lambda x: x.line), "\n"), EDGES, "").alias("own_"),
-        F.concat(written, quoted).alias("lines_"),
-        "passages_",
-    )
+    below = F.concat(F.slice("levels_", 2, F.size("levels_")), none)
+    lines = F.zip_with(F.arrays_zip("split_", "levels_"), below, lambda x, after: F.struct(x["levels_"].alias("level"), x["split_"].alias("line"), after.alias("below")))
+    runs = F.zip_with("levels_", F.concat(none, "levels_"), lambda here, before: (here > 0) & (here != before))
+    with_lines = leveled.select("conv_id", "turn", "role", lines.alias("all_"), F.greatest(F.size(F.filter(runs, lambda begins: begins)), F.lit(0)).cast("long").alias("passages_"))
+    written = F.filter("all_", lambda x: (x.level == 0) & ~((x.below > 0) & F.regexp_like(x.line, F.lit(ATTRIBUTION))))
+    parted = with_lines.select("conv_id", "turn", "role", written.alias("written_"), F.filter("all_", lambda x: x.level > 0).alias("quoted_"), "passages_")
+    own = F.regexp_replace(F.array_join("written_.line", "\n"), EDGES, "")
+    return parted.select("conv_id", "turn", "role", own.alias("own_"), "written_", "quoted_", "passages_")
 
 
 def latest_writers(written: DataFrame, quoted: DataFrame) -> DataFrame:
@@ -84,11 +74,15 @@ def latest_writers(written: DataFrame, quoted: DataFrame) -> DataFrame:
 
 def replies(parsed: DataFrame) -> DataFrame:
     """conv_id, turn and reply_to of the messages that quote an earlier one."""
-    each = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("lines_").alias("x"))
-    each = each.select("conv_id", "turn", F.col("x.level").alias("level"), normal_line(F.col("x.line")).alias("line")).where("line <> ''")
-    each = each.select("conv_id", "turn", "level", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
-    quoted = cut(each.where("level > 0"))
-    written = each.where("level = 0").select("conv_id", "h", "turn").join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
+    named = parsed.where("conv_id is not null and turn is not null")
+
+    def each(rows: DataFrame, lines: str) -> DataFrame:
+        out = rows.select("conv_id", "turn", F.explode(lines).alias("x")).select("conv_id", "turn", F.col("x.level").alias("level"), normal_line(F.col("x.line")).alias("line"))
+        return out.where("line <> ''").select("conv_id", "turn", "level", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
+
+    quoted = cut(each(named.where("passages_ > 0"), "quoted_"))
+    # hashes are shuffled, not lines; of them only those stay that are quoted somewhere
+    written = each(named, "written_").select("conv_id", "h", "turn").join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
     found = latest_writers(written, quoted.select("conv_id", "h", "turn").distinct())
     sums = quoted.join(found, ["conv_id", "h", "turn"]).groupBy("conv_id", "turn", "level", "from_").agg(F.sum("chars").alias("chars"))
     best = F.min(F.struct("level", -F.col("chars"), -F.col("from_"), "from_")).getField("from_")
@@ -111,7 +105,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text without quotations, n_passages, reply_to, thread and depth."""
     parsed = parse(messages)
     linked = threads(replies(parsed))
-    out = parsed.drop("lines_").join(linked, ["conv_id", "turn"], "left")
+    out = parsed.drop("written_", "quoted_").join(linked, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", F.col("own_").alias("text"), F.col("passages_").alias("n_passages"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
