@@ -1,9 +1,12 @@
 """URL filters: hosts split into words by unigram Viterbi, then multinomial naive Bayes.
 
-Word counts come from the separated parts of all URLs. A name of letters is split into the words of
-highest total probability; unknown runs cost more the longer they are. A naive Bayes model over the
-words of host and path, trained on URLs whose separated parts hold a word of the seed list (block)
-or none (allow), scores what no rule decides, so concatenated names are caught as well.
+Word counts come from the parts that all URLs write separately: those of paths, and those beside a
+hyphen in host names. No name vouches for itself: a whole host label counts for nothing, a path's
+part only if its own host does not hold it, a word only if two hosts write it, and one made of seed
+words is none. A name of letters is split into the words of highest total probability; unknown runs
+cost more the longer they are. A naive Bayes model over the words of host and path, trained on URLs
+that hold a word of the seed list, separated or split off (block), or none (allow), scores what no
+rule decides, so concatenated names are caught as well.
 
 Vocabulary: words with at least MIN_SHARE of all counted parts, so at most 1 / MIN_SHARE words at
 any input size; that bound is what makes shipping it to executors safe.
@@ -63,8 +66,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def parts_of(host: Column, path: Column) -> Column:
-    """The separated parts of letters, lower-cased, of host and path."""
-    return F.regexp_extract_all(F.concat(host, F.lit("/"), F.lower(path)), F.lit(r"([a-z]+)"), 1)
+    """The parts of letters beside a hyphen of the host, and those of the path, lower-cased, that the host does not hold."""
+    beside = F.regexp_extract_all(host, F.lit(r"[a-z]+(?=-)|(?<=-)[a-z]+"), 0)
+    return F.concat(beside, F.filter(F.regexp_extract_all(F.lower(path), F.lit(r"([a-z]+)"), 1), lambda w: ~F.contains(host, w)))
 
 
 @dataclass
@@ -140,10 +144,12 @@ class UrlModel:
 def fit(urls: DataFrame, seeds=SEEDS, min_share: float = MIN_SHARE, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
     """Count the words of all URLs (column url), then fit naive Bayes on a bounded sample."""
     split = urls.select("url", host_of("url").alias("host_"), path_of("url").alias("path_"))
-    parts = split.select(F.explode(parts_of(F.col("host_"), F.col("path_"))).alias("word"))
-    counts = parts.groupBy("word").count()
+    parts = split.select("host_", F.explode(parts_of(F.col("host_"), F.col("path_"))).alias("word"))
+    counts = parts.groupBy("word").agg(F.count("*").alias("count"), (F.min("host_") != F.max("host_")).alias("shared_")).where("shared_")
     total = counts.agg(F.sum("count")).first()[0] or 0
     words = {r["word"]: r["count"] for r in counts.where(F.col("count") >= min_share * total).toLocalIterator()}
+    joined = re.compile(f"(?:{'|'.join(map(re.escape, seeds))}){{2,}}")
+    words = {w: c for w, c in words.items() if w in seeds or not joined.fullmatch(w)}
     for w in seeds:
         words[w] = words.get(w, 0) + max(1, total // 10_000)
     mass = float(sum(words.values()))
@@ -152,7 +158,8 @@ def fit(urls: DataFrame, seeds=SEEDS, min_share: float = MIN_SHARE, sample_rows:
     rows = split.where("host_ <> ''").select(order.alias("h"), "host_", "path_").orderBy("h", "host_", "path_").limit(sample_rows).toPandas()
     known = set(seeds)
     model = UrlModel(segmenter, NaiveBayes({}, -1.0))
-    labelled = ((model.words(h, p), bool(known.intersection(_LETTERS.findall(h + "/" + p.lower())))) for h, p in zip(rows["host_"], rows["path_"], strict=True))
+    split_up = ((model.words(h, p), _LETTERS.findall(h + "/" + p.lower())) for h, p in zip(rows["host_"], rows["path_"], strict=True))
+    labelled = ((found, not known.isdisjoint(found + parts)) for found, parts in split_up)
     model.bayes = NaiveBayes.fit(labelled)
     segmenter.memo = {}
     return model

@@ -152,6 +152,19 @@ def test_concatenated_spam_is_blocked(spark, sf):
     assert url_filter.op9(spark, sf).where("verdict is null").count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 20, 2000])
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_concatenated_spam_of_the_fitted_table_is_blocked(spark, sf, size, copies):
+    names = ["http://cheappills.shop.test/en/{}", "http://www.casinowin.test/en/{}", "http://freebets.test/freebets/{}", "http://casinowin.other.test/casinowin/{}"]
+    spam = spark.createDataFrame([(-1, n.format(k)) for n in names for k in range(copies)], "page_id long, url string")
+    pages = table(spark, sf.replace("0.001", size), "pages").select("page_id", "url").unionByName(spam)
+    model = url_filter.fit(pages)
+    assert [model.segmenter.split(n) for n in ("cheappills", "casinowin", "freebets")] == [("cheap", "pills"), ("casino", "win"), ("free", "bets")]
+    judged = url_filter.judge(pages, model)
+    assert {(r["rule"], r["verdict"]) for r in judged.where("page_id = -1").select("rule", "verdict").distinct().collect()} == {(None, "block")}
+    assert judged.where("page_id >= 0 and rule is null and host not like '%-%' and verdict = 'block'").count() == 0
+
+
 def test_quotes_equal_sql(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "a", "> Hello  there\n> How are you?\nFine.\nSecond"), (1, 2, "u", "Bob wrote:\n>> hello there\n> Fine.\nok > not\n"), (1, 3, "u", "> nothing\n"), (1, 4, "u", None), (1, 5, "u", ""), (1, 6, "x", "\t> > HELLO there\n>ok > not\nyes"), (None, 1, "u", "> Hello there"), (2, None, "u", "> x"), (1, 90, "u", "> fine.\n> second\n> hello there\nfoo"), (1, 91, "u", "> foo\n> fine.\nbar"), (1, 91, "v", "baz"), (1, 200, "v", "> bar\n> baz\r\nz"), (3, 0, "u", "same"), *[(3, k, "u", "> same\nsame") for k in range(1, 150)]]
     schema = "conv_id long, turn long, role string, text string"
