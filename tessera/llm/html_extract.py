@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; block boundaries cut them into lines. Each line has a
 text-to-tag ratio; the ratios are smoothed with a Gaussian kernel, a threshold from their spread
-parts content from the rest, and the element that holds most of the content is the region whose
-lines are returned, without those of elements that are never part of an article (menus, forms,
-adverts, comments and so on, known by tag, role or name).
+parts content from the rest, and the article element that holds most characters of content is the
+region whose lines are returned, or without one the smallest element that holds every line of
+content and is no block of text such as p, li or td. Lines of elements that are never part of an
+article (menus, forms, adverts, comments and so on, known by tag, role or name) are left out.
 
 Defined results: a null or empty page gives an empty text; a page without content lines too; a page
 without any markup is one block; very long pages are streamed and never cut; equal lines are all
@@ -36,6 +37,8 @@ HEADERS = frozenset("header masthead topbar".split())
 #: Names like has-sidebar or page-header-wrapper stand on elements around the whole page.
 LAYOUT = frozenset("has no with without layout wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text, which are no region of their own.
+TEXT_LEVEL = HEADINGS | frozenset("address blockquote caption center dd details dl dt figcaption figure hgroup li ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"html", "head", "body", "title", "option"}
 #: What an open element of this name ends when a new one of the group starts.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -200,6 +203,21 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def _region(lines: list, held: list[int], open_to: list[int], kinds: dict[int, str]) -> int | None:
+    """The smallest element around the lines held that is no block of text; None for the whole page."""
+    common = set(lines[held[0]][4]).intersection(*(lines[i][4] for i in held))
+    around = sorted(n for n in common if kinds[n] not in TEXT_LEVEL)
+    if not around:
+        return None
+    inside = [i for i in open_to if around[-1] in lines[i][4]]
+    if all(lines[i][4][-1] == around[-1] for i in inside):  # used as a paragraph, if other text stands beside it
+        outer = around[-2] if len(around) > 1 else None
+        beside = set(i for i in open_to if outer is None or outer in lines[i][4]).difference(inside)
+        if any(2 * lines[i][2] < len(lines[i][0]) for i in beside):
+            return outer
+    return around[-1]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by newlines."""
     if not html:
@@ -215,10 +233,10 @@ def main_text(html: str | None) -> str:
     smoothed = smooth(ratios)
     level = LEVEL * smoothed.std()
     content = [i for i in open_to if smoothed[i] >= level and ratios[i] > 0] or open_to
-    mass: dict[int, float] = defaultdict(float)
+    mass: dict[int, int] = defaultdict(int)
     for i in content:
         for number in lines[i][4]:
-            mass[number] += smoothed[i] * len(lines[i][0])
+            mass[number] += len(lines[i][0])
     articles = [n for n in mass if parser.kinds.get(n) == "article"]
     if not articles:  # an article may be too short to stand out
         for i in open_to:
@@ -226,11 +244,9 @@ def main_text(html: str | None) -> str:
             mass.update({n: mass[n] + 1 for n in lines[i][4]})
     if articles:
         # the heaviest article, or what encloses it as an article, if that holds little else
-        region = max(articles, key=lambda n: (round(mass[n], 6), n))
-    else:
-        total = sum(smoothed[i] * len(lines[i][0]) for i in content)
-        inner = [n for n in mass if mass[n] >= 0.7 * total]
-        region = max(inner) if inner else None
+        region = max(articles, key=lambda n: (mass[n], n))
+    else:  # lines that only their neighbours lift over the threshold don't widen it
+        region = _region(lines, [i for i in content if ratios[i] >= level] or content, open_to, parser.kinds)
     kept = [lines[i] for i in open_to if region is None or region in lines[i][4]]
     if region is not None and not articles and kept:
         last = max(i for i in open_to if region in lines[i][4])

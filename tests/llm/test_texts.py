@@ -29,6 +29,40 @@ def test_article_edges(html, text):
     assert main_text(html) == text
 
 
+def _sized(*sizes):
+    return [f"{k} " + "word " * (n // 5 - 1) + "end." for k, n in enumerate(sizes)]
+
+
+def _tagged(tag, texts):
+    return "".join(f"<{tag}>{x}</{tag}>" for x in texts)
+
+
+@pytest.mark.parametrize("tag", ["p", "li", "section", "div", "blockquote", "tr><td"])
+@pytest.mark.parametrize("sizes", [(300, 3000, 300, 300, 300), (400, 2000, 400, 400), (20, 20, 20, 9000, 20, 20, 20), (100,) * 12])
+def test_page_without_article_is_whole(tag, sizes):
+    texts = _sized(*sizes)
+    around = {"li": "ul", "tr><td": "table"}.get(tag, "div")
+    page = f"<body><div class='nav'><a href='/'>Home</a></div><{around}>{_tagged(tag, texts).replace('</tr><td>', '</td></tr>')}</{around}><div id='footer'>(c)</div></body>"
+    assert main_text(page).split("\n") == texts
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("sizes", [(9, 3), (3, 9), (19, 1), (1, 30, 1)])
+def test_sibling_parts_of_a_page_are_whole(tag, sizes):
+    texts, parts = _sized(*[200] * sum(sizes)), []
+    for k in range(len(sizes)):
+        parts.append(_tagged("p", texts[sum(sizes[:k]) : sum(sizes[: k + 1])]))
+    assert main_text(f"<body><div>{_tagged(tag, parts)}</div></body>").split("\n") == texts
+
+
+def test_region_without_article_leaves_the_rest_of_the_page():
+    texts = _sized(300, 3000, 300, 40, 300)
+    links = "<div><a href='/'>Home</a> | <a href='/b'>Blog</a></div>"
+    page = f"<body>{links}<div class='post'>{_tagged('p', texts)}</div><div>(c) 2020</div>{links}</body>"
+    assert main_text(page).split("\n") == texts
+    assert main_text(f"<body>{links}<div>{texts[1]}</div>{links}</body>") == texts[1]
+
+
 def test_long_page_is_whole(spark):
     page = "<article>" + "".join(f"<p>word{k} and some more words</p>" for k in range(20_000)) + "</article>"
     assert main_text(page).count("\n") == 19_999
