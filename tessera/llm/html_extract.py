@@ -5,7 +5,9 @@ text-to-tag ratio; the ratios are smoothed with a Gaussian kernel, a threshold f
 parts content from the rest, and the article element that holds most characters of content is the
 region whose lines are returned, or without one the smallest element that holds every line of
 content and is no block of text such as p, li or td. Lines of elements that are never part of an
-article (menus, forms, adverts, comments and so on, known by tag, role or name) are left out.
+article (menus, forms, adverts, comments and so on, known by tag, role or name) are left out. Names
+don't count on article and main elements, and on others only while these hold no more than half of
+the page's text or are named for a part of the page's frame.
 
 Defined results: a null or empty page gives an empty text; a page without content lines too; a page
 without any markup is one block; very long pages are streamed and never cut; equal lines are all
@@ -33,9 +35,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search menu menub
 NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+#: Of these, last parts that stay what they are however much text there is.
+FRAME = frozenset("breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter pager pagination popup replies reply respond responses sidebar sidebars signup skip toolbar".split())
 HEADERS = frozenset("header masthead topbar".split())
-#: Names like has-sidebar or page-header-wrapper stand on elements around the whole page.
-LAYOUT = frozenset("has no with without layout wrapper".split())
+#: Names like has-sidebar, ad-free or page-header-wrapper stand on elements around the whole page.
+LAYOUT = frozenset("has no with without layout wrapper free".split())
+#: First parts of names that tell a post's subjects or kind, like category-social and tag-search.
+SUBJECTS = frozenset("category tag taxonomy term type format status".split())
+OPEN, NAMED, CLOSED = 0, 1, 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a text, which are no region of their own.
 TEXT_LEVEL = HEADINGS | frozenset("address blockquote caption center dd details dl dt figcaption figure hgroup li ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -59,9 +66,13 @@ def _names(value: str) -> list[str]:
 class _Lines(HTMLParser):
     """Streams events into lines: text, tags met, characters in links, the enclosing elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, overruled: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, whether what it holds is never content
+        self.overruled = overruled  # numbers of elements whose names don't count
+        self.size = 0  # characters outside links and closed elements
+        self.named: dict[int, int] = {}  # by number of a named element: the size before it, then what it holds
+        self.around_main: set[int] = set()
+        self.stack: list[tuple[str, int, int]] = []  # tag, number, whether what it holds is never content, or by name only
         self.count = 0
         self.lines: list[tuple[str, int, int, bool, tuple[int, ...], bool]] = []
         self.kinds: dict[int, str] = {}
@@ -76,7 +87,7 @@ class _Lines(HTMLParser):
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                never = bool(self.stack) and self.stack[-1][2]
+                never = bool(self.stack) and self.stack[-1][2] != OPEN
                 heading = bool(self.stack) and self.stack[-1][0] in HEADINGS
                 self.lines.append((text, max(1, self.tags), self.links, never, tuple(n for _, n, _ in self.stack), heading))
                 self.tags = 0
@@ -87,6 +98,8 @@ class _Lines(HTMLParser):
         self._flush()
         for tag, number, _ in self.stack[to:]:
             self.in_article -= self.kinds.get(number) == "article"
+            if number in self.named:
+                self.named[number] = self.size - self.named[number]
         del self.stack[to:]
 
     def _end(self, names: set[str], stop: set[str]) -> None:
@@ -97,28 +110,35 @@ class _Lines(HTMLParser):
             if self.stack[k][0] in stop:
                 return
 
-    def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _never(self, tag: str, attrs: list[tuple[str, str | None]], article: bool) -> int:
         if tag in NEVER:
-            return True
+            return CLOSED
         if tag == "header" and not self.in_article:
-            return True
+            return CLOSED
+        state = OPEN
         for key, value in attrs:
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
+                return CLOSED
             if not value:
                 continue
             if key == "role" and value.strip().lower() in ROLES:
-                return True
+                return CLOSED
             if key in ("class", "id") and tag not in ("html", "body"):
                 for part in value.split():
                     found = _names(part)
-                    if LAYOUT.intersection(found):
+                    if article:  # an article in another one may be a comment or teaser, if its whole name says so
+                        if len(found) == 1 and found[0] in NAMES and tag == "article" and any(t == tag for t, _, _ in self.stack):
+                            return CLOSED
+                        continue
+                    if LAYOUT.intersection(found) or (len(found) > 1 and found[0] in SUBJECTS):
                         continue
                     if NAMES.intersection(found) or (HEADERS.intersection(found) and not self.in_article):
-                        return True
+                        if found[-1] in FRAME or found[-1] in HEADERS:
+                            return CLOSED
+                        state = NAMED
             if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        return False
+                return CLOSED
+        return state
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -138,13 +158,20 @@ class _Lines(HTMLParser):
             return
         else:
             self._flush_before_skipped()
-        inside = bool(self.stack) and self.stack[-1][2]
-        never = inside or self._never(tag, attrs)
-        self.count += 1
+        inside = self.stack[-1][2] if self.stack else OPEN
         roles = dict(attrs)
-        if tag in ("article", "main") or roles.get("role") in ("main", "article") or roles.get("itemprop") == "articleBody":
+        article = tag in ("article", "main") or roles.get("role") in ("main", "article") or roles.get("itemprop") == "articleBody"
+        own = self._never(tag, attrs, article)
+        self.count += 1
+        if own == NAMED:
+            self.named[self.count] = self.size
+            own = OPEN if self.count in self.overruled else NAMED
+        never = max(inside, own)
+        if article:
             self.kinds[self.count] = "never" if never else "article"
             self.in_article += not never
+            if never == NAMED and (tag == "main" or roles.get("role") == "main" or roles.get("itemprop") == "articleBody"):
+                self.around_main.update(n for _, n, _ in self.stack if n in self.named)
         else:
             self.kinds[self.count] = tag
         self.stack.append((tag, self.count, never))
@@ -182,7 +209,10 @@ class _Lines(HTMLParser):
                     return
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][2]:
+        state = self.stack[-1][2] if self.stack else OPEN
+        if state != CLOSED and not self.in_link:
+            self.size += len(data.strip())
+        if state != OPEN:
             return
         self.text.append(data)
         if self.in_link:
@@ -190,11 +220,27 @@ class _Lines(HTMLParser):
 
     def finish(self) -> None:
         self.close()
+        for _, number, _ in self.stack:
+            if number in self.named:
+                self.named[number] = self.size - self.named[number]
         for _, text, _ in reversed(self.held):
             self.stack, self.text = [], text + self.text
         self._flush()
 
 
+def _parsed(html: str) -> _Lines:
+    """The page's lines, by a second reading where names stand on elements that hold most of its text or its main element."""
+    parser = _Lines()
+    parser.feed(html)
+    parser.finish()
+    overruled = parser.around_main.union(n for n, held in parser.named.items() if 2 * held > parser.size)
+    if overruled:
+        parser = _Lines(frozenset(overruled))
+        parser.feed(html)
+        parser.finish()
+    return parser
+
+
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines, with the edge values carried on."""
     radius = max(1, int(np.ceil(2 * sigma)))
@@ -222,9 +268,7 @@ def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by newlines."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.finish()
+    parser = _parsed(html)
     lines = parser.lines
     open_to = [i for i, x in enumerate(lines) if not x[3]]
     if not open_to:

@@ -63,6 +63,27 @@ def test_region_without_article_leaves_the_rest_of_the_page():
     assert main_text(f"<body>{links}<div>{texts[1]}</div>{links}</body>") == texts[1]
 
 
+NAMED_POSTS = ["article class='post category-social tag-search'", "article class='post social'", "main id='search'", "div class='post ad-free'", "div class='post category-social tag-search'", "div id='share-post'", "div class='entry sponsored'", "div role='main' class='search-results'", "div itemprop='articleBody' class='promo'", "section class='post header-image'"]
+
+
+@pytest.mark.parametrize("start", NAMED_POSTS)
+@pytest.mark.parametrize("around", ["body", "div class='search-page social'"])
+def test_names_do_not_lose_the_article(start, around):
+    texts = _sized(300, 40, 500, 300)
+    rest = "<div class='comments-area' id='comments'><p>A reader disagrees with all of this.</p></div><div class='ad-slot'>Buy this.</div>"
+    page = f"<html><{around}><{start}>{_tagged('p', texts)}<div class='related-posts'>Read on.</div></{start.split()[0]}>{rest}</{around.split()[0]}>"
+    assert main_text(page).split("\n") == texts
+    assert main_text(page.split("<div class='related-posts'>")[0]).split("\n") == texts  # never closed
+
+
+def test_named_parts_stay_out():
+    texts = _sized(100, 100)
+    for name in ("comments", "site-footer", "cookie-consent", "left-sidebar", "main-nav"):
+        page = f"<div class='post'>{_tagged('p', texts)}</div><div class='{name}'>{_tagged('p', _sized(300, 300))}</div>"
+        assert main_text(page).split("\n") == texts
+    assert main_text(f"<article><p>{texts[0]}</p><article class='comment'><p>{texts[1]}</p></article></article>") == texts[0]
+
+
 def test_long_page_is_whole(spark):
     page = "<article>" + "".join(f"<p>word{k} and some more words</p>" for k in range(20_000)) + "</article>"
     assert main_text(page).count("\n") == 19_999
