@@ -3,6 +3,8 @@
 Lines that start with ``>`` marks are quotations; the number of marks is their level. Each quoted
 line, normalised and hashed, is joined to the latest earlier message of its conversation that wrote
 it; a message replies to the one that most characters of its outermost linked level come from.
+A level of a message of which no line is found may have been wrapped at another width: its paragraphs,
+lines joined, are linked in the same way by runs of RUN_WORDS words, or whole if they are no longer.
 Threads follow from replies, and the text is returned without quotations and the attribution lines
 above them. Sorted by (conv_id, thread, turn), every reply follows the message it answers.
 
@@ -11,9 +13,10 @@ over at most so many turns, before it by a running maximum over buckets, so that
 whole conversation repeats makes neither pairs nor a large group.
 
 Defined results: a null text stays null and quotes nothing; an empty one, or one of quotations
-only, becomes empty; rows that share conv_id and turn are one message for linking, and each is
-returned; rows with null conv_id or turn link with nothing; blank quoted lines link with nothing;
-very long texts are read whole; extra columns stay out; an empty table gives an empty result.
+only, becomes empty; a re-wrapped passage of fewer than RUN_WORDS words links only as a whole
+paragraph; rows that share conv_id and turn are one message for linking, and each is returned; rows
+with null conv_id or turn link with nothing; blank quoted lines link with nothing; very long texts
+are read whole; extra columns stay out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 BUCKET_TURNS = 64
+RUN_WORDS = 6
 MARKS = r"^(?:[ \t]*>)+"
 ATTRIBUTION = r"(?i)(?:wrote|writes|said|schrieb|écrit|escribió)[ ]?:[ \t\r]*$"
 EDGES = r"^[ \t\r\n]+|[ \t\r\n]+$"
@@ -40,8 +44,13 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"[ \t\r]+", " ")))
 
 
-def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own_ (text without quotations), written_ and quoted_ lines, passages_."""
+def is_written(x: Column) -> Column:
+    """Whether a line of ``leveled_lines`` is neither a quotation nor the attribution above one."""
+    return (x.level == 0) & ~((x.below > 0) & F.regexp_like(x.line, F.lit(ATTRIBUTION)))
+
+
+def leveled_lines(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, all_ (level, line and the level below of each line), passages_."""
     # a step for each column that later ones read more than once, so that none is worked out twice
     split = messages.select("conv_id", "turn", "role", F.split("text", "\n", -1).alias("split_"))
     leveled = split.withColumn("levels_", F.transform("split_", line_level))
@@ -49,9 +58,13 @@ def parse(messages: DataFrame) -> DataFrame:
     below = F.concat(F.slice("levels_", 2, F.size("levels_")), none)
     lines = F.zip_with(F.arrays_zip("split_", "levels_"), below, lambda x, after: F.struct(x["levels_"].alias("level"), x["split_"].alias("line"), after.alias("below")))
     runs = F.zip_with("levels_", F.concat(none, "levels_"), lambda here, before: (here > 0) & (here != before))
-    with_lines = leveled.select("conv_id", "turn", "role", lines.alias("all_"), F.greatest(F.size(F.filter(runs, lambda begins: begins)), F.lit(0)).cast("long").alias("passages_"))
-    written = F.filter("all_", lambda x: (x.level == 0) & ~((x.below > 0) & F.regexp_like(x.line, F.lit(ATTRIBUTION))))
-    parted = with_lines.select("conv_id", "turn", "role", written.alias("written_"), F.filter("all_", lambda x: x.level > 0).alias("quoted_"), "passages_")
+    return leveled.select("conv_id", "turn", "role", lines.alias("all_"), F.greatest(F.size(F.filter(runs, lambda begins: begins)), F.lit(0)).cast("long").alias("passages_"))
+
+
+def parse(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, own_ (text without quotations), written_ and quoted_ lines, passages_."""
+    with_lines = leveled_lines(messages)
+    parted = with_lines.select("conv_id", "turn", "role", F.filter("all_", is_written).alias("written_"), F.filter("all_", lambda x: x.level > 0).alias("quoted_"), "passages_")
     own = F.regexp_replace(F.array_join("written_.line", "\n"), EDGES, "")
     return parted.select("conv_id", "turn", "role", own.alias("own_"), "written_", "quoted_", "passages_")
 
@@ -72,7 +85,28 @@ def latest_writers(written: DataFrame, quoted: DataFrame) -> DataFrame:
     return joined.where("from_ is not null")
 
 
-def replies(parsed: DataFrame) -> DataFrame:
+def runs(rows: DataFrame, inside) -> DataFrame:
+    """conv_id, turn, level, h and chars of the word runs of paragraphs, whose lines are those inside() holds of."""
+    lines = F.transform("all_", lambda x: F.when(inside(x), normal_line(x.line)).otherwise(""))
+    parts = F.split(F.array_join(lines, "\n"), "\n\n+", -1)
+    texts = rows.select("conv_id", "turn", "level", F.explode(parts).alias("text")).select("conv_id", "turn", "level", F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text")).where("text <> ''")
+    words = texts.select("conv_id", "turn", "level", F.split("text", " ", -1).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - RUN_WORDS + 1, F.lit(1)))
+    each = F.explode(F.transform(starts, lambda k: F.array_join(F.slice("words", k, RUN_WORDS), " "))).alias("run")
+    return words.select("conv_id", "turn", "level", each).select("conv_id", "turn", "level", F.xxhash64("run").alias("h"), F.length("run").alias("chars"))
+
+
+def rewrapped(messages: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """conv_id, turn, level, from_ and chars of unlinked (conv_id, turn, level) by word runs."""
+    lines = leveled_lines(messages).where("turn is not null").join(unlinked.select("conv_id").distinct(), "conv_id", "left_semi")
+    levels = lines.where("passages_ > 0").join(unlinked, ["conv_id", "turn"])
+    quoted = cut(runs(levels, lambda x: x.level == F.col("level")))
+    written = runs(lines.withColumn("level", F.lit(0)), is_written).select("conv_id", "h", "turn").join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
+    found = latest_writers(written, quoted.select("conv_id", "h", "turn").distinct())
+    return quoted.join(found, ["conv_id", "h", "turn"]).groupBy("conv_id", "turn", "level", "from_").agg(F.sum("chars").alias("chars"))
+
+
+def replies(parsed: DataFrame, messages: DataFrame) -> DataFrame:
     """conv_id, turn and reply_to of the messages that quote an earlier one."""
     named = parsed.where("conv_id is not null and turn is not null")
 
@@ -84,7 +118,11 @@ def replies(parsed: DataFrame) -> DataFrame:
     # hashes are shuffled, not lines; of them only those stay that are quoted somewhere
     written = each(named, "written_").select("conv_id", "h", "turn").join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
     found = latest_writers(written, quoted.select("conv_id", "h", "turn").distinct())
-    sums = quoted.join(found, ["conv_id", "h", "turn"]).groupBy("conv_id", "turn", "level", "from_").agg(F.sum("chars").alias("chars"))
+    sums = cut(quoted.join(found, ["conv_id", "h", "turn"]).groupBy("conv_id", "turn", "level", "from_").agg(F.sum("chars").alias("chars")))
+    key = ["conv_id", "turn", "level"]
+    unlinked = cut(quoted.select(*key).distinct().join(sums.select(*key), key, "left_anti"))
+    if not unlinked.isEmpty():
+        sums = sums.unionByName(rewrapped(messages, unlinked))
     best = F.min(F.struct("level", -F.col("chars"), -F.col("from_"), "from_")).getField("from_")
     return sums.groupBy("conv_id", "turn").agg(best.alias("reply_to"))
 
@@ -104,7 +142,7 @@ def threads(links: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text without quotations, n_passages, reply_to, thread and depth."""
     parsed = parse(messages)
-    linked = threads(replies(parsed))
+    linked = threads(replies(parsed, messages))
     out = parsed.drop("written_", "quoted_").join(linked, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", F.col("own_").alias("text"), F.col("passages_").alias("n_passages"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 

@@ -232,3 +232,21 @@ def test_quotes_equal_sql(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted.fetchall()))
     assert link_quotes(spark.createDataFrame([], schema)).count() == 0
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+
+
+def test_rewrapped_quotes_are_linked(spark):
+    long = "The first words of a paragraph that goes on\nfor a while and is wrapped\nat some width or other.\n\nA second one,\nmuch shorter."
+    other = "Another message altogether, about\nsomething else, of some length."
+    quotes = {
+        2: ("> the first words of a paragraph\n> that goes on for a while and is\n> wrapped at some width or\n> other.\nYes.", 0),
+        3: ("A wrote:\n> paragraph that goes on for a\n> while and is\nPart of it.", 0),
+        4: ("> A second one, much shorter.", 0),
+        5: ("> Another message altogether,\n> about something else, of some length.\n>> A second one,\nTwo levels.", 1),
+        6: ("> words that nobody of this conversation\n> has written at any time", None),
+        7: ("> Yes.\n> something else, of\n> some length.", 2),
+    }
+    rows = [(1, 0, "u", long), (1, 1, "a", other), *[(1, k, "u", q) for k, (q, _) in quotes.items()], (2, 9, "u", quotes[2][0])]
+    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = {(r["conv_id"], r["turn"]): r["reply_to"] for r in got.collect()}
+    assert found == {(1, 0): None, (1, 1): None, (2, 9): None, **{(1, k): wanted for k, (_, wanted) in quotes.items()}}
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
