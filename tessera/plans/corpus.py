@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,6 @@ from tessera.session import table
 from tessera.sources import tables as S
 
 WINDOW = 64
-LANGS = ("de", "en", "es", "fr")
 TEXT_NAMES = ("markdown", "text", "content", "query")
 
 
@@ -39,13 +36,10 @@ def record_metadata(spark, sf_dir: str) -> DataFrame:
 
 
 def union_splits(spark, sf_dir: str) -> DataFrame:
-    """Splits in order of their names; one lacks a column, which is null there."""
-    docs = table(spark, sf_dir, "documents")
-    parts = []
-    for lang in LANGS:
-        part = docs.where(F.col("lang") == lang).select("doc_id", F.lit(lang).alias("split"), "source", "n_chars")
-        parts.append(part.drop("source") if lang == "de" else part)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select("doc_id", "split", "source", "n_chars")
+    """Splits by lang in order of their names, null being one of its own; one lacks a column, which is null there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("split"), "source", "n_chars")
+    lacking = F.col("split").eqNullSafe("de")
+    return docs.where(~lacking).unionByName(docs.where(lacking).drop("source"), allowMissingColumns=True).orderBy("split", "doc_id")
 
 
 def image_file_name(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tessera.operators import pruning as G
 from tessera.operators import retrieval as R
 from tessera.operators.ranking import last_wins, order_statistic, ordered_rank
 from tessera.operators.tiered_cache import ModalityAwareLru, PlainLru, TieredCache, stack_distances
+from tessera.plans import corpus
 
 
 def one(spark, column):
@@ -152,3 +153,11 @@ def test_comparison_as_markdown(spark):
     both = B.summary(rows, ["variant"]).join(B.percentiles(rows, ["variant"]), "variant")
     table = B.markdown(B.compare(both, "variant", "a", "b").collect(), "a", "b")
     assert "-50.0%" in table and "+50.0% pp" in table and len(table.splitlines()) == 9
+
+
+def test_union_splits_keeps_every_lang(spark, tmp_path):
+    rows = [(1, "fr", "a", 3), (2, None, "b", 4), (3, "xx", None, 5), (4, "de", "c", 6), (5, "", "d", None), (None, "en", "e", 7), (2, None, "b", 4)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in corpus.union_splits(spark, str(tmp_path)).select("doc_id", "split", "source", "n_chars").collect()]
+    assert sorted(got, key=repr) == sorted(((d, lang, None if lang == "de" else s, n) for d, lang, s, n in rows), key=repr)
+    assert [r[1] for r in got] == [None, None, "", "de", "en", "fr", "xx"]
