@@ -1,23 +1,27 @@
 """HTML extraction: tag ratios per line of parser events, smoothed, clustered by a threshold.
 
 The standard library's parser streams events; block boundaries cut them into lines. Each line has a
-text-to-tag ratio; the ratios are smoothed with a Gaussian kernel, a threshold from their spread
-parts content from the rest, and the article element that holds most characters of content is the
-region whose lines are returned, or without one the smallest element that holds every line of
-content and is no block of text such as p, li or td. Lines of elements that are never part of an
-article (menus, forms, adverts, comments and so on, known by tag, role or name) are left out. Names
-don't count on article and main elements, and on others only while these hold no more than half of
-the page's text or are named for a part of the page's frame.
+text-to-tag ratio, its characters outside links by the tags met, weighed by what the elements around
+it suggest: nothing for menus, footers and controls, little where a tag, role or name speaks of what
+stands around an article, more inside article and main elements. The ratios are smoothed with a
+Gaussian kernel, and a threshold from their spread parts the lines into two clusters: lines over it,
+both smoothed and by themselves, are content. So names and tags are priors only: where all of the
+text stands under a doubtful name, it is the content nevertheless.
+
+The regions are the containers of content lines. In a region, short lines are the text's as well if
+they weigh what some of its content does, or most of that, and aren't mostly links: those between content lines, headings
+above, and text elements, or elements of the kind that holds the content, at its begin and end.
 
 Defined results: a null or empty page gives an empty text; a page without content lines too; a page
-without any markup is one block; very long pages are streamed and never cut; equal lines are all
-kept; extra columns stay as they are, since only the html column is read.
+without any markup is one block; very long and deeply nested pages are streamed in linear memory and
+never cut; equal lines are all kept; extra columns stay as they are, since only html is read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,21 +32,21 @@ from pyspark.sql import types as T
 
 # Element and attribute names with a meaning in HTML pages.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-NEVER = frozenset("applet audio button canvas datalist embed fieldset footer form head iframe input label map menu nav noscript object option script search select style svg template textarea title video aside dialog".split())
+#: Elements without text, and those whose text is never an article's.
+MUTE = frozenset("applet audio canvas head iframe noscript object script style svg template title video".split())
+NEVER = frozenset("button datalist fieldset footer label legend map menu nav option select textarea".split())
+ASIDE = frozenset("aside dialog form search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_NEVER = frozenset("applet audio button canvas datalist iframe label map noscript object script select style svg template textarea video".split())
-ROLES = frozenset("navigation banner contentinfo complementary search menu menubar form alert alertdialog dialog toolbar".split())
+NEVER_ROLES = frozenset("navigation contentinfo menu menubar toolbar".split())
+ASIDE_ROLES = frozenset("banner complementary search form alert alertdialog dialog".split())
 NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
-#: Of these, last parts that stay what they are however much text there is.
-FRAME = frozenset("breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter pager pagination popup replies reply respond responses sidebar sidebars signup skip toolbar".split())
-HEADERS = frozenset("header masthead topbar".split())
 #: Names like has-sidebar, ad-free or page-header-wrapper stand on elements around the whole page.
 LAYOUT = frozenset("has no with without layout wrapper free".split())
 #: First parts of names that tell a post's subjects or kind, like category-social and tag-search.
 SUBJECTS = frozenset("category tag taxonomy term type format status".split())
-OPEN, NAMED, CLOSED = 0, 1, 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a text, which are no region of their own.
 TEXT_LEVEL = HEADINGS | frozenset("address blockquote caption center dd details dl dt figcaption figure hgroup li ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -54,6 +58,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: Parameters of the method: kernel width in lines, and the threshold in standard deviations.
 SIGMA = 1.0
 LEVEL = 0.5
+#: Priors of an element: inside article and main, with a name of doubt, and with one of the frame.
+ARTICLE, DOUBT, AROUND = 3.0, 0.25, 0.03
+#: Least share of its content's weight that a region's other lines have.
+ALIKE = 0.5
 
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -63,82 +71,108 @@ def _names(value: str) -> list[str]:
     return [p.lower() for p in _PARTS.findall(value)]
 
 
+@dataclass(eq=False, slots=True)
+class Element:
+    tag: str
+    weight: float
+    article: bool
+    around: Element | None  # the element around it that is no part of a text
+    holds: bool = False  # whether blocks stand inside
+
+    @property
+    def region(self) -> Element | None:
+        """The element around its text lines: a div without blocks inside is used as a paragraph."""
+        if self.tag in TEXT_LEVEL or (self.tag == "div" and not self.holds):
+            return self.around
+        return self
+
+
+@dataclass(slots=True)
+class Line:
+    text: str
+    tags: int
+    links: int
+    element: Element
+
+    @property
+    def ratio(self) -> float:
+        return self.element.weight * max(0, len(self.text) - self.links) / self.tags
+
+
+@dataclass(slots=True)
+class _Held:
+    """A line around an inline element that is skipped."""
+
+    depth: int
+    text: list[str] = field(default_factory=list)
+    links: int = 0
+
+
 class _Lines(HTMLParser):
-    """Streams events into lines: text, tags met, characters in links, the enclosing elements."""
+    """Streams events into lines."""
 
-    def __init__(self, overruled: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.overruled = overruled  # numbers of elements whose names don't count
-        self.size = 0  # characters outside links and closed elements
-        self.named: dict[int, int] = {}  # by number of a named element: the size before it, then what it holds
-        self.around_main: set[int] = set()
-        self.stack: list[tuple[str, int, int]] = []  # tag, number, whether what it holds is never content, or by name only
-        self.count = 0
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], bool]] = []
-        self.kinds: dict[int, str] = {}
+        self.page = Element("body", 1.0, False, None)
+        self.stack = [self.page]
+        self.open = Counter()  # of each tag, how many are open
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.links = 0
+        self.tags = self.links = 0
         self.in_link = False
-        self.in_article = 0
-        self.held: list[tuple[int, list[str], int]] = []  # lines around inline elements that are skipped
+        self.held: list[_Held] = []
 
     def _flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                never = bool(self.stack) and self.stack[-1][2] != OPEN
-                heading = bool(self.stack) and self.stack[-1][0] in HEADINGS
-                self.lines.append((text, max(1, self.tags), self.links, never, tuple(n for _, n, _ in self.stack), heading))
+                self.lines.append(Line(text, max(1, self.tags), self.links, self.stack[-1]))
                 self.tags = 0
             self.text = []
         self.links = 0
 
     def _pop(self, to: int) -> None:
         self._flush()
-        for tag, number, _ in self.stack[to:]:
-            self.in_article -= self.kinds.get(number) == "article"
-            if number in self.named:
-                self.named[number] = self.size - self.named[number]
+        for x in self.stack[to:]:
+            self.open[x.tag] -= 1
         del self.stack[to:]
 
     def _end(self, names: set[str], stop: set[str]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in names:
-                self._pop(k)
-                return
-            if self.stack[k][0] in stop:
-                return
+        if any(self.open[n] for n in names):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in names:
+                    self._pop(k)
+                    return
+                if self.stack[k].tag in stop:
+                    return
 
-    def _never(self, tag: str, attrs: list[tuple[str, str | None]], article: bool) -> int:
-        if tag in NEVER:
-            return CLOSED
-        if tag == "header" and not self.in_article:
-            return CLOSED
-        state = OPEN
+    def _prior(self, tag: str, attrs: list[tuple[str, str | None]], article: bool, inside: Element) -> float:
+        if tag in MUTE or tag in NEVER:
+            return 0.0
+        found = 1.0
+        if tag in ASIDE or (tag == "header" and not inside.article):
+            found = AROUND
         for key, value in attrs:
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return CLOSED
-            if not value:
-                continue
-            if key == "role" and value.strip().lower() in ROLES:
-                return CLOSED
-            if key in ("class", "id") and tag not in ("html", "body"):
-                for part in value.split():
-                    found = _names(part)
-                    if article:  # an article in another one may be a comment or teaser, if its whole name says so
-                        if len(found) == 1 and found[0] in NAMES and tag == "article" and any(t == tag for t, _, _ in self.stack):
-                            return CLOSED
-                        continue
-                    if LAYOUT.intersection(found) or (len(found) > 1 and found[0] in SUBJECTS):
-                        continue
-                    if NAMES.intersection(found) or (HEADERS.intersection(found) and not self.in_article):
-                        if found[-1] in FRAME or found[-1] in HEADERS:
-                            return CLOSED
-                        state = NAMED
-            if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return CLOSED
-        return state
+            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value or "", re.I)):
+                return 0.0
+            if key == "role" and (value or "").strip().lower() in NEVER_ROLES:
+                return 0.0
+            if key == "role" and (value or "").strip().lower() in ASIDE_ROLES:
+                found = AROUND
+            if key in ("class", "id") and value and tag not in ("html", "body"):
+                for name in value.split():
+                    found = min(found, self._prior_of(_names(name), tag, article, inside))
+        return found * ARTICLE if article and not inside.article and found == 1.0 else found
+
+    @staticmethod
+    def _prior_of(parts: list[str], tag: str, article: bool, inside: Element) -> float:
+        if article:  # an article in another one may be a comment or teaser, if its whole name says so
+            return AROUND if len(parts) == 1 and parts[0] in NAMES and tag == "article" and inside.article else 1.0
+        if not NAMES.intersection(parts) or LAYOUT.intersection(parts) or (len(parts) > 1 and parts[0] in SUBJECTS):
+            return 1.0
+        if inside.article and {"header", "masthead"}.intersection(parts):
+            return 1.0
+        return AROUND if parts[-1] in NAMES else DOUBT
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -152,95 +186,57 @@ class _Lines(HTMLParser):
             if tag in SIBLINGS:
                 self._end(SIBLINGS[tag], SCOPES[tag])
             self._flush()
+            self.stack[-1].holds = True
             if tag in VOID:
                 return
-        elif tag not in INLINE_NEVER or tag in VOID:
+        elif tag not in INLINE_NEVER:
             return
-        else:
-            self._flush_before_skipped()
-        inside = self.stack[-1][2] if self.stack else OPEN
-        roles = dict(attrs)
-        article = tag in ("article", "main") or roles.get("role") in ("main", "article") or roles.get("itemprop") == "articleBody"
-        own = self._never(tag, attrs, article)
-        self.count += 1
-        if own == NAMED:
-            self.named[self.count] = self.size
-            own = OPEN if self.count in self.overruled else NAMED
-        never = max(inside, own)
-        if article:
-            self.kinds[self.count] = "never" if never else "article"
-            self.in_article += not never
-            if never == NAMED and (tag == "main" or roles.get("role") == "main" or roles.get("itemprop") == "articleBody"):
-                self.around_main.update(n for _, n, _ in self.stack if n in self.named)
-        else:
-            self.kinds[self.count] = tag
-        self.stack.append((tag, self.count, never))
-
-    def _flush_before_skipped(self) -> None:
-        """Inline elements that are skipped leave the line around them whole."""
-        self.held.append((len(self.stack), self.text, self.links))
-        self.text, self.links = [], 0
+        else:  # inline elements that are skipped leave the line around them whole
+            self.held.append(_Held(len(self.stack), self.text, self.links))
+            self.text, self.links = [], 0
+        inside, told = self.stack[-1], dict(attrs)
+        article = tag in ("article", "main") or told.get("role") in ("main", "article") or told.get("itemprop") == "articleBody"
+        prior = self._prior(tag, attrs, article, inside)
+        around = inside if inside.tag not in TEXT_LEVEL else inside.around
+        self.stack.append(Element(tag, inside.weight * prior, inside.article or (article and prior > AROUND), around))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID or tag in BLOCKS or tag in INLINE_NEVER:
-            self.handle_starttag(tag, attrs)
-            if tag not in VOID:
-                self.handle_endtag(tag)
-        else:
-            self.tags += 1
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and (tag in BLOCKS or tag in INLINE_NEVER):
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "a":
             self.in_link = False
-        if tag in INLINE_NEVER:
-            if self.held and any(t == tag for t, _, _ in self.stack[self.held[-1][0] :]):
-                depth, text, links = self.held.pop()
-                self._pop(depth)
-                self.text, self.links = text, links
+        if not self.open[tag]:
             return
-        if tag in BLOCKS:
+        if tag in INLINE_NEVER:
+            if self.held and any(x.tag == tag for x in self.stack[self.held[-1].depth :]):
+                held = self.held.pop()
+                self._pop(held.depth)
+                self.text, self.links = held.text, held.links
+        elif tag in BLOCKS:
             self._flush()
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    while self.held and self.held[-1][0] >= k:
-                        self.held.pop()
-                    self._pop(k)
-                    return
+            k = next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k].tag == tag)
+            while self.held and self.held[-1].depth >= k:
+                self.held.pop()
+            self._pop(max(k, 1))
 
     def handle_data(self, data):
-        state = self.stack[-1][2] if self.stack else OPEN
-        if state != CLOSED and not self.in_link:
-            self.size += len(data.strip())
-        if state != OPEN:
-            return
-        self.text.append(data)
-        if self.in_link:
-            self.links += len(data)
+        if self.stack[-1].tag not in MUTE:
+            self.text.append(data)
+            if self.in_link:
+                self.links += len(data)
 
     def finish(self) -> None:
         self.close()
-        for _, number, _ in self.stack:
-            if number in self.named:
-                self.named[number] = self.size - self.named[number]
-        for _, text, _ in reversed(self.held):
-            self.stack, self.text = [], text + self.text
+        for held in reversed(self.held):
+            self.stack, self.text = self.stack[: held.depth], held.text + ([] if self.stack[-1].weight == 0 else self.text)
         self._flush()
 
 
-def _parsed(html: str) -> _Lines:
-    """The page's lines, by a second reading where names stand on elements that hold most of its text or its main element."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.finish()
-    overruled = parser.around_main.union(n for n, held in parser.named.items() if 2 * held > parser.size)
-    if overruled:
-        parser = _Lines(frozenset(overruled))
-        parser.feed(html)
-        parser.finish()
-    return parser
-
-
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines, with the edge values carried on."""
     radius = max(1, int(np.ceil(2 * sigma)))
@@ -249,57 +245,50 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def _region(lines: list, held: list[int], open_to: list[int], kinds: dict[int, str]) -> int | None:
-    """The smallest element around the lines held that is no block of text; None for the whole page."""
-    common = set(lines[held[0]][4]).intersection(*(lines[i][4] for i in held))
-    around = sorted(n for n in common if kinds[n] not in TEXT_LEVEL)
-    if not around:
-        return None
-    inside = [i for i in open_to if around[-1] in lines[i][4]]
-    if all(lines[i][4][-1] == around[-1] for i in inside):  # used as a paragraph, if other text stands beside it
-        outer = around[-2] if len(around) > 1 else None
-        beside = set(i for i in open_to if outer is None or outer in lines[i][4]).difference(inside)
-        if any(2 * lines[i][2] < len(lines[i][0]) for i in beside):
-            return outer
-    return around[-1]
+def content_lines(lines: list[Line]) -> np.ndarray:
+    """Whether each line is in the cluster over the threshold, smoothed and by itself."""
+    ratios = np.array([x.ratio for x in lines])
+    smoothed = smooth(ratios)
+    level = LEVEL * smoothed.std()
+    content = (smoothed >= level) & (ratios >= level) & (ratios > 0)
+    return content if content.any() else np.array([x.element.weight > 0 for x in lines])
+
+
+def kept_lines(lines: list[Line], content: np.ndarray) -> np.ndarray:
+    """Content lines, and the other lines of their regions that are the text's."""
+    regions: dict[int, list[int]] = {}
+    for i in np.flatnonzero(content).tolist():
+        regions.setdefault(id(lines[i].element.region), []).append(i)
+    weights = {r: [lines[i].element.weight for i in inside] for r, inside in regions.items()}
+    least = {r: ALIKE * float(np.median(w)) for r, w in weights.items()}
+    weights = {r: set(w) for r, w in weights.items()}
+    tags = {r: {lines[i].element.tag for i in inside} for r, inside in regions.items()}
+    kept = content.copy()
+    for i, x in enumerate(lines):
+        r = id(x.element.region)
+        if kept[i] or r not in regions or 2 * x.links >= len(x.text) or (x.element.weight < least[r] and x.element.weight not in weights[r]):
+            continue
+        within = regions[r][0] < i < regions[r][-1]
+        kept[i] = within or x.element.tag in TEXT_LEVEL or x.element.tag in tags[r] or x.element is x.element.region
+    first = np.flatnonzero(kept)[:1].tolist()
+    for i in reversed(range(*([0] + first if first else [0]))):  # headings just above the text, in another element
+        if lines[i].element.tag not in HEADINGS or lines[i].element.weight < min(least.values()):
+            break
+        kept[i] = True
+    return kept
 
 
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by newlines."""
     if not html:
         return ""
-    parser = _parsed(html)
-    lines = parser.lines
-    open_to = [i for i, x in enumerate(lines) if not x[3]]
-    if not open_to:
+    parser = _Lines()
+    parser.feed(html)
+    parser.finish()
+    if not parser.lines:
         return ""
-    ratios = np.array([0.0 if x[3] else max(0, len(x[0]) - x[2]) / x[1] for x in lines])
-    smoothed = smooth(ratios)
-    level = LEVEL * smoothed.std()
-    content = [i for i in open_to if smoothed[i] >= level and ratios[i] > 0] or open_to
-    mass: dict[int, int] = defaultdict(int)
-    for i in content:
-        for number in lines[i][4]:
-            mass[number] += len(lines[i][0])
-    articles = [n for n in mass if parser.kinds.get(n) == "article"]
-    if not articles:  # an article may be too short to stand out
-        for i in open_to:
-            articles += [n for n in lines[i][4] if parser.kinds.get(n) == "article"]
-            mass.update({n: mass[n] + 1 for n in lines[i][4]})
-    if articles:
-        # the heaviest article, or what encloses it as an article, if that holds little else
-        region = max(articles, key=lambda n: (mass[n], n))
-    else:  # lines that only their neighbours lift over the threshold don't widen it
-        region = _region(lines, [i for i in content if ratios[i] >= level] or content, open_to, parser.kinds)
-    kept = [lines[i] for i in open_to if region is None or region in lines[i][4]]
-    if region is not None and not articles and kept:
-        last = max(i for i in open_to if region in lines[i][4])
-        first = min(i for i in open_to if region in lines[i][4])
-        kept = [lines[i] for i in open_to if first <= i <= last and region in lines[i][4]]
-        while first > 0 and not lines[first - 1][3] and lines[first - 1][5]:  # a heading just above its text
-            first -= 1
-            kept.insert(0, lines[first])
-    return "\n".join(x[0] for x in kept)
+    kept = kept_lines(parser.lines, content_lines(parser.lines))
+    return "\n".join(x.text for x, keep in zip(parser.lines, kept, strict=True) if keep)
 
 
 @F.pandas_udf(T.StringType())

@@ -4,44 +4,45 @@ Word counts come from the parts that all URLs write separately: those of paths,
 hyphen in host names. No name vouches for itself: a whole host label counts for nothing, a path's
 part only if its own host does not hold it, a word only if two hosts write it, and one made of seed
 words is none. A name of letters is split into the words of highest total probability; unknown runs
-cost more the longer they are. A naive Bayes model over the words of host and path, trained on URLs
-that hold a word of the seed list, separated or split off (block), or none (allow), scores what no
-rule decides, so concatenated names are caught as well.
+cost more the longer they are, as they do in ``word_cost``.
 
-Vocabulary: words with at least MIN_SHARE of all counted parts, so at most 1 / MIN_SHARE words at
-any input size; that bound is what makes shipping it to executors safe.
+There are no labels for URLs. Those that hold a seed word, written separately or split off, train
+``block``, all others ``allow``; naive Bayes learns from all of them which other words go with either,
+so that names of such words are caught though no seed word is in them.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
-allowed; a rule wins by the length of its text; repeated rows are judged alike; long URLs are read
-whole; only page_id and url are read; without URLs to learn from, all undecided ones are allowed.
+Counts, names and weights are tables that grow with the URLs and are joined, not shipped: a name is
+exploded into its substrings, which meet their counts, and its words are found from those that have
+one. Only the distinct (host, path) pairs are scored.
+
+Defined results: a null url, or one without ``://``, has an empty host and path, no rule, score 0, and
+is allowed; a rule wins by the length of its text; repeated rows are judged alike; long URLs are read
+whole, a name's words are at most LONGEST_WORD letters; only page_id and url are read; if no URL holds
+a seed word, all undecided ones are allowed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import cut
+
 # The rules (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 # Words that mark URLs as spam, adverts or adult content for training.
-SEEDS = tuple(
-    "ad ads adult advert adverts affiliate bet bets betting bonus casino casinos cheap cialis click clickbait coupon dating deals escort farm free gambling jackpot loan loans lottery malware pharmacy phishing pill pills poker popup porn promo replica sex slots spam sponsor track tracker tracking viagra win winner xxx".split()
-)
-MIN_SHARE = 1e-6
-#: The documented bound of the sample that naive Bayes is fitted on.
-SAMPLE_ROWS = 100_000
+SEEDS = tuple("ads adult advert betting bets bonus casino cialis clickbait escort gambling jackpot lottery malware phishing pills poker porn promo spam viagra xxx".split())
 LONGEST_WORD = 24
 SMOOTHING = 0.5
-
-_LETTERS = re.compile(r"[a-z]+")
+#: Share of all counted parts that a seed word has at least.
+SEED_SHARE = 1e-4
+#: What an unknown letter costs, in logarithms.
+UNKNOWN = 2.3
 
 
 def host_of(url: str | Column) -> Column:
@@ -71,119 +72,95 @@ def parts_of(host: Column, path: Column) -> Column:
     return F.concat(beside, F.filter(F.regexp_extract_all(F.lower(path), F.lit(r"([a-z]+)"), 1), lambda w: ~F.contains(host, w)))
 
 
-@dataclass
-class Segmenter:
-    """Unigram Viterbi over the words' log probabilities."""
-
-    logs: dict[str, float]
-    total: float
-    memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-    def _log(self, word: str) -> float:
-        known = self.logs.get(word)
-        return known if known is not None else -np.log(max(self.total, 1.0)) - 2.3 * len(word)
-
-    def split(self, name: str) -> tuple[str, ...]:
-        found = self.memo.get(name)
-        if found is None:
-            n = len(name)
-            best, cut = [0.0] + [-np.inf] * n, [0] * (n + 1)
-            for end in range(1, n + 1):
-                for start in range(max(0, end - LONGEST_WORD), end):
-                    score = best[start] + self._log(name[start:end])
-                    if score > best[end]:
-                        best[end], cut[end] = score, start
-            words, end = [], n
-            while end:
-                words.append(name[cut[end] : end])
-                end = cut[end]
-            found = tuple(reversed(words))
-            if len(self.memo) < 200_000:
-                self.memo[name] = found
-        return found
-
-
-@dataclass
-class NaiveBayes:
-    """Multinomial: log odds of block against allow, by word."""
-
-    weights: dict[str, float]
-    bias: float
-    unseen: float = 0.0
-
-    @classmethod
-    def fit(cls, rows: Iterable[tuple[Iterable[str], bool]]) -> NaiveBayes:
-        counts: dict[str, list[int]] = {}
-        docs = [0, 0]
-        for words, block in rows:
-            docs[block] += 1
-            for w in words:
-                counts.setdefault(w, [0, 0])[block] += 1
-        if not docs[0] or not docs[1]:
-            return cls({}, -1.0 if docs[0] or not docs[1] else 1.0)
-        totals = [sum(c[k] for c in counts.values()) + SMOOTHING * (len(counts) + 1) for k in (0, 1)]
-        weigh = lambda a, b: float(np.log((b + SMOOTHING) / totals[1]) - np.log((a + SMOOTHING) / totals[0]))
-        return cls({w: weigh(*c) for w, c in counts.items()}, float(np.log(docs[1] / docs[0])), weigh(0, 0))
-
-    def score(self, words: Iterable[str]) -> float:
-        return self.bias + sum(self.weights.get(w, self.unseen) for w in words)
-
-
-@dataclass
-class UrlModel:
-    segmenter: Segmenter
-    bayes: NaiveBayes
-
-    def words(self, host: str, path: str) -> list[str]:
-        return [w for part in _LETTERS.findall(host + "/" + path.lower()) for w in self.segmenter.split(part)]
-
-    def score(self, host: str, path: str) -> float:
-        return self.bayes.score(self.words(host, path)) if host else -1.0
-
-
-def fit(urls: DataFrame, seeds=SEEDS, min_share: float = MIN_SHARE, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
-    """Count the words of all URLs (column url), then fit naive Bayes on a bounded sample."""
-    split = urls.select("url", host_of("url").alias("host_"), path_of("url").alias("path_"))
-    parts = split.select("host_", F.explode(parts_of(F.col("host_"), F.col("path_"))).alias("word"))
-    counts = parts.groupBy("word").agg(F.count("*").alias("count"), (F.min("host_") != F.max("host_")).alias("shared_")).where("shared_")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    words = {r["word"]: r["count"] for r in counts.where(F.col("count") >= min_share * total).toLocalIterator()}
-    joined = re.compile(f"(?:{'|'.join(map(re.escape, seeds))}){{2,}}")
-    words = {w: c for w, c in words.items() if w in seeds or not joined.fullmatch(w)}
-    for w in seeds:
-        words[w] = words.get(w, 0) + max(1, total // 10_000)
-    mass = float(sum(words.values()))
-    segmenter = Segmenter({w: float(np.log(c / mass)) for w, c in words.items() if len(w) <= LONGEST_WORD}, mass)
-    order = F.xxhash64("url", F.lit(29))
-    rows = split.where("host_ <> ''").select(order.alias("h"), "host_", "path_").orderBy("h", "host_", "path_").limit(sample_rows).toPandas()
-    known = set(seeds)
-    model = UrlModel(segmenter, NaiveBayes({}, -1.0))
-    split_up = ((model.words(h, p), _LETTERS.findall(h + "/" + p.lower())) for h, p in zip(rows["host_"], rows["path_"], strict=True))
-    labelled = ((found, not known.isdisjoint(found + parts)) for found, parts in split_up)
-    model.bayes = NaiveBayes.fit(labelled)
-    segmenter.memo = {}
-    return model
-
-
-def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of pages (page_id, url)."""
-    shipped = pages.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = shipped.value
-        for host, path in batches:
-            yield pd.Series([known.score(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
+def names_of(host: Column, path: Column) -> Column:
+    """All runs of letters of the host and of the path, lower-cased."""
+    return F.regexp_extract_all(F.concat(host, F.lit("/"), F.lower(path)), F.lit("([a-z]+)"), 1)
+
 
+def word_counts(urls: DataFrame, seeds=SEEDS) -> tuple[DataFrame, float]:
+    """word and count of what URLs (host, path) write separately, the seeds among them, and the sum of the counts."""
+    spark = urls.sparkSession
+    parts = urls.select("host", F.explode(parts_of(F.col("host"), F.col("path"))).alias("word"))
+    counts = parts.groupBy("word").agg(F.count("*").alias("count"), (F.min("host") != F.max("host")).alias("shared")).where("shared").select("word", "count")
+    joined = f"^(?:{'|'.join(map(re.escape, seeds))}){{2,}}$"
+    counts = cut(counts.where((F.length("word") <= LONGEST_WORD) & (F.col("word").isin(*seeds) | ~F.col("word").rlike(joined))))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    floor = spark.createDataFrame([(w, max(1, int(SEED_SHARE * total))) for w in seeds], "word string, count long")
+    counts = cut(counts.unionByName(floor).groupBy("word").agg(F.sum("count").alias("count")))
+    return counts, float(counts.agg(F.sum("count")).first()[0])
+
+
+def word_cost(count: int | None, length: int, total: float) -> float:
+    """What a word costs, the negative logarithm of its probability."""
+    return math.log(total) - math.log(count) if count else math.log(total) + UNKNOWN * length
+
+
+def best_split(name: str, known: dict[tuple[int, int], int], total: float) -> list[str]:
+    """Viterbi: the words of least cost; known has the counts of substrings by begin and length."""
+    n = len(name)
+    best, cut_at = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - LONGEST_WORD), end):
+            cost = best[start] + word_cost(known.get((start, end - start)), end - start, total)
+            if cost < best[end]:
+                best[end], cut_at[end] = cost, start
+    words, end = [], n
+    while end:
+        words.append(name[cut_at[end] : end])
+        end = cut_at[end]
+    return words[::-1]
+
+
+def segmented(names: DataFrame, counts: DataFrame, total: float) -> DataFrame:
+    """name and words of the distinct names (column name)."""
+    spots = F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - k + 1)), lambda n: F.struct(k.alias("at"), n.alias("n"))))
+    pieces = names.select("name", F.explode(F.flatten(spots)).alias("s")).select("name", "s", F.substring("name", F.col("s.at"), F.col("s.n")).alias("word"))
+    met = pieces.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("s.at", "s.n", "count")).alias("known"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(batch: pd.Series, known: pd.Series) -> pd.Series:
+        found = [{} if k is None else {(x["at"] - 1, x["n"]): x["count"] for x in k} for k in known]
+        return pd.Series([best_split(n, k, total) for n, k in zip(batch, found, strict=True)], dtype=object)
+
+    return names.join(met, "name", "left").select("name", split("name", "known").alias("words"))
+
+
+def bayes_weight(allow: Column, block: Column, totals: dict[str, float]) -> Column:
+    """Log odds of block against allow of a word with these counts."""
+    return F.log((block + SMOOTHING) / totals["block"]) - F.log((allow + SMOOTHING) / totals["allow"])
+
+
+def url_scores(urls: DataFrame, seeds=SEEDS) -> DataFrame:
+    """host, path and score, the log odds of block, of the distinct urls (host, path)."""
+    counts, total = word_counts(urls, seeds)
+    distinct = cut(urls.where("host <> ''").select("host", "path").distinct())
+    runs = distinct.select("host", "path", F.explode(names_of(F.col("host"), F.col("path"))).alias("name"))
+    split = cut(segmented(runs.select("name").distinct(), counts, total))
+    words = cut(runs.join(split, "name").select("host", "path", F.explode("words").alias("word"), F.col("name").isin(*seeds).alias("whole")))
+    marked = words.groupBy("host", "path").agg(F.max(F.col("whole") | F.col("word").isin(*seeds)).alias("block"))
+    labelled = words.join(marked, ["host", "path"])
+    by_word = cut(labelled.groupBy("word").agg(F.count_if("block").alias("block"), F.count_if(~F.col("block")).alias("allow")))
+    sums = by_word.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
+    n_block, n_allow = marked.agg(F.count_if("block"), F.count_if(~F.col("block"))).first()
+    if not n_block or not n_allow:
+        return distinct.withColumn("score", F.lit(-1.0 if not n_block else 1.0))
+    totals = {"block": sums[0] + SMOOTHING * (sums[2] + 1), "allow": sums[1] + SMOOTHING * (sums[2] + 1)}
+    weights = by_word.select("word", bayes_weight(F.col("allow"), F.col("block"), totals).alias("weight"))
+    summed = words.join(weights, "word").groupBy("host", "path").agg(F.sum(F.col("weight").cast("decimal(24,9)")).cast("double").alias("sum"))
+    return distinct.join(summed, ["host", "path"], "left").select("host", "path", (F.coalesce("sum", F.lit(0.0)) + F.lit(math.log(n_block / n_allow))).alias("score"))
+
+
+def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every row of pages (page_id, url)."""
     rows = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    rows = rows.withColumn("score", F.round(score("host", "path"), 6))
+    scores = cut(url_scores(rows, seeds))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
+    score = F.coalesce(F.round("score", 6), F.lit(0.0))
+    return rows.join(scores, ["host", "path"], "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's score of every url."""
     from tessera.session import table
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, fit(pages))
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
