@@ -35,3 +35,9 @@ def listing(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     info = store.get_file_info(inside)
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inside, recursive=True))
     return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(suffixes))
+
+
+def delete(spark, path: str) -> None:
+    """Remove a folder of intermediate files, in any store that Spark reads."""
+    inside = spark._jvm.org.apache.hadoop.fs.Path(path)
+    inside.getFileSystem(spark._jsc.hadoopConfiguration()).delete(inside, True)

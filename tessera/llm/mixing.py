@@ -170,11 +170,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     """
     from tessera.llm.ngram_jaccard import row_keys
 
-    narrow = cut(docs.select("doc_id", "source", word_count("text").alias("size"), *row_keys()))
+    key_a, key_b = row_keys()
+    narrow = cut(docs.select("doc_id", "source", word_count("text").alias("size"), key_a.alias("key_a"), key_b.alias("key_b")))
     taken = mix(narrow.withColumnRenamed("key_a", "text_key"), weights, most).where("taken > 0")
     copies = taken.groupBy(F.col("text_key").alias("key_a"), "key_b").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies_"))
-    once = docs.select("*", *row_keys()).join(copies, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
-    return once.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    # no name of docs is used beside the keys', so that none can clash
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row_"), key_a.alias("key_a"), key_b.alias("key_b"))
+    once = whole.join(copies, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    return once.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_")).select("row_.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -3,21 +3,20 @@
 Documents are sets of shingles (SHINGLE words each). Two link when their Jaccard similarity is at
 least 4 / 5; the exact join is carried out so that no pair of linked texts is lost:
 
-1. equal sets form a class, found by a 128-bit signature of each set; only classes are compared;
-2. a shingle that only one class has can't be shared. Shingles are dealt by their hash in packed
-   arrays, and each class learns which of its shingles another class has as well. As the overlap of
-   a link is at least 4 / 5 of either set, classes with fewer shared shingles are done;
-3. the first order is by frequency, rarest first, then by the shingle. Linked sets share a shingle
-   in their prefixes, what is left of a set beyond the least overlap, and one more;
-4. pairs with such a shingle in common must also share prefix shingles under two other orders (by
-   different hashes) before the overlap is counted. Each is a necessary condition for any order, so
-   their intersection loses nothing;
-5. a bucket of the first order compares its members with one pivot first; after the components of
-   those links are known, only pairs of different components are compared, so a group of near
-   copies is not expanded into its pairs.
-
-A shingle that a map task sees in two classes is sent on once, and its owners are told directly, so
-a shingle of a third of all texts doesn't gather its owners in one task.
+1. texts are hashed in batches; equal sets of a batch are one class, named by a 128-bit signature.
+   Each token (a shingle's hash) is dealt to a part once a batch, and hears how many batches and
+   sets have it. The overlap of a link is at least 4 / 5 of either set, so classes in which fewer
+   tokens are met elsewhere are done;
+2. three global orders put the rarest tokens first and break ties by different hashes. What is left
+   of a set beyond the least overlap, and one more, is its prefix; linked sets share a token in
+   their prefixes under every order. Candidates by the first order must share prefix tokens under
+   the two others before their sets are fetched and counted. Each is a necessary condition;
+3. groups of near copies are joined first, each set with a pivot of those that share its least token
+   under GROUPINGS hashes, or a prefix token, so that a group isn't expanded into its pairs. Once
+   this joins few sets more, candidates of the first order are pairs of different components.
+
+Nothing gathers what shares a token: a batch sends a token once, however many of its sets have it,
+with their number; its sets are told in the batch's own part.
 
 Defined results: texts of fewer than SHINGLE words are one shingle, the whole sequence; null texts
 and texts without words have no shingles and link with nothing, their component is their own
@@ -28,29 +27,35 @@ empty result.
 
 from __future__ import annotations
 
-import gc
-import time
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.batches import small_batches, tidy
+from tessera.llm.files import delete
 from tessera.llm.graph import connected_components
-from tessera.session import cut, shuffle_partitions
+from tessera.session import cut, freed_shuffles, shared_dir, shuffle_partitions
 
 SHINGLE = 5
 #: The threshold as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Shingles in a part, about, and in a batch of a map task.
+#: Shingles in a part, about; bytes of text for a shingle, at least, by which parts are counted.
 PART_SHINGLES = 2_000_000
+SHINGLE_BYTES = 4
+#: Shingles and sets in a batch of a map task, and entries in a packed row.
 BATCH_SHINGLES = 1_000_000
-#: Seeds of the orders by hash.
-ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+BATCH_SETS = 65_535
+ROW_ENTRIES = 4_000_000
+#: Seeds of the three orders, and of the hashes that group near copies.
+ORDERS = (0x5851F42D4C957F2D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+GROUPINGS = (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xD6E8FEB86659FD93)
+#: Rounds of pivots go on while they link at least this share of the sets that are open.
+FAIR_SHARE = 0.1
 
 #: Bytes of text that are hashed at once.
 PIECE_BYTES = 1 << 20
@@ -149,284 +154,381 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sig2", T.LongType())]))
-def set_signature(texts: pd.Series) -> pd.DataFrame:
-    rows = [(len(tokens), *signature(tokens)) for tokens in shingle_sets(texts)]
-    return pd.DataFrame(rows, columns=["n", "sig", "sig2"], dtype="int64")
-
-
-def least_overlap(total: np.ndarray | int):
+def least_overlap(total: int) -> int:
     """The least intersection of two linked sets with ``total`` elements together."""
     return -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
 
 
-# Packed rows: tokens of one part, owner by owner; owners as (sig, n, tokens).
-PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("tokens", pa.binary())])
-OWNER = np.dtype([("sig", "<i8"), ("n", "<u4"), ("count", "<u4")])
-PLAIN, TOLD, MARK = 0, 1, 2
+# Packed rows: what a batch sends to a part of the tokens, or to its own part, its home.
+PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("source", pa.int32()), ("owners", pa.binary()), ("tokens", pa.binary()), ("levels", pa.binary())])
+PACKED_DDL = "part int, kind int, batch long, source int, owners binary, tokens binary, levels binary"
+#: A batch's sets and its documents; its tokens of one set, of several, and the latter with their sets; replies to the first two.
+SETS, ROWS, ONE, MANY, OWNED, ONE_SAYS, MANY_SAYS = range(7)
+SET = np.dtype([("sig", "<i8"), ("sig2", "<i8"), ("n", "<i8")])
+ROW = np.dtype([("owner", "<i4"), ("null", "u1"), ("doc_id", "<i8"), ("key_a", "<i8"), ("key_b", "<i8")])
+FOUND_DDL = "is_set boolean, doc_id long, key_a long, key_b long, id binary, batch long, n long, shared int, tokens array<long>, first array<long>, second array<int>, third array<int>, groups array<long>"
+LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+FOUND = pa.schema(
+    [("is_set", pa.bool_()), *((c, pa.int64()) for c in ("doc_id", "key_a", "key_b")), ("id", pa.binary()), ("batch", pa.int64()), ("n", pa.int64()), ("shared", pa.int32())]
+    + [("tokens", LONGS), ("first", LONGS), ("second", INTS), ("third", INTS), ("groups", LONGS)]
+)
 
 
-def _pack(part: np.ndarray, owner: np.ndarray, tokens: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, kind: int) -> Iterator[dict]:
-    """Rows of entries (part, owner, token), one for each part."""
-    if not len(part):
-        return
-    order = np.lexsort((owner, part))
-    part, owner, tokens = part[order], owner[order], tokens[order]
-    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    for begin, end in zip(edges, np.r_[edges[1:], len(part)], strict=True):
-        who = owner[begin:end]
-        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        table = np.zeros(len(first), dtype=OWNER)
-        table["sig"], table["n"], table["count"] = sigs[who[first]], sizes[who[first]], np.diff(np.r_[first, len(who)])
-        yield {"part": int(part[begin]), "kind": kind, "owners": table.tobytes(), "tokens": tokens[begin:end].tobytes()}
+def _tokens(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Tokens of which the part, and six bytes beyond it, are all there is; the hashes from 65,536 parts on."""
+    return hashes % np.uint64(parts << 48) if parts < 1 << 16 else hashes
 
 
-def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sig and n of each entry's owner, and its token."""
-    table = np.frombuffer(b"".join(rows["owners"]), dtype=OWNER)
-    return np.repeat(table["sig"], table["count"]), np.repeat(table["n"], table["count"]), np.frombuffer(b"".join(rows["tokens"]), dtype=np.uint64)
+def _six(tokens: np.ndarray, parts: int) -> bytes:
+    return (tokens // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _to_batch(rows: Iterable[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(list(rows), schema=PACKED)
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
-def _deal(parts: int):
-    """Map tasks: sets of a batch of texts, packed by part."""
+def _row(part: int, kind: int, batch: int, source: int = 0, owners: bytes = b"", tokens: bytes = b"", levels: bytes = b"") -> dict:
+    return {"part": part, "kind": kind, "batch": batch, "source": source, "owners": owners, "tokens": tokens, "levels": levels}
+
+
+def _spans(n: int) -> Iterator[slice]:
+    """Rows of at most ROW_ENTRIES entries."""
+    return (slice(k, min(k + ROW_ENTRIES, n)) for k in range(0, n, ROW_ENTRIES))
+
 
-    def rows_of(sets: dict[int, np.ndarray]) -> Iterator[dict]:
-        sigs = np.fromiter(sets, dtype=np.int64, count=len(sets))
-        sizes = np.array([len(s) for s in sets.values()], dtype=np.uint32)
-        tokens = np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+def _by_part(tokens: np.ndarray, parts: int, others: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Parts with their tokens and what else there is of each, in the order of the latter."""
+    if not len(tokens):
+        return
+    part = (tokens % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((others, part))
+    part, tokens, others = part[order], tokens[order], others[order]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+    for begin, end in zip(edges, [*edges[1:], len(part)], strict=True):
+        for span in _spans(end - begin):
+            yield int(part[begin]), tokens[begin:end][span], others[begin:end][span]
+
+
+class _Batch:
+    """Documents of a map task and their distinct sets."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.owners, self.sets, self.rows, self.held = number, {}, [], [], 0
+
+    def add(self, tokens: np.ndarray, doc_id: int | None, key_a: int, key_b: int) -> None:
+        owner = -1
+        if len(tokens):
+            owner = self.owners.setdefault(signature(tokens), len(self.sets))
+            if owner == len(self.sets):
+                self.sets.append(tokens)
+                self.held += len(tokens)
+        self.rows.append((owner, doc_id is None, doc_id or 0, key_a, key_b))
+
+    @property
+    def full(self) -> bool:
+        return self.held >= BATCH_SHINGLES or len(self.rows) >= BATCH_SETS
+
+    def packed(self, parts: int) -> Iterator[dict]:
+        table = np.zeros(len(self.sets), dtype=SET)
+        for k, ((sig, sig2), tokens) in enumerate(zip(self.owners, self.sets, strict=True)):
+            table[k] = sig, sig2, len(tokens)
+        # a task that runs again on other rows gives other names, which _gather would notice
+        name = int(np.bitwise_xor.reduce(_mix(table["sig"].view(np.uint64), self.number), initial=_mix(np.array([self.number], dtype=np.uint64))[0]).astype(np.int64))
+        home = name % parts
+        yield _row(home, SETS, name, tokens=table.tobytes())
+        for span in _spans(len(self.rows)):
+            yield _row(home, ROWS, name, tokens=np.array(self.rows[span], dtype=ROW).tobytes())
+        if not self.sets:
+            return
+        tokens = _tokens(np.concatenate(self.sets), parts)
+        owner = np.repeat(np.arange(len(table), dtype=np.uint16), table["n"])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        starts = np.r_[True, tokens[1:] != tokens[:-1]]
-        run = np.cumsum(starts) - 1
-        many = np.bincount(run)[run] > 1  # in two sets of this batch, as a set has a token once
-        part = (tokens % np.uint64(parts)).astype(np.int32)
-        yield from _pack(part[~many], owner[~many], tokens[~many], sigs, sizes, PLAIN)
-        yield from _pack((sigs[owner[many]] % parts).astype(np.int32), owner[many], tokens[many], sigs, sizes, TOLD)
-        one = many & starts
-        yield from _pack(part[one], owner[one], tokens[one], sigs, sizes, MARK)
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        times = np.diff(np.r_[starts, len(tokens)]).astype(np.uint32)
+        many = np.repeat(times > 1, times)  # in several sets of this batch, as a set has a token once
+        for part, some, whose in _by_part(tokens[~many], parts, owner[~many]):
+            yield _row(part, ONE, name, owners=whose.tobytes(), tokens=_six(some, parts))
+        for part, some, counts in _by_part(tokens[starts[times > 1]], parts, times[times > 1]):
+            yield _row(part, MANY, name, owners=counts.tobytes(), tokens=_six(some, parts))
+        tokens, owner = tokens[many], owner[many]
+        for span in _spans(len(tokens)):
+            yield _row(home, OWNED, name, owners=owner[span].tobytes(), tokens=tokens[span].tobytes())
+
+
+def _deal(parts: int):
+    """Map tasks: texts with doc_id and keys, packed batch by batch."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        held = 0
+        task, number = TaskContext.get().partitionId(), 0
+        held = _Batch(task << 24)
         for batch in batches:
-            for tokens in shingle_sets(batch.column(0).to_pylist()):
-                if len(tokens):
-                    sig = signature(tokens)[0]
-                    if sig not in sets:
-                        sets[sig] = tokens
-                        held += len(tokens)
-                if held >= BATCH_SHINGLES:
-                    yield _to_batch(rows_of(sets))
-                    sets, held = {}, 0
-        if sets:
-            yield _to_batch(rows_of(sets))
-        sets = {}
+            texts, *rest = (c.to_pylist() for c in batch.columns)
+            for tokens, *row in zip(shingle_sets(texts), *rest, strict=True):
+                held.add(tokens, *row)
+                if held.full:
+                    yield pa.RecordBatch.from_pylist(list(held.packed(parts)), schema=PACKED)
+                    number += 1
+                    held = _Batch((task << 24) + number)
+        if held.rows:
+            yield pa.RecordBatch.from_pylist(list(held.packed(parts)), schema=PACKED)
+        del held
         tidy()
 
     return deal
 
 
+def _levels(times: np.ndarray) -> np.ndarray:
+    """How frequent a token is, in quarters of powers of two; 0 for what is met once."""
+    return np.floor(4 * np.log2(np.maximum(times, 1))).clip(max=255).astype(np.uint8)
+
+
 def _tell(parts: int):
-    """For a part of the tokens: those that two classes have, packed by their owners' part."""
-
-    def tell(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        plain = rows[rows["kind"] != TOLD]
-        if len(plain):
-            sig, n, tokens = _unpack(plain)
-            marked = np.repeat(plain["kind"].to_numpy() == MARK, [len(t) // 8 for t in plain["tokens"]])
-            order = np.argsort(tokens, kind="stable")
-            sig, n, tokens, marked = sig[order], n[order], tokens[order], marked[order]
-            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-            shared = (np.minimum.reduceat(sig, starts) != np.maximum.reduceat(sig, starts)) | np.logical_or.reduceat(marked, starts)
-            keep = np.repeat(shared, np.diff(np.r_[starts, len(tokens)])) & ~marked
-            sig, n, tokens = sig[keep], n[keep], tokens[keep]
-            who, owner = np.unique(sig, return_inverse=True)
-            sizes = np.zeros(len(who), dtype=np.uint32)
-            sizes[owner] = n
-            out += _pack((sig % parts).astype(np.int32), owner, tokens, who, sizes, PLAIN)
-        told = rows[rows["kind"] == TOLD]
-        if len(told):
-            out += [{"part": int(p), "kind": PLAIN, "owners": o, "tokens": t} for p, o, t in zip(told["part"], told["owners"], told["tokens"], strict=True)]
-        return pd.DataFrame(out, columns=PACKED.names)
+    """For a part of the tokens: replies to the batches, a level for each token that is met twice or more."""
+
+    def tell(rows: pa.Table) -> pa.Table:
+        kinds = rows.column("kind").to_numpy()
+        asked = rows.filter(pa.array((kinds == ONE) | (kinds == MANY)))
+        passed = rows.filter(pa.array((kinds != ONE) & (kinds != MANY)))
+        if not len(asked):
+            return passed
+        kinds, names = asked.column("kind").to_pylist(), asked.column("batch").to_pylist()
+        raw = asked.column("tokens").to_pylist()
+        said = asked.column("owners").to_pylist()
+        part = asked.column("part")[0].as_py()
+        tokens = np.concatenate([_from_six(t) for t in raw])
+        times = np.concatenate([np.frombuffer(o, dtype=np.uint32) if k == MANY else np.ones(len(t) // 6, dtype=np.uint32) for k, o, t in zip(kinds, said, raw, strict=True)])
+        order = np.argsort(tokens, kind="stable")
+        starts = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order[0]] ^ np.uint64(1)))
+        found = _levels(np.add.reduceat(times[order].astype(np.int64), starts))
+        level = np.empty(len(tokens), dtype=np.uint8)
+        level[order] = np.repeat(found, np.diff(np.r_[starts, len(tokens)]))
+        out, at = [], 0
+        for kind, name, owners, six in zip(kinds, names, said, raw, strict=True):
+            some = level[at : at + len(six) // 6]
+            keep = some > 0
+            at += len(some)
+            if keep.any():
+                whose = np.frombuffer(owners, dtype=np.uint16)[keep].tobytes() if kind == ONE else b""
+                kept = np.frombuffer(six, dtype=np.uint8).reshape(-1, 6)[keep].tobytes()
+                out.append(_row(name % parts, ONE_SAYS if kind == ONE else MANY_SAYS, name, part, whose, kept, some[keep].tobytes()))
+        del tokens, times, order, level
+        tidy()
+        return pa.concat_tables([passed, pa.Table.from_pylist(out, schema=PACKED)])
 
     return tell
 
 
-def _gather(rows: pd.DataFrame) -> pd.DataFrame:
-    """For a part of the owners: those with enough shared shingles, and these shingles."""
-    sig, n, tokens = _unpack(rows)
-    order = np.lexsort((tokens, sig))
-    sig, n, tokens = sig[order], n[order], tokens[order]
-    once = np.r_[True, (sig[1:] != sig[:-1]) | (tokens[1:] != tokens[:-1])]
-    sig, n, tokens = sig[once], n[once], tokens[once]
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    ends = np.r_[starts[1:], len(sig)]
-    enough = DENOMINATOR * (ends - starts) >= NUMERATOR * n[starts].astype(np.int64)
-    tidy()
-    out = [(int(sig[b]), int(n[b]), tokens[b:e].astype(np.int64)) for b, e in zip(starts[enough], ends[enough], strict=True)]
-    return pd.DataFrame(out, columns=["sig", "n", "tokens"])
+def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.ListType) -> pa.ListArray:
+    """Lists of n owners, whose numbers values are sorted by."""
+    offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32)
+    whole = values.view(np.int64) if kind == LONGS else (values & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole, kind.value_type))
+
+
+def _names(table: np.ndarray) -> pa.Array:
+    """Both halves of the signature, as bytes."""
+    raw = np.ascontiguousarray(np.stack([table["sig"], table["sig2"]], axis=1)).tobytes()
+    return pa.Array.from_buffers(pa.binary(16), len(table), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _found(rows: int, /, **columns) -> pa.Table:
+    return pa.table({f.name: columns.get(f.name, pa.nulls(rows, f.type)) for f in FOUND}, schema=FOUND)
+
+
+def _home(name: int, rows: pa.Table, parts: int) -> Iterator[pa.Table]:
+    """A batch's documents, and of its sets those that enough of is met elsewhere, with their prefixes."""
+    by_kind: dict[int, list[dict]] = {}
+    for row in rows.to_pylist():
+        by_kind.setdefault(row["kind"], []).append(row)
+    if SETS not in by_kind:
+        raise RuntimeError("a task that ran again got other rows; write the documents to a table first")
+    table = np.frombuffer(by_kind[SETS][0]["tokens"], dtype=SET)
+    names = _names(table)
+    for row in by_kind.get(ROWS, ()):
+        docs = np.frombuffer(row["tokens"], dtype=ROW)
+        none = docs["owner"] < 0
+        n = np.where(none, 0, table["n"][docs["owner"]] if len(table) else 0)
+        ids = names.take(pa.array(docs["owner"], pa.int32(), mask=none))
+        yield _found(len(docs), is_set=pa.array(np.zeros(len(docs), dtype=bool)), doc_id=pa.array(docs["doc_id"], mask=docs["null"] > 0), key_a=pa.array(docs["key_a"]), key_b=pa.array(docs["key_b"]), id=ids, n=pa.array(n, pa.int64()))
+
+    whole = lambda r: _from_six(r["tokens"]) * np.uint64(parts) + np.uint64(r["source"])
+    join = lambda arrays, kind: np.concatenate([np.array([], dtype=kind), *arrays])
+    read = lambda kind, field, to: join([np.frombuffer(r[field], dtype=to) for r in by_kind.get(kind, ())], to)
+    tokens, owner, level = join(map(whole, by_kind.get(ONE_SAYS, ())), np.uint64), read(ONE_SAYS, "owners", np.uint16), read(ONE_SAYS, "levels", np.uint8)
+    owned, whose = read(OWNED, "tokens", np.uint64), read(OWNED, "owners", np.uint16)
+    if len(owned):
+        told, said = join(map(whole, by_kind.get(MANY_SAYS, ())), np.uint64), read(MANY_SAYS, "levels", np.uint8)
+        order = np.argsort(told)
+        tokens, owner, level = np.r_[tokens, owned], np.r_[owner, whose], np.r_[level, said[order][np.searchsorted(told[order], owned)]]
+    shared = np.bincount(owner, minlength=len(table))
+    enough = (shared > 0) & (DENOMINATOR * shared >= NUMERATOR * table["n"])
+    if not enough.any():
+        return
+    number = np.cumsum(enough) - 1
+    keep = enough[owner]
+    tokens, owner, level = tokens[keep], number[owner[keep]], level[keep]
+    table, shared, m = table[enough], shared[enough], int(enough.sum())
+    order = np.argsort(owner, kind="stable")
+    tokens, owner, level = tokens[order], owner[order], level[order]
+    starts = np.r_[0, np.cumsum(shared)]
+    most = shared - (-(-NUMERATOR * table["n"] // DENOMINATOR)) + 1  # words of the prefix
+    prefixes = []
+    for seed in ORDERS:
+        order = np.lexsort((_mix(tokens, seed), level, owner))
+        inside = np.arange(len(owner)) - starts[owner] < most[owner]  # owner is sorted, in any order of its tokens
+        prefixes.append(_lists(tokens[order][inside], owner[inside], m, LONGS if seed == ORDERS[0] else INTS))
+    least = np.stack([np.minimum.reduceat(_mix(tokens, seed), starts[:-1]) for seed in GROUPINGS], axis=1)
+    yield _found(
+        m,
+        is_set=pa.array(np.ones(m, dtype=bool)),
+        id=names.filter(pa.array(enough)),
+        batch=pa.array(np.full(m, name, dtype=np.int64)),
+        n=pa.array(table["n"], pa.int64()),
+        shared=pa.array(shared, pa.int32()),
+        tokens=_lists(tokens, owner, m, LONGS),
+        first=prefixes[0],
+        second=prefixes[1],
+        third=prefixes[2],
+        groups=_lists(least.ravel(), np.repeat(np.arange(m), len(GROUPINGS)), m, LONGS),
+    )
+
+
+def _gather(parts: int):
+    """For a part of the batches: each batch's documents and sets."""
+
+    def gather(rows: pa.Table) -> pa.Table:
+        names = rows.column("batch").to_numpy()
+        out = [t for name in np.unique(names).tolist() for t in _home(name, rows.filter(pa.array(names == name)), parts)]
+        tidy()
+        return pa.concat_tables(out)
 
+    return gather
 
-def shared_sets(docs: DataFrame, total: int) -> DataFrame:
-    """sig, n and shared shingles of the classes that may link, of docs with ``total`` shingles."""
-    parts = int(max(shuffle_partitions(docs.sparkSession), total // PART_SHINGLES + 1))
-    packed = "part int, kind int, owners binary, tokens binary"
-    dealt = docs.select("text").mapInArrow(_deal(parts), packed).repartition(parts, "part")
-    told = dealt.groupBy("part").applyInPandas(_tell(parts), packed).repartition(parts, "part")
-    return told.groupBy("part").applyInPandas(_gather, "sig long, n long, tokens array<long>")
 
+def found_sets(docs: DataFrame, folder: str) -> DataFrame:
+    """The documents of docs (text, doc_id, key_a, key_b), and the sets that may link, from a table in folder."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(shuffle_partitions(spark), size // (SHINGLE_BYTES * PART_SHINGLES) + 1))
+    dealt = docs.select("text", "doc_id", "key_a", "key_b").mapInArrow(_deal(parts), PACKED_DDL).repartitionById(parts, F.col("part"))
+    told = dealt.groupBy("part").applyInArrow(_tell(parts), PACKED_DDL).repartitionById(parts, F.col("part"))
+    told.groupBy("part").applyInArrow(_gather(parts), FOUND_DDL).write.parquet(folder)
+    return spark.read.schema(FOUND_DDL).parquet(folder)
 
-def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """For each prefix token under the order by frequency: sig, n, shared, token and its place at.
 
-    score tells how central a set is: the frequencies of its shingles, summed, by its size.
-    """
-    each = sets.select("sig", "n", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    rare = each.join(rarity, "token", "left").select("sig", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("x"))
-    # sizes and sums are aggregated beside the list, so that only the prefix needs the sorted one
-    ordered = rare.groupBy("sig", "n").agg(F.sort_array(F.collect_list("x")).alias("order"), F.count("*").alias("shared"), (F.sum("x.df") / F.first("n")).alias("score"))
-    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    prefix = F.slice("order", 1, F.greatest(F.col("shared") - least + 1, F.lit(0)).cast("int"))
-    placed = ordered.select("sig", "n", "shared", "score", F.posexplode(prefix).alias("at", "x")).where("x.df > 1")
-    return placed.select("sig", "n", "shared", "score", "at", F.col("x.token").alias("token"))
-
-
-def _shares_prefixes(x: np.ndarray, y: np.ndarray, least: int) -> bool:
-    """Whether the prefixes of two sets have a shingle in common under each order by hash."""
-    for seed in ORDERS:
-        hx, hy = _mix(x, seed), _mix(y, seed)
-        px, py = np.partition(hx, len(x) - least)[: len(x) - least + 1], np.partition(hy, len(y) - least)[: len(y) - least + 1]
-        if not len(np.intersect1d(px, py, assume_unique=True)):
-            return False
-    return True
+def _alike(a: str, b: str) -> Column:
+    """Whether sets of these sizes can link."""
+    return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
-@F.pandas_udf(T.StructType([T.StructField("overlap", T.LongType()), T.StructField("links", T.BooleanType())]))
-def compare(xs: pd.Series, ys: pd.Series, totals: pd.Series, always: pd.Series) -> pd.DataFrame:
-    """Whether two sets link, and their overlap.
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among pairs: a and b, each the id and the batch of a set."""
 
-    Prefixes under the orders by hash come first; where they rule a link out, the overlap is only
-    counted if it is wanted ``always``, and else null.
-    """
-    rows = []
-    for x, y, total, wanted in zip(xs, ys, totals, always, strict=True):
-        x, y = np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64)
-        least = least_overlap(int(total))
-        candidates = min(len(x), len(y)) >= least and _shares_prefixes(x, y, least)
-        overlap = len(np.intersect1d(x, y, assume_unique=True)) if candidates or wanted else None
-        rows.append((overlap, candidates and overlap >= least))
-    return pd.DataFrame(rows, columns=["overlap", "links"]).astype({"overlap": "Int64", "links": bool})
+    def fetched(rows: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            known = sets.select(F.col("id").alias(f"{side}_id"), F.col("batch").alias(f"{side}_batch"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+            rows = rows.join(known, [f"{side}_id", f"{side}_batch"])
+        return rows
 
+    named = pairs.select(F.col("a.id").alias("a_id"), F.col("a.batch").alias("a_batch"), F.col("b.id").alias("b_id"), F.col("b.batch").alias("b_batch"))
+    under_all = F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")
+    candidates = fetched(named, "second", "third").where(under_all).select(named.columns)
+    overlap = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    links = fetched(candidates, "n", "tokens").where((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (F.col("a_n") + F.col("b_n")))
+    return links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
-def verify(pairs: DataFrame, sets: DataFrame, always: bool = False) -> DataFrame:
-    """pairs (a, b) with overlap and links."""
-    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", compare("ta", "tb", F.col("na") + F.col("nb"), F.lit(always)).alias("c")).select("a", "b", "c.*")
 
+def stars(members: DataFrame, score: Column) -> DataFrame:
+    """pairs of the members (id, batch, n, root, token) of each token with one of them, the pivot, if their roots differ."""
+    pivots = members.groupBy("token").agg(F.max(F.struct(score.alias("score"), "id", "batch", "n", "root")).alias("p"))
+    met = members.join(pivots, "token").where((F.col("root") != F.col("p.root")) & _alike("n", "p.n"))
+    return met.groupBy(F.col("id").alias("x"), F.col("p.id").alias("y")).agg(F.max(F.struct("id", "batch")).alias("a"), F.max(F.struct("p.id", "p.batch")).alias("b"))
 
-def forget(spark) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    They would stay until the driver's JVM happens to collect its garbage, beside those of the next
-    steps. The second round finds what the first has let go of.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of the members of a token whose roots differ, and that the first order's positions allow."""
+    x, y = members.alias("x"), members.alias("y")
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    in_prefixes = (F.col("x.at") <= F.col("x.shared") - least) & (F.col("y.at") <= F.col("y.shared") - least)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _alike("x.n", "y.n") & in_prefixes)
+    return pairs.groupBy(F.col("x.id"), F.col("y.id")).agg(F.max(F.struct("x.id", "x.batch")).alias("a"), F.max(F.struct("y.id", "y.batch")).alias("b"))
 
 
 def class_links(sets: DataFrame) -> DataFrame:
-    """Links that connect all linked classes; not all pairs within a group, but its whole component.
+    """Links (a, b) of ids that connect all linked sets; not all pairs within a group, but its whole component.
 
-    In a bucket of a prefix token all members are compared with one pivot, the most central of them.
-    Then only pairs of different components are left, and of these only such that
-
-    * the overlaps with the pivot leave room: what two sets share is shared with the pivot too, or
-      outside of it;
-    * the token is in the prefixes that the least overlap of these two sets leaves, which are shorter
-      than those for any partner.
+    Sets that share their least token under a grouping hash meet its pivot first; then, round by
+    round, members of one prefix token meet a pivot of the token and the round, while their
+    components differ and this still joins a fair part of them; what is open then is compared pair
+    by pair. Equal sets of several batches have one id; the largest batch stands for them.
     """
-    prefixes = cut(rare_prefixes(sets))
-    forget(sets.sparkSession)
-    alike = lambda a, b: (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
-    pivots = prefixes.groupBy("token").agg(F.max(F.struct("score", "sig", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    members = prefixes.join(pivots.select("token", F.col("pivot.sig").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "token")
-    first = members.where((F.col("sig") != F.col("pivot")) & alike(F.col("n"), F.col("pivot_n")))
-    compared = cut(verify(first.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), sets, always=True))
-    forget(sets.sparkSession)
-    links = compared.where("links").select("a", "b")
-    roots = connected_components(links)
-
-    placed = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    known = compared.select(F.col("a").alias("sig"), F.col("b").alias("pivot"), "overlap")
-    open_to = placed.join(mixed, "token").join(known, ["sig", "pivot"], "left")
-    # a set shares all of itself with itself; with a pivot of another size, anything
-    open_to = open_to.withColumn("with_pivot", F.when(F.col("sig") == F.col("pivot"), F.col("shared")).otherwise(F.col("overlap")))
-    open_to = open_to.select("token", "sig", "n", "root", "shared", "at", "with_pivot")
-    x, y = open_to.alias("x"), open_to.alias("y")
-    least = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    in_prefixes = (F.col("x.at") <= F.col("x.shared") - least) & (F.col("y.at") <= F.col("y.shared") - least)
-    pivot_most = F.least("x.with_pivot", "y.with_pivot") + F.least(F.col("x.shared") - F.col("x.with_pivot"), F.col("y.shared") - F.col("y.with_pivot"))
-    roomy = in_prefixes & (F.col("x.with_pivot").isNull() | F.col("y.with_pivot").isNull() | (pivot_most >= least))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")) & roomy)
-    common = pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    return links.unionByName(verify(common, sets).where("links").select("a", "b"))
+    keys = sets.select("id", "batch", "n", F.col("id").alias("root"), F.explode("groups").alias("token"))
+    links = cut(linked(stars(keys, F.col("n")), sets).distinct())
+    places = cut(sets.select("id", "batch", "n", "shared", F.posexplode("first").alias("at", "token")))
+    turn = 0
+    while True:
+        roots = connected_components(links).withColumnRenamed("node", "id")
+        placed = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        members = cut(placed.join(mixed, "token"))
+        turn += 1
+        found = cut(linked(stars(members, F.xxhash64("id", "token", F.lit(turn))), sets).distinct())
+        links = cut(links.unionByName(found))
+        if found.count() <= FAIR_SHARE * members.select("id").distinct().count():
+            break
+    roots = connected_components(links).withColumnRenamed("node", "id")
+    rest = members.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return links.unionByName(linked(cross_pairs(rest), sets))
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """128 bits of a row's id and text, by which it is found again without its text."""
     known = (F.coalesce(doc_id, F.lit(-1)), F.col(doc_id).isNull(), F.coalesce(text, F.lit("")), F.col(text).isNull())
-    return [F.xxhash64(*known, F.lit(seed)).alias(name) for name, seed in (("key_a", 7), ("key_b", 11))]
+    return [F.xxhash64(*known, F.lit(seed)) for seed in (7, 11)]
 
 
-def components(docs: DataFrame, keys: list[Column] | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and group of every row of docs (doc_id, text), with keys.
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, group, key_a and key_b of every row of docs (doc_id, text).
 
-    group names a component whatever the ids are; it is null for rows that link with nothing.
+    group names a component whatever the ids are; it is null for rows that link with nothing for
+    want of words. The keys are those of row_keys. Only doc_id and text are read.
     """
-    keys = keys or []
-    small_batches(docs.sparkSession)
-    rows = cut(docs.select("doc_id", *keys, set_signature("text").alias("s")).select("*", "s.*").drop("s"))
-    extra = [c for c in rows.columns if c.startswith("key_")]
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    classes = cut(rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("first_")))
-    sets = cut(shared_sets(docs, total))
-    forget(docs.sparkSession)
-    links = cut(class_links(sets))
-    roots = connected_components(links).withColumnRenamed("node", "sig")
-    joined = classes.join(roots, "sig")
-    named = joined.join(joined.groupBy("root").agg(F.min("first_").alias("smallest_")), "root").select("sig", "sig2", "n", "smallest_", "root")
-    found = classes.join(named, ["sig", "sig2", "n"], "left").select("sig", "sig2", "n", F.coalesce("smallest_", "first_").alias("component_id"), F.when(F.col("root").isNull(), F.struct(F.col("sig").alias("root"), "sig2")).otherwise(F.struct("root", F.lit(0).cast("long").alias("sig2"))).alias("group"))
-    some = rows.where("n > 0").join(found, ["sig", "sig2", "n"])
-    none = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "group": F.lit(None).cast("struct<root:bigint,sig2:bigint>")})
-    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", *extra)
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
+    key_a, key_b = row_keys()
+    with small_batches(spark), freed_shuffles(spark):
+        found = found_sets(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), key_a.alias("key_a"), key_b.alias("key_b")), folder)
+        links = cut(class_links(found.where("is_set")))
+        roots = connected_components(links).withColumnRenamed("node", "id")
+        rows = found.where("not is_set").select("doc_id", "n", "id", "key_a", "key_b")
+        smallest = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
+        grouped = smallest.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+        named = cut(grouped.join(grouped.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("id", "root", "component_id"))
+        out = cut(rows.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("root").alias("group"), "key_a", "key_b"))
+    delete(spark, folder)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one document, that of the smallest id, of each component.
 
-    Rows that link with nothing stay, but for repeated rows with the same id and text.
+    Rows without words all stay, but for repeated rows with the same id and text.
     """
-    found = components(docs, row_keys())
+    found = components(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key_a", "key_b")).alias("best")
     chosen = found.where("group is not null").groupBy("group").agg(best).select("best.key_a", "best.key_b")
     chosen = chosen.unionByName(found.where("group is null").select("key_a", "key_b").distinct())
-    return docs.select("*", *row_keys()).join(chosen, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(*docs.columns)
+    # no name of docs is used beside the keys', so that none can clash
+    key_a, key_b = row_keys()
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row_"), key_a.alias("key_a"), key_b.alias("key_b"))
+    return whole.join(chosen, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select("row_.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     from tessera.session import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return components(docs).select("doc_id", "n_shingles", "component_id")
+    return components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -227,13 +227,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
     The sample of labels is bounded, and so small enough to be broadcast; only its documents are
     measured here.
     """
-    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", F.lit(17))
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("label_")).orderBy(order, "doc_id", "label_").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label_", text_statistics("text").alias("s_"))
     # the base rule is applied after the limit: as a filter Spark would move it, with the measuring, below the join
     rows = rows.select(order.alias("h_"), "label_", base_failed("s_").alias("failed_"), *(feature("s_", f).alias(f) for f in FEATURES))
-    got = rows.orderBy("h_", "label_", *FEATURES).limit(sample_rows).toPandas()
+    with small_batches(docs.sparkSession):
+        got = rows.orderBy("h_", "label_", *FEATURES).limit(sample_rows).toPandas()
     got = got[~got["failed_"].astype(bool)]
     if got.empty:
         return []
@@ -242,7 +242,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
 
 def judge(docs: DataFrame, rules: list[Rule], stats: str = "stats_") -> DataFrame:
     """The rows of docs with the struct of counts, base_failed_ and kept_."""
-    small_batches(docs.sparkSession)
     out = docs.withColumn(stats, text_statistics("text"))
     failed = base_failed(stats)
     return out.withColumns({"base_failed_": failed, "kept_": F.when(failed, F.lit(False)).otherwise(verdict(rules, stats))})

@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.batches import small_batches, tidy
-from tessera.llm.files import open_input, open_output
-from tessera.session import shared_dir, shuffle_partitions
+from tessera.llm.files import delete, open_input, open_output
+from tessera.session import cut, planned_bytes, shared_dir, shuffle_partitions
 
 MAGIC = b"TPK1"
 PLANES = 4
@@ -49,6 +49,8 @@ BLOCK_IDS = 1 << 17
 FOOTER = struct.Struct("<QQQIQQ4s")
 ENTRY = struct.Struct(f"<QI{PLANES}I")
 END_ID = 2
+#: Bytes of a file's texts, about, by the plan's own estimate.
+FILE_BYTES = 128 << 20
 #: Pre-tokens that each worker keeps with their ids.
 MEMO_PIECES = 500_000
 
@@ -77,7 +79,8 @@ class Encoder:
     """The tokenizers library, with each distinct pre-token of a worker encoded once by its model.
 
     A byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens, joined. Special tokens' names in a text are ordinary text.
+    pre-tokens, joined. Texts that hold the name of a special token, which the library gives an id
+    of its own, are encoded by the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -86,7 +89,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.named = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.model = self.tokenizer.model
         self.exact = regex.compile(public_tokenizers.PATTERN)
         self.letters = _byte_letters()
@@ -98,6 +101,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        special = {k for k, t in enumerate(texts) if t and self.named.search(t)}
+        if special:
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in special]))
+            of = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+            return [np.array(of(t), dtype="<u4").tobytes() if k in special else next(rest) for k, t in enumerate(texts)]
         pieces = [_FAST.findall(t) if t else [] for t in texts]
         memo = self.memo
         new = set().union(*pieces).difference(memo)
@@ -247,7 +255,6 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.js
 
     The listing has one entry a file, so its size is that of the partitioning, not of the data.
     """
-    small_batches(docs.sparkSession)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,17 +274,19 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.js
             tidy()
             yield pd.DataFrame([(shard, path, sum(map(len, writer.sizes)), writer.ids)], columns=LISTING.names)
 
-    n = files or shuffle_partitions(docs.sparkSession)
+    n = files or max(shuffle_partitions(docs.sparkSession), planned_bytes(docs) // FILE_BYTES + 1)
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("null_"), "text")
     order = (F.desc("null_"), F.asc("doc_id"), F.xxhash64("text"), F.asc("text"))
     dealt = rows.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order)
-    return sorted(tuple(r) for r in dealt.mapInPandas(write, LISTING).collect())
+    with small_batches(docs.sparkSession):
+        return sorted(tuple(r) for r in dealt.mapInPandas(write, LISTING).collect())
 
 
 def read_files(spark, listing: list[tuple]) -> DataFrame:
     """Digest of every document, from the files alone; a task a file."""
     if not listing:
         return spark.createDataFrame([], DIGEST)
+    # a few numbers a file, of which there is one for FILE_BYTES of text
     rows, start = [], 0
     for _, path, _, ids in sorted(listing):
         rows.append((path, start))
@@ -309,10 +318,15 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def token_digest(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Write the files of docs to the shared folder and return the digest read back from them."""
+    """Write the files of docs to the shared folder and return the digest read back from them.
+
+    The files go once they are read; write_files keeps them for whoever wants the ids.
+    """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    return read_files(spark, write_files(docs, folder, vocabulary))
+    out = cut(read_files(spark, write_files(docs, folder, vocabulary)))
+    delete(spark, folder)
+    return out
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

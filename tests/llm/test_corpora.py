@@ -9,10 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import decontaminate, mixing, ngram_jaccard, token_files, warc
@@ -20,6 +22,9 @@ from tessera.llm.graph import connected_components
 from tessera.session import shared_dir, table
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
@@ -60,6 +65,30 @@ def test_jaccard_at_the_threshold(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows))
 
 
+def test_jaccard_of_a_loose_group(spark):
+    """A group that no pivot links as a whole, over several tasks, with a passage that all texts share."""
+    rng = random.Random(11)
+    base, common = [f"w{k}" for k in range(70)], " ".join(f"c{k}" for k in range(30))
+    rows = []
+    for k in range(240):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(70)] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(words) + " " + common))
+    rows += [(1000 + k, " ".join(f"z{k}x{j}" for j in range(5 + k % 40)) + " " + common) for k in range(100)] + [(2000 + k, rows[k][1]) for k in range(0, 240, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = ngram_jaccard.components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+
+
+def test_jaccard_rows_keep_clashing_columns(spark, docs):
+    clash = docs.select("*", F.lit("x").alias("key_a"), F.lit(5).alias("key_b"), F.lit(1).alias("group"), F.lit(2).alias("row_"), F.lit(True).alias("is_set"))
+    kept = ngram_jaccard.keep_one(clash)
+    assert kept.columns == clash.columns and {tuple(r) for r in kept.select("key_a", "key_b", "group", "row_", "is_set").collect()} == {("x", 5, 1, 2, True)}
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and {tuple(r) for r in mixed.select("key_a", "key_b", "group", "row_").collect()} == {("x", 5, 1, 2)}
+
+
 def test_one_of_each_component_stays(docs, doc_rows):
     kept = ngram_jaccard.keep_one(docs)
     assert kept.columns == docs.columns
@@ -179,16 +208,21 @@ def test_word_count(docs):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r 　'st.,\x1c\x85²½_"), st.characters(codec="utf-8")), max_size=40))
-def test_memo_encodes_as_the_library(text):
-    known = token_files.encoder("byte_bpe_50k.json")
-    assert np.frombuffer(known.encode([text])[0], dtype="<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from([*" \n\t\r 　'st.,\x1c\x85²½_|<>"]), st.characters(codec="utf-8")), max_size=40), max_size=3), st.integers(0, 2))
+def test_memo_encodes_as_the_library(texts, names):
+    texts = texts + ["<|endoftext|>".join(texts)] * names
+    got = [np.frombuffer(e, dtype="<u4").tolist() for e in token_files.encoder("byte_bpe_50k.json").encode(texts)]
+    assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_names_have_their_ids():
+    got = token_files.encoder("byte_bpe_50k.json").encode(["a", "a <|endoftext|> b", None, "b"])
+    assert [np.frombuffer(e, dtype="<u4").tolist() for e in got] == [[64], [64, 220, 50256, 275], [], [65]]
 
 
 def test_token_files_round_trip(docs, doc_rows, no_docs):
-    known = token_files.encoder("byte_bpe_50k.json")
     got = list(map(tuple, token_files.token_digest(docs).orderBy("start").collect()))
-    ids = {(r[0], r[1]): known.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in doc_rows}
+    ids = {(r[0], r[1]): LIBRARY.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in doc_rows}
     assert [g[0] for g in got] == sorted((r[0] for r in doc_rows), key=lambda k: (k is not None, k or 0))
     assert Counter((g[0], g[2], g[3]) for g in got) == Counter((r[0], len(ids[r[:2]]), zlib.crc32(np.array(ids[r[:2]], dtype="<u4").tobytes())) for r in doc_rows)
     at = 0
