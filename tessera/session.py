@@ -76,7 +76,7 @@ def freed_shuffles(spark: SparkSession):
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size, from its files; 0 where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 
