@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Letters, digits and underscores as one token, any other visible character as a token.
 TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 SPACE = r"(?U)\s+"
+#: What white space is not; the separators \x1c to \x1f are white space too.
+FILLED = r"(?U)[^\s\x1c-\x1f]"
 
 
 def words(text: str | Column) -> Column:
@@ -31,9 +33,9 @@ def windows(items: Column, size: int) -> Column:
 
 
 def first_filled(*columns: str | Column) -> Column:
-    """The first column that isn't null or blank, as it is; else the empty text."""
+    """The first column that isn't null or only white space, as it is; else the empty text."""
     named = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in named), F.lit(""))
+    return F.coalesce(*(F.when(c.rlike(FILLED), c) for c in named), F.lit(""))
 
 
 def first_named(*columns: str) -> Column:
@@ -42,8 +44,8 @@ def first_named(*columns: str) -> Column:
 
 
 def record_source(source: Column, doc_id: Column, page: Column) -> Column:
-    """A record's source: its own, else doc#page=N, else doc, else unknown."""
-    named = F.nullif(source, F.lit(""))
+    """A record's source: its own, else doc#page=N, else doc, else unknown; empty ones count for none."""
+    named, doc_id = F.nullif(source, F.lit("")), F.nullif(doc_id, F.lit(""))
     with_page = F.when(page.isNotNull(), F.concat(doc_id, F.lit("#page="), page.cast("string"))).otherwise(doc_id)
     return F.coalesce(named, with_page, F.lit("unknown"))
 
@@ -98,10 +100,21 @@ def effective_top_k(k: Column, default: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.nullif(k, F.lit(0)), F.lit(default)))
 
 
+def _text_at(value: Column, path: str) -> Column:
+    """What a path of a variant leads to, if that is a text."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(value, path, "string"))
+
+
 def json_text(json: Column) -> Column:
-    """The generated text of a response: a JSON string, or the first known key that holds one."""
-    keyed = [F.get_json_object(json, f"$.{k}") for k in ("generated_text", "text", "answer_text")]
-    return F.coalesce(*keyed, F.lit(""))
+    """The generated text of a response in JSON; empty if there is none.
+
+    A text is itself; of an object, the first of the known keys that holds a text counts, of a list its
+    first element; each may hold its text in the first of its ``outputs``.
+    """
+    keys, value = ("generated_text", "text", "answer_text"), F.try_parse_json(json)
+    paths = ["$", *(f"$.{k}" for k in keys), "$[0].outputs[0].text", *(f"$[0].{k}" for k in keys), "$.outputs[0].text"]
+    return F.coalesce(*(_text_at(value, p) for p in paths), F.lit(""))
 
 
 def json_latency(json: Column, measured: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators.ranking import ordered_rank
@@ -25,7 +27,8 @@ def word_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     """piece and token_id, numbered from 1 by first appearance in order of (key, position)."""
-    pieces = docs.select(key, F.posexplode(X.tokens(text)).alias("pos", "piece"))
+    # distinct pieces of a text keep the order of their first appearance
+    pieces = docs.select(key, F.posexplode(F.array_distinct(X.tokens(text))).alias("pos", "piece"))
     first = pieces.groupBy("piece").agg(F.min(F.struct(key, "pos")).alias("first_"))
     return ordered_rank(first, ["first_"], name="token_id").select("piece", "token_id")
 
@@ -37,15 +40,29 @@ def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return tokens.select(key, F.posexplode(parts).alias("chunk_index", "pieces")).select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("pieces", " ").alias("content"), "pieces")
 
 
+_IDS = T.StructType([T.StructField("chunk_index", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(T.ArrayType(_IDS))
+def _numbered(chunks: pd.Series, vocab: pd.Series) -> pd.Series:
+    """The ids of a document's chunks by its own part of the vocabulary."""
+    out = []
+    for parts, known in zip(chunks, vocab, strict=True):
+        ids = {x["piece"]: x["token_id"] for x in known}
+        out.append([{"chunk_index": c["chunk_index"], "token_ids": [ids[p] for p in c["pieces"]]} for c in parts])
+    return pd.Series(out, dtype=object)
+
+
 def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """key, chunk_index and token_ids of chunks (key, chunk_index, pieces).
 
-    Every piece meets the vocabulary in a join that AQE splits where a piece is common; a chunk's
-    ids come together again by one aggregate, as long as a chunk.
+    A document's distinct pieces meet the vocabulary, in a join that AQE splits where a piece is
+    common; positions are never shuffled, as ids are put in beside the document's pieces.
     """
-    each = chunks.select(key, "chunk_index", F.posexplode("pieces").alias("at_", "piece"))
-    ids = F.sort_array(F.collect_list(F.struct("at_", "token_id")))
-    return each.join(vocab, "piece").groupBy(key, "chunk_index").agg(ids.alias("ids_")).select(key, "chunk_index", F.col("ids_.token_id").alias("token_ids"))
+    each = chunks.select(key, F.explode("pieces").alias("piece")).distinct()
+    own = each.join(vocab, "piece").groupBy(key).agg(F.collect_list(F.struct("piece", "token_id")).alias("vocab_"))
+    whole = chunks.groupBy(key).agg(F.collect_list(F.struct("chunk_index", "pieces")).alias("chunks_"))
+    return whole.join(own, key).select(key, F.inline(_numbered("chunks_", "vocab_")))
 
 
 def image_chunks(pages: DataFrame, source: Column, path: Column, text: Column) -> DataFrame:

@@ -31,14 +31,18 @@ def compare_runs(spark, sf_dir: str) -> DataFrame:
 
 
 def warmup_analysis(spark, sf_dir: str) -> DataFrame:
-    """Mean of each run's first 5 and last 20 queries, and the cold overhead of one on the other.
+    """Each run's first-5 and last-20 means; its cold overhead and QPS ratio against the baseline.
 
-    The bounded ranks let Spark keep so many rows a task before the shuffle.
+    The overhead sets the first queries of a run against those of the baseline, the ratio the
+    baseline's mean time to a run's. The bounded ranks let Spark keep so many rows a task before the shuffle.
     """
     rows = S.bench_rows(spark, sf_dir).select("variant", "query_id", "ttft_ms")
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("variant").orderBy("query_id"))).where("r <= 5").groupBy("variant").agg(F.avg("ttft_ms").alias("first5_mean"))
     last = rows.withColumn("r", F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("query_id")))).where("r <= 20").groupBy("variant").agg(F.avg("ttft_ms").alias("last20_mean"))
-    return _rounded(first.join(last, "variant").withColumn("cold_overhead_pct", (F.col("first5_mean") / F.col("last20_mean") - 1) * 100), ["variant"])
+    runs = first.join(last, "variant").join(rows.groupBy("variant").agg(F.avg("ttft_ms").alias("mean_")), "variant")
+    base = runs.where("variant = 'baseline'").select(F.col("first5_mean").alias("base_first_"), F.col("mean_").alias("base_mean_"))
+    against = runs.join(base, how="left")  # one row
+    return _rounded(against.select("variant", "first5_mean", "last20_mean", ((F.col("first5_mean") / F.col("base_first_") - 1) * 100).alias("cold_overhead_pct"), (F.col("base_mean_") / F.col("mean_")).alias("qps_ratio")), ["variant"])
 
 
 def warmup_trace(spark, sf_dir: str) -> DataFrame:
@@ -59,6 +63,6 @@ ORACLES = {
     "compare_runs": f"""WITH {_B}, {_SUM}, {_PCT}, j AS (SELECT * FROM s JOIN p USING (variant)), u AS ({' UNION ALL '.join(f"SELECT variant, '{label}' AS label, '{kind}' AS kind, {key} AS v FROM j" for label, key, kind in B.METRICS)}),
  g AS (SELECT label, kind, coalesce(max(v) FILTER (WHERE variant = 'baseline'), 0) AS a, coalesce(max(v) FILTER (WHERE variant = 'eviction_only'), 0) AS b FROM u GROUP BY ALL)
 SELECT label, kind, round(a, 6) AS value_a, round(b, 6) AS value_b, round(CASE WHEN kind = 'rate' THEN (b - a) * 100 WHEN a <> 0 THEN (b - a) / a * 100 END, 6) AS delta FROM g""",
-    "warmup_analysis": f"WITH {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY query_id) AS f, row_number() OVER (PARTITION BY variant ORDER BY query_id DESC) AS l FROM b), m AS (SELECT variant, avg(ttft_ms) FILTER (WHERE f <= 5) AS x, avg(ttft_ms) FILTER (WHERE l <= 20) AS y FROM r GROUP BY variant) SELECT variant, round(x, 6) AS first5_mean, round(y, 6) AS last20_mean, round((x / y - 1) * 100, 6) AS cold_overhead_pct FROM m",
+    "warmup_analysis": f"WITH {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY query_id) AS f, row_number() OVER (PARTITION BY variant ORDER BY query_id DESC) AS l FROM b), m AS (SELECT variant, avg(ttft_ms) FILTER (WHERE f <= 5) AS x, avg(ttft_ms) FILTER (WHERE l <= 20) AS y, avg(ttft_ms) AS z FROM r GROUP BY variant), a AS (SELECT x AS ax, z AS az FROM m WHERE variant = 'baseline') SELECT variant, round(x, 6) AS first5_mean, round(y, 6) AS last20_mean, round((x / ax - 1) * 100, 6) AS cold_overhead_pct, round(az / z, 6) AS qps_ratio FROM m LEFT JOIN a ON true",
     "warmup_trace": "(SELECT item_id, 'warmup' AS phase FROM benchmark ORDER BY item_id LIMIT 5) UNION ALL SELECT item_id, 'measured' FROM benchmark",
 }

@@ -11,7 +11,8 @@ from tessera.session import table
 from tessera.sources import tables as S
 
 WINDOW = 64
-TEXT_NAMES = ("markdown", "text", "content", "query")
+TEXT_NAMES = ("markdown", "text", "content", "query", "answer")
+ID_NAMES = ("doc_id", "document_id", "id")
 
 
 def record_text(spark, sf_dir: str) -> DataFrame:
@@ -20,13 +21,13 @@ def record_text(spark, sf_dir: str) -> DataFrame:
 
 def record_doc_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    odd = F.pmod("doc_id", F.lit(2)) == 1
-    named = docs.select(F.col("doc_id").alias("key"), F.when(odd, F.lit("")).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), F.when(odd, F.col("source")).alias("document_id"))
-    return named.select("key", X.first_named("doc_id", "document_id").alias("record_id"))
+    kind = F.pmod("doc_id", F.lit(3))
+    named = docs.select(F.col("doc_id").alias("key"), F.when(kind > 0, F.lit("")).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), F.when(kind == 1, F.col("source")).alias("document_id"), F.when(kind == 2, F.col("lang")).alias("id"))
+    return named.select("key", X.first_named(*ID_NAMES).alias("record_id"))
 
 
 def record_source(spark, sf_dir: str) -> DataFrame:
-    return S.records(spark, sf_dir).select("doc_id", X.record_source(F.col("source"), F.col("doc_id"), F.col("page")).alias("record_source"))
+    return S.records(spark, sf_dir).select("doc_id", X.record_source(F.col("source"), F.when(F.pmod(F.col("doc_id").cast("long"), F.lit(5)) == 0, F.lit("")).otherwise(F.col("doc_id")), F.col("page")).alias("record_source"))
 
 
 def record_metadata(spark, sf_dir: str) -> DataFrame:
@@ -127,8 +128,9 @@ def synthetic_chunks(spark, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
-_REC = """WITH rec AS (SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '  ' END AS markdown, CASE doc_id % 4 WHEN 1 THEN text WHEN 2 THEN '' END AS text,
- CASE doc_id % 4 WHEN 2 THEN text END AS content, CASE doc_id % 4 WHEN 3 THEN text END AS query, CASE doc_id % 4 WHEN 3 THEN '' WHEN 2 THEN source END AS source, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 END AS page FROM documents) """
+_REC = """WITH rec AS (SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN ' ' || chr(10) || chr(9) || ' ' END AS markdown, CASE doc_id % 4 WHEN 1 THEN text WHEN 2 THEN '' END AS text,
+ CASE doc_id % 4 WHEN 2 THEN text END AS content, CASE doc_id % 8 WHEN 3 THEN text END AS query, CASE doc_id % 8 WHEN 7 THEN text END AS answer, CASE doc_id % 4 WHEN 3 THEN '' WHEN 2 THEN source END AS source, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 END AS page FROM documents) """
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
 _VOCAB = f"pieces AS (SELECT doc_id, unnest({_TOKENS}) AS piece, generate_subscripts({_TOKENS}, 1) AS pos FROM documents), vocab AS (SELECT piece, row_number() OVER (ORDER BY min((doc_id, pos))) AS token_id FROM pieces GROUP BY piece)"
 _HASH = "substr(sha256('{m}:' || array_to_string({ids}, ',')), 1, 32)"
 
@@ -137,9 +139,9 @@ QUERIES = {
     for f in (record_text, record_doc_id, record_source, record_metadata, union_splits, image_file_name, token_count, tokenize, vocab_ids, chunk_words, chunk_tokens, chunk_ids, block_hash, block_build, image_chunk_ids, image_chunks, image_chunks_b, model_spec, query_sample, variant_matrix, synthetic_chunks)
 }
 ORACLES = {
-    "record_text": _REC + "SELECT doc_id, coalesce(CASE WHEN trim(markdown) <> '' THEN markdown END, CASE WHEN trim(text) <> '' THEN text END, CASE WHEN trim(content) <> '' THEN content END, CASE WHEN trim(query) <> '' THEN query END, '') AS record_text FROM rec",
-    "record_doc_id": "SELECT doc_id AS key, coalesce(nullif(CASE WHEN doc_id % 2 = 1 THEN '' ELSE doc_id::VARCHAR END, ''), nullif(CASE WHEN doc_id % 2 = 1 THEN source END, '')) AS record_id FROM documents",
-    "record_source": _REC + "SELECT doc_id, coalesce(nullif(source, ''), CASE WHEN page IS NOT NULL THEN doc_id || '#page=' || page ELSE doc_id END, 'unknown') AS record_source FROM rec",
+    "record_text": _REC + f"SELECT doc_id, coalesce({', '.join(f'CASE WHEN {_TRIM.format(c)} THEN {c} END' for c in TEXT_NAMES)}, '') AS record_text FROM rec",
+    "record_doc_id": "SELECT doc_id AS key, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN nullif(source, '') ELSE nullif(lang, '') END AS record_id FROM documents",
+    "record_source": _REC + "SELECT doc_id, CASE WHEN source <> '' THEN source WHEN doc_id::BIGINT % 5 = 0 THEN 'unknown' WHEN page IS NOT NULL THEN doc_id || '#page=' || page ELSE doc_id END AS record_source FROM rec",
     "union_splits": "SELECT doc_id, lang AS split, CASE WHEN lang <> 'de' THEN source END AS source, n_chars FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')",
     "image_file_name": _REC + "SELECT doc_id, substr(sha256(doc_id || CASE WHEN page IS NOT NULL THEN '-page-' || page ELSE '' END), 1, 24) || '.png' AS file_name FROM rec",
     "token_count": f"SELECT doc_id, len({_WORDS})::BIGINT AS n_tokens FROM documents",

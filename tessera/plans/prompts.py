@@ -85,8 +85,18 @@ def prompt_log_json(spark, sf_dir: str) -> DataFrame:
 
 
 def extract_text(spark, sf_dir: str) -> DataFrame:
-    kind = F.pmod("event_id", F.lit(4))
-    body = F.when(kind == 0, F.to_json(F.struct(F.col("event_type").alias("generated_text")))).when(kind == 1, F.to_json(F.struct(F.col("event_type").alias("text"), F.lit("no").alias("answer_text")))).when(kind == 2, F.to_json(F.struct(F.col("event_type").alias("answer_text")))).otherwise(F.col("props"))
+    """Responses of every shape: objects by key, texts, lists, outputs, and such without a text."""
+    kind, said = F.pmod("event_id", F.lit(8)), F.col("event_type")
+    shapes = (
+        F.to_json(F.struct(said.alias("generated_text"))),
+        F.to_json(F.struct(said.alias("text"), F.lit("no").alias("answer_text"))),
+        F.to_json(F.struct(F.lit(5).alias("text"), said.alias("answer_text"))),
+        F.concat(F.lit('"'), said, F.lit('"')),
+        F.to_json(F.array(F.struct(said.alias("text")))),
+        F.to_json(F.array(F.struct(F.array(F.struct(said.alias("text"))).alias("outputs")))),
+        F.to_json(F.struct(F.array(F.struct(said.alias("text"))).alias("outputs"))),
+    )
+    body = F.coalesce(*(F.when(kind == k, x) for k, x in enumerate(shapes)), F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", X.json_text(body).alias("answer"))
 
 
@@ -126,6 +136,6 @@ SELECT request_id, 'Use the following context to answer the question.' || chr(10
     "tokens_by_role": f"WITH {_SEG} SELECT request_id, role, sum(n)::BIGINT AS tokens FROM seg GROUP BY ALL",
     "tokens_by_modality": f"WITH {_SEG} SELECT request_id, modality, sum(n)::BIGINT AS tokens FROM seg GROUP BY ALL",
     "ordered_roles": f"WITH {_SEG} SELECT request_id, string_agg(role, ',' ORDER BY seg_index) AS roles, string_agg(modality, ',' ORDER BY seg_index) AS modalities FROM seg GROUP BY request_id",
-    "extract_text": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_type ELSE '' END AS answer FROM events",
+    "extract_text": "SELECT event_id, CASE WHEN event_id % 8 < 7 THEN event_type ELSE '' END AS answer FROM events",
     "extract_latency": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 9)::DOUBLE ELSE value END AS seconds FROM events",
 }

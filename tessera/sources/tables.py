@@ -14,10 +14,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.pmod("doc_id", F.lit(4))
     return docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        F.when(kind == 0, F.col("text")).when(kind == 1, F.lit("  ")).alias("markdown"),
+        F.when(kind == 0, F.col("text")).when(kind == 1, F.lit(" \n\t ")).alias("markdown"),
         F.when(kind == 1, F.col("text")).when(kind == 2, F.lit("")).alias("text"),
         F.when(kind == 2, F.col("text")).alias("content"),
-        F.when(kind == 3, F.col("text")).alias("query"),
+        F.when((kind == 3) & (F.pmod("doc_id", F.lit(8)) == 3), F.col("text")).alias("query"),
+        F.when((kind == 3) & (F.pmod("doc_id", F.lit(8)) == 7), F.col("text")).alias("answer"),
         F.when(kind == 3, F.lit("")).when(kind == 2, F.col("source")).alias("source"),
         F.when(F.pmod("doc_id", F.lit(3)) == 0, F.pmod("doc_id", F.lit(11))).alias("page"),
         F.col("lang").alias("split"),

@@ -151,7 +151,7 @@ def test_prompt_order_and_segments(spark):
 def test_comparison_as_markdown(spark):
     rows = spark.createDataFrame([("a", 10.0, 10.0, 1, 1, 0, 0, 1.0), ("b", 5.0, 5.0, 2, 0, 0, 0, 1.0)], "variant string, ttft_ms double, total_latency_ms double, cache_hits_text int, cache_misses_text int, cache_hits_visual int, cache_misses_visual int, gpu_memory_mib double")
     both = B.summary(rows, ["variant"]).join(B.percentiles(rows, ["variant"]), "variant")
-    table = B.markdown(B.compare(both, "variant", "a", "b").collect(), "a", "b")
+    table = B.markdown(B.compare(both, "variant", "a", "b"), "a", "b")
     assert "-50.0%" in table and "+50.0% pp" in table and len(table.splitlines()) == 9
 
 
