@@ -74,6 +74,11 @@ def freed_shuffles(spark: SparkSession):
     return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+def only_shuffles(spark: SparkSession):
+    """No join of plans inside broadcasts a side; many small ones would crowd the driver."""
+    return settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size, from its files; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
