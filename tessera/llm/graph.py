@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, settings
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,8 +13,14 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours, then follows the labels one step further,
     so labels travel twice as far as in the round before; it ends when no label changes. The
-    minimum is combined before the shuffle, and AQE can split the join of a node with many links.
+    minimum is combined before the shuffle. A round is one job, planned once: its rows are two names
+    each, and planning them anew after each shuffle would cost the driver more than it saves.
     """
+    with settings(links.sparkSession, spark__sql__adaptive__enabled="false"):
+        return _components(links)
+
+
+def _components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:

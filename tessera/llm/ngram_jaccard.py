@@ -12,8 +12,8 @@ least 4 / 5; the exact join is carried out so that no pair of linked texts is lo
    their prefixes under every order. Candidates by the first order must share prefix tokens under
    the two others before their sets are fetched and counted. Each is a necessary condition;
 3. groups of near copies are joined first, each set with a pivot of those that share its least token
-   under GROUPINGS hashes, or a prefix token, so that a group isn't expanded into its pairs. Once
-   this joins few sets more, candidates of the first order are pairs of different components.
+   under GROUPINGS hashes, then a prefix token, so that a group isn't expanded into its pairs; once
+   the components of these links are known, candidates are pairs of different components.
 
 Nothing gathers what shares a token: a batch sends a token once, however many of its sets have it,
 with their number; its sets are told in the batch's own part.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import small_batches, tidy
 from tessera.llm.files import delete
 from tessera.llm.graph import connected_components
-from tessera.session import cut, freed_shuffles, shared_dir, shuffle_partitions
+from tessera.session import cut, freed_shuffles, only_shuffles, shared_dir, shuffle_partitions
 
 SHINGLE = 5
 #: The threshold as a fraction.
@@ -53,9 +53,8 @@ BATCH_SETS = 65_535
 ROW_ENTRIES = 4_000_000
 #: Seeds of the three orders, and of the hashes that group near copies.
 ORDERS = (0x5851F42D4C957F2D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-GROUPINGS = (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xD6E8FEB86659FD93)
-#: Rounds of pivots go on while they link at least this share of the sets that are open.
-FAIR_SHARE = 0.1
+GROUPINGS = (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xD6E8FEB86659FD93)#: Pivots of a prefix token.
+PIVOTS = 4
 
 #: Bytes of text that are hashed at once.
 PIECE_BYTES = 1 << 20
@@ -424,8 +423,8 @@ def _alike(a: str, b: str) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among pairs: a and b, each the id and the batch of a set."""
+def linked(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """The links (a, b), with more columns, among pairs: a and b, each the id and the batch of a set."""
 
     def fetched(rows: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
@@ -433,18 +432,19 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rows = rows.join(known, [f"{side}_id", f"{side}_batch"])
         return rows
 
-    named = pairs.select(F.col("a.id").alias("a_id"), F.col("a.batch").alias("a_batch"), F.col("b.id").alias("b_id"), F.col("b.batch").alias("b_batch"))
+    named = pairs.select(F.col("a.id").alias("a_id"), F.col("a.batch").alias("a_batch"), F.col("b.id").alias("b_id"), F.col("b.batch").alias("b_batch"), *more)
     under_all = F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")
     candidates = fetched(named, "second", "third").where(under_all).select(named.columns)
     overlap = F.size(F.array_intersect("a_tokens", "b_tokens"))
     links = fetched(candidates, "n", "tokens").where((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (F.col("a_n") + F.col("b_n")))
-    return links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *more)
 
 
-def stars(members: DataFrame, score: Column) -> DataFrame:
-    """pairs of the members (id, batch, n, root, token) of each token with one of them, the pivot, if their roots differ."""
-    pivots = members.groupBy("token").agg(F.max(F.struct(score.alias("score"), "id", "batch", "n", "root")).alias("p"))
-    met = members.join(pivots, "token").where((F.col("root") != F.col("p.root")) & _alike("n", "p.n"))
+def stars(members: DataFrame, *scores: Column) -> DataFrame:
+    """pairs of the members (id, batch, n, root, token) of each token with its pivots, those of the highest scores, if their roots differ."""
+    best = [F.max(F.struct(score.alias("score"), "id", "batch", "n", "root")).dropFields("score") for score in scores]
+    pivots = members.groupBy("token").agg(F.array_distinct(F.array(*best)).alias("pivots"))
+    met = members.join(pivots, "token").select("*", F.explode("pivots").alias("p")).where((F.col("root") != F.col("p.root")) & _alike("n", "p.n"))
     return met.groupBy(F.col("id").alias("x"), F.col("p.id").alias("y")).agg(F.max(F.struct("id", "batch")).alias("a"), F.max(F.struct("p.id", "p.batch")).alias("b"))
 
 
@@ -454,34 +454,41 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     least = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
     in_prefixes = (F.col("x.at") <= F.col("x.shared") - least) & (F.col("y.at") <= F.col("y.shared") - least)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _alike("x.n", "y.n") & in_prefixes)
-    return pairs.groupBy(F.col("x.id"), F.col("y.id")).agg(F.max(F.struct("x.id", "x.batch")).alias("a"), F.max(F.struct("y.id", "y.batch")).alias("b"))
+    best = F.max(F.struct("x.id", "x.batch")).alias("a"), F.max(F.struct("y.id", "y.batch")).alias("b")
+    return pairs.groupBy(F.col("x.id"), F.col("y.id")).agg(*best, F.max("x.root").alias("a_root"), F.max("y.root").alias("b_root"))
 
 
-def class_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) of ids that connect all linked sets; not all pairs within a group, but its whole component.
+def _open(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """The places of tokens that sets of different roots (id, root) have."""
+    placed = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return cut(placed.join(mixed, "token"))
 
-    Sets that share their least token under a grouping hash meet its pivot first; then, round by
-    round, members of one prefix token meet a pivot of the token and the round, while their
-    components differ and this still joins a fair part of them; what is open then is compared pair
-    by pair. Equal sets of several batches have one id; the largest batch stands for them.
+
+def class_roots(sets: DataFrame) -> DataFrame:
+    """id and root, the name of its component, of the sets that link with another one.
+
+    Sets that share their least token under a grouping hash meet its pivot first; then the members
+    of each prefix token of the first order meet PIVOTS pivots of that token, if their pivots so
+    far differ. This joins a group's sets by few links; what is in different components then, and shares
+    a prefix token, is compared pair by pair. Equal sets of several batches have one id; the largest
+    batch stands for them.
     """
     keys = sets.select("id", "batch", "n", F.col("id").alias("root"), F.explode("groups").alias("token"))
-    links = cut(linked(stars(keys, F.col("n")), sets).distinct())
+    near = cut(linked(stars(keys, F.col("n")), sets).distinct())
     places = cut(sets.select("id", "batch", "n", "shared", F.posexplode("first").alias("at", "token")))
-    turn = 0
-    while True:
-        roots = connected_components(links).withColumnRenamed("node", "id")
-        placed = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        members = cut(placed.join(mixed, "token"))
-        turn += 1
-        found = cut(linked(stars(members, F.xxhash64("id", "token", F.lit(turn))), sets).distinct())
-        links = cut(links.unionByName(found))
-        if found.count() <= FAIR_SHARE * members.select("id").distinct().count():
-            break
-    roots = connected_components(links).withColumnRenamed("node", "id")
-    rest = members.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return links.unionByName(linked(cross_pairs(rest), sets))
+    pivots = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    links = near.unionByName(linked(stars(_open(places, pivots), *(F.xxhash64("id", "token", F.lit(k)) for k in range(PIVOTS))), sets))
+    roots = cut(connected_components(links).withColumnRenamed("node", "id"))
+    # links left over are those of components, of which there are few
+    rest = cross_pairs(_open(places, roots))
+    named = rest.select("a", "b", F.col("a_root"), F.col("b_root"))
+    late = cut(linked(named, sets, "a_root", "b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    if late.isEmpty():
+        return roots
+    higher = connected_components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = roots.unionByName(late.select(F.col("a").alias("id"), F.col("a").alias("root"))).unionByName(late.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
+    return every.join(higher, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
@@ -499,10 +506,9 @@ def components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
     key_a, key_b = row_keys()
-    with small_batches(spark), freed_shuffles(spark):
+    with small_batches(spark), freed_shuffles(spark), only_shuffles(spark):
         found = found_sets(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), key_a.alias("key_a"), key_b.alias("key_b")), folder)
-        links = cut(class_links(found.where("is_set")))
-        roots = connected_components(links).withColumnRenamed("node", "id")
+        roots = class_roots(found.where("is_set"))
         rows = found.where("not is_set").select("doc_id", "n", "id", "key_a", "key_b")
         smallest = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
         grouped = smallest.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
