@@ -96,6 +96,11 @@ def model_spec(name: Column) -> Column:
     )
 
 
+def model_tag(name: Column) -> Column:
+    """The pretrained weights that go with an aliased model; null for any other name."""
+    return F.when(name == "openai/clip-vit-large-patch14", F.lit("openai"))
+
+
 def effective_top_k(k: Column, default: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.nullif(k, F.lit(0)), F.lit(default)))
 

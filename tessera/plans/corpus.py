@@ -105,7 +105,7 @@ def image_chunks_b(spark, sf_dir: str) -> DataFrame:
 def model_spec(spark, sf_dir: str) -> DataFrame:
     kind = F.pmod("doc_id", F.lit(4))
     name = F.when(kind == 0, F.lit("openai/clip-vit-large-patch14")).when(kind == 1, F.concat(F.lit("hf-hub:org/"), "source")).when(kind == 2, F.concat("lang", F.lit("/"), "source")).otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.model_spec(name).alias("spec"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.model_spec(name).alias("spec"), X.model_tag(name).alias("pretrained"))
 
 
 def query_sample(spark, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ ORACLES = {
     "image_chunk_ids": "SELECT page_id, substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id FROM pages",
     "image_chunks": "SELECT substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id, coalesce(nullif(trim(CASE WHEN page_id % 3 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '  ' END), ''), 'Retrieved image from ' || url) AS text, url AS source, 'image' AS modality, url AS image_path, 0::BIGINT AS chunk_index FROM pages",
     "image_chunks_b": f"SELECT page_id, 'img_' || regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS chunk_id, '[Image: ' || name || ']' AS content, 576::BIGINT AS n_tokens, {_HASH.format(m='visual', ids='range(576)')} AS block_id FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages)",
-    "model_spec": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ViT-L-14' WHEN 1 THEN 'hf-hub:org/' || source WHEN 2 THEN 'hf-hub:' || lang || '/' || source ELSE source END AS spec FROM documents",
+    "model_spec": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ViT-L-14' WHEN 1 THEN 'hf-hub:org/' || source WHEN 2 THEN 'hf-hub:' || lang || '/' || source ELSE source END AS spec, CASE WHEN doc_id % 4 = 0 THEN 'openai' END AS pretrained FROM documents",
     "query_sample": "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 20",
     "variant_matrix": "SELECT item_id, variant, cache_enabled, pruning_enabled FROM benchmark, (VALUES ('baseline', false, false), ('eviction_only', true, false), ('pruning_plus_eviction', true, true)) v(variant, cache_enabled, pruning_enabled)",
     "synthetic_chunks": f"SELECT chunk_id, modality, n AS n_tokens, substr(sha256(modality || ':' || array_to_string(range(n), ',')), 1, 32) AS block_id FROM (VALUES ('doc_finances', 'text', 128::BIGINT), ('doc_architecture', 'text', 128), ('doc_chart', 'visual', 576), ('doc_research', 'text', 128), ('doc_diagram', 'visual', 576)) v(chunk_id, modality, n)",
