@@ -12,7 +12,8 @@ revisit records that name it, with the payload's digest and, in their HTTP heade
 Defined results: a null html has an empty payload; a null page_id or url leaves its header out and
 reads back as null; rows that share payload and the largest page_id are all responses, since any of
 them holds the payload; where all page_ids of a payload are null, all are responses; very long
-payloads are one record each; an empty table gives no archives and an empty result.
+payloads are one record each; an archive that ends within a record is an error that names its byte;
+an empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from tessera.llm.files import listing, open_input, open_output
-from tessera.session import shared_dir
+from tessera.llm.files import delete, listing, open_input, open_output
+from tessera.session import cut, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
@@ -122,14 +123,16 @@ class _Members:
             headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
             length, start = int(headers["content-length"]), self.at
 
-            def block(rest=rest, plain=plain, length=length):
+            def block(rest=rest, plain=plain, length=length, start=start):
                 part, left = rest, length
                 while True:
                     yield part[:left]
                     left -= len(part[:left])
                     if left <= 0:
                         return
-                    part = next(plain)
+                    part = next(plain, None)
+                    if part is None:
+                        raise ValueError(f"an archive ends within the record at byte {start}")
 
             taken = block()
             yield headers, taken
@@ -313,6 +316,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives of pages to the shared folder and return what they say, read back.
 
     Responses are measured by their decoded payload; revisits tell digest and length themselves.
+    The archives go once they are read; write keeps them for whoever wants the records.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -322,13 +326,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     got = read(spark, folder)
     number = lambda c: F.when(F.col(c).startswith(URN), F.substring(c, len(URN) + 1, 20).cast("long"))
     response = F.col("record_type") == "response"
-    return got.select(
+    told = got.select(
         number("record_id").alias("page_id"),
         F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(response, payload_digest("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+    told = cut(told)
+    delete(spark, folder)
+    return told
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -272,6 +272,15 @@ def test_archive_filters_are_pushed_down(spark, pages):
     assert {(r["record_id"], r["payload"], r["payload_length"]) for r in found} == {("urn:page:4", None, 0), ("urn:page:5", None, 20)}
 
 
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_truncated_archives_are_named(spark, tmp_path, name):
+    whole = warc.record(7, "u", bytes(range(256)) * 9000, None, "D")
+    whole = warc.member(whole) if name.endswith("gz") else whole
+    (tmp_path / name).write_bytes(whole[: len(whole) * 2 // 3])
+    with pytest.raises(Exception, match="ends within the record at byte 0"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
 def test_foreign_archives_are_read(spark, tmp_path):
     import gzip
 
