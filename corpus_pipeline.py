@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: null and empty texts fail the base rule of the first stage; a null doc_id is kept, and
+comes first in the token files; repeated rows are near copies, of which one stays; very long texts are
+whole in every stage; other columns of documents pass through, whatever their names; without documents
+every stage gives an empty result; without labels or benchmark items nothing is rejected for them.
 """
 
 from __future__ import annotations
@@ -12,13 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, ngram_jaccard, quality_rules, token_files
+from tessera.llm.files import delete
 from tessera.session import shared_dir, table
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Rows as one struct beside the text that is judged, so that no column's name can clash."""
+    return docs.select(docs["text"], F.struct(*(docs[c] for c in docs.columns)).alias("row_"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept_").select(*docs.columns)
+    return quality_rules.judge(_whole(docs), rules).where("kept_").select("row_.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return decontaminate.contamination(docs, items).where(F.size("hits_") == 0).select(*docs.columns)
+    return decontaminate.contamination(_whole(docs), items).where(F.size("hits_") == 0).select("row_.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")  # the last stage's rows stay, as the result reads them
     return docs
