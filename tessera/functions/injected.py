@@ -62,9 +62,9 @@ def embedded(text: str | Column, embed: Callable[[list[str]], Any]) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(texts: pd.Series) -> pd.Series:
-        known = texts.dropna()
-        rows = as_rows(embed(known.tolist())) if len(known) else []
-        return pd.Series(dict(zip(known.index, rows, strict=True)), dtype=object).reindex(texts.index)
+        given = texts.notna().to_numpy()
+        rows = iter(as_rows(embed(texts[given].tolist())) if given.any() else [])
+        return pd.Series([next(rows) if there else None for there in given], dtype=object)
 
     return vectors(text)
 
