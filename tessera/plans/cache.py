@@ -29,12 +29,13 @@ def cache_trace_plain_lru(spark, sf_dir: str) -> DataFrame:
 
 
 def cache_metrics(spark, sf_dir: str) -> DataFrame:
-    """Labelled counters: hits and misses by tier and modality, evictions by tier."""
-    trace = cache_trace(spark, sf_dir)
+    """Labelled counters: hits and evictions by tier and modality, misses of all; the replay is read once."""
+    said = lambda metric, tier, modality: F.struct(metric.alias("metric"), tier.alias("tier"), modality.alias("modality"))
     miss = F.col("outcome") == "miss"
-    looked = trace.select(F.when(miss, "misses").otherwise("hits").alias("metric"), F.when(miss, "all").otherwise(F.col("outcome")).alias("tier"), F.when(miss, "unknown").otherwise(F.col("modality")).alias("modality"))
-    evicted = trace.select(F.explode("evictions").alias("e")).select(F.lit("evictions").alias("metric"), "e.tier", F.lit("all").alias("modality"))
-    return looked.unionByName(evicted).groupBy("metric", "tier", "modality").count()
+    looked = F.when(miss, said(F.lit("misses"), F.lit("all"), F.lit("unknown"))).otherwise(said(F.lit("hits"), F.col("outcome"), F.col("modality")))
+    evicted = F.transform("evictions", lambda e: said(F.lit("evictions"), e["tier"], e["modality"]))
+    counters = cache_trace(spark, sf_dir).select(F.inline(F.concat(F.array(looked), evicted)))
+    return counters.groupBy("metric", "tier", "modality").count()
 
 
 def tier_distribution(spark, sf_dir: str) -> DataFrame:
@@ -43,11 +44,11 @@ def tier_distribution(spark, sf_dir: str) -> DataFrame:
 
 
 def request_hits(spark, sf_dir: str) -> DataFrame:
-    """Hits and misses by modality for each request, here an hour of a cache; all but text is visual."""
-    trace = cache_trace(spark, sf_dir)
+    """Hits and misses by modality for each request, here an hour of a cache, looked up as a whole; all but text is visual."""
+    hour = F.floor(F.col("seq") / (1024 * 3_600_000_000))
+    trace = K.replay(S.trace(spark, sf_dir, CACHES).withColumn("request_id", hour), GPU, CPU)
     hit, text = F.col("outcome") != "miss", F.col("modality") == "text"
-    hour = F.floor(F.col("seq") / (1024 * 3_600_000_000)).alias("hour")
-    return trace.groupBy("cache_id", hour).agg(F.count_if(hit & text).alias("hits_text"), F.count_if(hit & ~text).alias("hits_visual"), F.count_if(~hit & text).alias("misses_text"), F.count_if(~hit & ~text).alias("misses_visual"))
+    return trace.groupBy("cache_id", hour.alias("hour")).agg(F.count_if(hit & text).alias("hits_text"), F.count_if(hit & ~text).alias("hits_visual"), F.count_if(~hit & text).alias("misses_text"), F.count_if(~hit & ~text).alias("misses_visual"))
 
 
 def hit_by_modality(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.tiered_cache import ModalityAwareLru, PlainLru, TieredCache
+from tessera.operators.tiered_cache import TieredCache, policy_of
 
 OUT = "cache_id long, seq long, block_id string, modality string, outcome string"
 
@@ -20,7 +20,7 @@ def replay_stream(accesses: DataFrame, gpu_blocks: int, cpu_blocks: int, policy:
     A cache's accesses of one micro-batch are replayed in order of seq; batches come in order. The
     state of a cache is as large as its tiers, which are bounded but for the disk tier's ids.
     """
-    make = ModalityAwareLru if policy == "modality_aware_lru" else PlainLru
+    make = policy_of(policy)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cache = pickle.loads(state.get[0]) if state.exists else TieredCache(gpu_blocks, cpu_blocks, None, make())
