@@ -24,17 +24,18 @@ def crop_mask(sides: DataFrame, threshold: float) -> DataFrame:
 def prune_ids(df: DataFrame, ids: str, threshold: float, name: str = "kept_ids") -> DataFrame:
     """df with the ids whose patch is kept on the largest square grid; all of them if none or all are.
 
-    The grid's side is a column of its own, so that the filter reads it instead of working it out
-    for every id.
+    Which places are kept follows from the number of ids alone, so the mask is worked out once for
+    each number there is, and joined.
     """
-    n = F.size(ids)
-    gridded = df.withColumns({"side_": F.greatest(F.lit(1), F.floor(F.sqrt(n.cast("double"))).cast("int")), "placed_": F.transform(ids, lambda x, i: F.struct(x.alias("id"), i.alias("at")))})
-    side = F.col("side_")
-    wide = side.cast("double")
-    kept = F.filter("placed_", lambda x: (x["at"] < side * side) & in_center(F.floor(x["at"] / side), F.pmod(x["at"], side), wide, wide, threshold))
-    pruned = gridded.withColumn("pruned_", kept)
-    whole = (F.size("pruned_") == 0) | (F.size("pruned_") == n)
-    return pruned.withColumn(name, F.when(whole, F.col(ids)).otherwise(F.col("pruned_.id"))).drop("side_", "placed_", "pruned_")
+    numbers = df.select(F.size(ids).alias("n_")).distinct().where("n_ > 0")
+    side = F.floor(F.sqrt(F.col("n_").cast("double"))).cast("int")
+    grid = numbers.select("n_", side.alias("side_"), F.explode(F.sequence(F.lit(0), side * side - 1)).alias("at_"))
+    wide = F.col("side_").cast("double")
+    inside = grid.where(in_center(F.floor(F.col("at_") / F.col("side_")), F.pmod("at_", "side_"), wide, wide, threshold))
+    masks = inside.groupBy("n_").agg(F.sort_array(F.collect_list("at_")).alias("places_"))
+    met = df.withColumn("n_", F.size(ids)).join(masks, "n_", "left")
+    whole = F.col("places_").isNull() | (F.size("places_") == F.col("n_"))
+    return met.withColumn(name, F.when(whole, F.col(ids)).otherwise(F.transform("places_", lambda k: F.get(ids, k)))).drop("n_", "places_")
 
 
 def combine_masks(pixels: DataFrame, whole: float = 0.8) -> DataFrame:
