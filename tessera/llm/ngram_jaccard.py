@@ -53,10 +53,7 @@ BATCH_SETS = 65_535
 ROW_ENTRIES = 4_000_000
 #: Seeds of the three orders, and of the hashes that group near copies.
 ORDERS = (0x5851F42D4C957F2D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-GROUPINGS = (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xD6E8FEB86659FD93)#: Pivots of a prefix token.
-PIVOTS = 4
-
-#: Bytes of text that are hashed at once.
+GROUPINGS = (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xD6E8FEB86659FD93)#: Bytes of text that are hashed at once.
 PIECE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -165,10 +162,10 @@ PACKED_DDL = "part int, kind int, batch long, source int, owners binary, tokens
 SETS, ROWS, ONE, MANY, OWNED, ONE_SAYS, MANY_SAYS = range(7)
 SET = np.dtype([("sig", "<i8"), ("sig2", "<i8"), ("n", "<i8")])
 ROW = np.dtype([("owner", "<i4"), ("null", "u1"), ("doc_id", "<i8"), ("key_a", "<i8"), ("key_b", "<i8")])
-FOUND_DDL = "is_set boolean, doc_id long, key_a long, key_b long, id binary, batch long, n long, shared int, tokens array<long>, first array<long>, second array<int>, third array<int>, groups array<long>"
+FOUND_DDL = "is_set boolean, doc_id long, key_a long, key_b long, id binary, batch long, n long, shared int, score double, tokens array<long>, first array<long>, second array<int>, third array<int>, groups array<long>"
 LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 FOUND = pa.schema(
-    [("is_set", pa.bool_()), *((c, pa.int64()) for c in ("doc_id", "key_a", "key_b")), ("id", pa.binary()), ("batch", pa.int64()), ("n", pa.int64()), ("shared", pa.int32())]
+    [("is_set", pa.bool_()), *((c, pa.int64()) for c in ("doc_id", "key_a", "key_b")), ("id", pa.binary()), ("batch", pa.int64()), ("n", pa.int64()), ("shared", pa.int32()), ("score", pa.float64())]
     + [("tokens", LONGS), ("first", LONGS), ("second", INTS), ("third", INTS), ("groups", LONGS)]
 )
 
@@ -387,6 +384,7 @@ def _home(name: int, rows: pa.Table, parts: int) -> Iterator[pa.Table]:
         batch=pa.array(np.full(m, name, dtype=np.int64)),
         n=pa.array(table["n"], pa.int64()),
         shared=pa.array(shared, pa.int32()),
+        score=pa.array(np.add.reduceat(level.astype(np.float64), starts[:-1]) / table["n"]),
         tokens=_lists(tokens, owner, m, LONGS),
         first=prefixes[0],
         second=prefixes[1],
@@ -468,17 +466,18 @@ def _open(places: DataFrame, roots: DataFrame) -> DataFrame:
 def class_roots(sets: DataFrame) -> DataFrame:
     """id and root, the name of its component, of the sets that link with another one.
 
-    Sets that share their least token under a grouping hash meet its pivot first; then the members
-    of each prefix token of the first order meet PIVOTS pivots of that token, if their pivots so
-    far differ. This joins a group's sets by few links; what is in different components then, and shares
+    Sets that share their least token under a grouping hash meet its pivot first, the most central
+    of them, whose tokens are the most frequent on average: the text that near copies derive from.
+    Then the members of each prefix token of the first order meet that token's most central one and
+    another, if their pivots so far differ. This joins a group's sets by few links; what is in different components then, and shares
     a prefix token, is compared pair by pair. Equal sets of several batches have one id; the largest
     batch stands for them.
     """
-    keys = sets.select("id", "batch", "n", F.col("id").alias("root"), F.explode("groups").alias("token"))
-    near = cut(linked(stars(keys, F.col("n")), sets).distinct())
-    places = cut(sets.select("id", "batch", "n", "shared", F.posexplode("first").alias("at", "token")))
+    keys = sets.select("id", "batch", "n", "score", F.col("id").alias("root"), F.explode("groups").alias("token"))
+    near = cut(linked(stars(keys, F.col("score")), sets).distinct())
+    places = cut(sets.select("id", "batch", "n", "shared", "score", F.posexplode("first").alias("at", "token")))
     pivots = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
-    links = near.unionByName(linked(stars(_open(places, pivots), *(F.xxhash64("id", "token", F.lit(k)) for k in range(PIVOTS))), sets))
+    links = near.unionByName(linked(stars(_open(places, pivots), F.col("score"), F.xxhash64("id", "token")), sets))
     roots = cut(connected_components(links).withColumnRenamed("node", "id"))
     # links left over are those of components, of which there are few
     rest = cross_pairs(_open(places, roots))
