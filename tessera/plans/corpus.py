@@ -129,7 +129,7 @@ def synthetic_chunks(spark, sf_dir: str) -> DataFrame:
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 _REC = """WITH rec AS (SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN ' ' || chr(10) || chr(9) || ' ' END AS markdown, CASE doc_id % 4 WHEN 1 THEN text WHEN 2 THEN '' END AS text,
- CASE doc_id % 4 WHEN 2 THEN text END AS content, CASE doc_id % 8 WHEN 3 THEN text END AS query, CASE doc_id % 8 WHEN 7 THEN text END AS answer, CASE doc_id % 4 WHEN 3 THEN '' WHEN 2 THEN source END AS source, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 END AS page FROM documents) """
+ CASE doc_id % 4 WHEN 2 THEN text END AS content, CASE doc_id % 8 WHEN 3 THEN text END AS query, CASE doc_id % 8 WHEN 7 THEN text END AS answer, CASE doc_id % 4 WHEN 3 THEN '' WHEN 2 THEN source END AS source, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 END AS page, lang AS split, n_chars FROM documents) """
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
 _VOCAB = f"pieces AS (SELECT doc_id, unnest({_TOKENS}) AS piece, generate_subscripts({_TOKENS}, 1) AS pos FROM documents), vocab AS (SELECT piece, row_number() OVER (ORDER BY min((doc_id, pos))) AS token_id FROM pieces GROUP BY piece)"
 _HASH = "substr(sha256('{m}:' || array_to_string({ids}, ',')), 1, 32)"
@@ -142,6 +142,7 @@ ORACLES = {
     "record_text": _REC + f"SELECT doc_id, coalesce({', '.join(f'CASE WHEN {_TRIM.format(c)} THEN {c} END' for c in TEXT_NAMES)}, '') AS record_text FROM rec",
     "record_doc_id": "SELECT doc_id AS key, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN nullif(source, '') ELSE nullif(lang, '') END AS record_id FROM documents",
     "record_source": _REC + "SELECT doc_id, CASE WHEN source <> '' THEN source WHEN doc_id::BIGINT % 5 = 0 THEN 'unknown' WHEN page IS NOT NULL THEN doc_id || '#page=' || page ELSE doc_id END AS record_source FROM rec",
+    "record_metadata": _REC + "SELECT doc_id, json_object('doc_id', doc_id, 'query', query, 'answer', answer, 'source', source, 'page', page, 'split', split, 'n_chars', n_chars)::VARCHAR AS metadata FROM rec",
     "union_splits": "SELECT doc_id, lang AS split, CASE WHEN lang <> 'de' THEN source END AS source, n_chars FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')",
     "image_file_name": _REC + "SELECT doc_id, substr(sha256(doc_id || CASE WHEN page IS NOT NULL THEN '-page-' || page ELSE '' END), 1, 24) || '.png' AS file_name FROM rec",
     "token_count": f"SELECT doc_id, len({_WORDS})::BIGINT AS n_tokens FROM documents",

@@ -51,7 +51,7 @@ def metadata_merge(spark, sf_dir: str) -> DataFrame:
     fixed = F.create_map(F.lit("chunk_id"), F.format_string("v%d", "doc_id"), F.lit("source"), F.lit("corpus"))
     own = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
     merged = F.map_concat(F.map_filter(fixed, lambda k, _: ~F.map_contains_key(own, k)), own)
-    return table(spark, sf_dir, "documents").select("doc_id", merged.alias("metadata"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(merged).alias("metadata"))
 
 
 def segment_normalize(spark, sf_dir: str) -> DataFrame:
@@ -133,9 +133,11 @@ SELECT request_id, concat_ws(chr(10) || chr(10), 'User query:' || chr(10) || que
 SELECT request_id, 'Use the following context to answer the question.' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:' AS prompt FROM r LEFT JOIN g USING (request_id)""",
     "segment_normalize": f"WITH {_SEG} SELECT request_id, seg_index, CASE WHEN seg_index % 3 <> 0 THEN role ELSE '' END AS role, CASE WHEN seg_index % 3 <> 1 THEN modality ELSE 'text' END AS modality, '' AS source, CASE WHEN seg_index % 3 <> 2 THEN text ELSE '' END AS text, CASE seg_index % 3 WHEN 1 THEN 7 WHEN 2 THEN 0 ELSE length(text) END::BIGINT AS text_length FROM seg",
     "prompt_summary": f"WITH {_SEG} SELECT request_id, sum(n)::BIGINT AS total_prompt_tokens, coalesce(sum(n) FILTER (WHERE role = 'retrieved_text'), 0)::BIGINT AS retrieved_text_token_count, bool_or(modality = 'image' OR role = 'visual_context') AS visual_input_present, count(*) FILTER (WHERE starts_with(role, 'retrieved_')) AS num_retrieved_chunks FROM seg GROUP BY request_id",
+    "prompt_log_json": f"WITH {_SEG}, s AS (SELECT request_id, sum(n)::BIGINT AS total_prompt_tokens, coalesce(sum(n) FILTER (WHERE role = 'retrieved_text'), 0)::BIGINT AS retrieved_text_token_count, bool_or(modality = 'image' OR role = 'visual_context') AS visual_input_present, count(*) FILTER (WHERE starts_with(role, 'retrieved_')) AS num_retrieved_chunks FROM seg GROUP BY request_id) SELECT json_object('event', 'prompt_summary', 'request_id', request_id, 'total_prompt_tokens', total_prompt_tokens, 'retrieved_text_token_count', retrieved_text_token_count, 'visual_input_present', visual_input_present, 'num_retrieved_chunks', num_retrieved_chunks)::VARCHAR AS line FROM s",
     "tokens_by_role": f"WITH {_SEG} SELECT request_id, role, sum(n)::BIGINT AS tokens FROM seg GROUP BY ALL",
     "tokens_by_modality": f"WITH {_SEG} SELECT request_id, modality, sum(n)::BIGINT AS tokens FROM seg GROUP BY ALL",
     "ordered_roles": f"WITH {_SEG} SELECT request_id, string_agg(role, ',' ORDER BY seg_index) AS roles, string_agg(modality, ',' ORDER BY seg_index) AS modalities FROM seg GROUP BY request_id",
+    "metadata_merge": "SELECT doc_id, json_object('chunk_id', 'v' || doc_id, 'source', source, 'lang', lang)::VARCHAR AS metadata FROM documents",
     "extract_text": "SELECT event_id, CASE WHEN event_id % 8 < 7 THEN event_type ELSE '' END AS answer FROM events",
     "extract_latency": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 9)::DOUBLE ELSE value END AS seconds FROM events",
 }
