@@ -97,3 +97,14 @@ def ordered_values(segments_: DataFrame, request: str, order: str, values: list[
     """Lists of values in order, an array a request."""
     listed = F.array_sort(F.collect_list(F.struct(order, *values)))
     return segments_.groupBy(request).agg(listed.alias("l_")).select(request, *(F.col("l_").getField(v).alias(v) for v in values))
+
+
+def token_maps(segments_: DataFrame, request: str) -> DataFrame:
+    """Tokens of each request by role and by modality, as maps; a role whose segments have none is there with 0."""
+    counted = segments_.select(request, "role", "modality", X.token_count("text").alias("n_"))
+
+    def by(key: str) -> DataFrame:
+        sums = counted.groupBy(request, key).agg(F.sum("n_").alias("n_"))
+        return sums.groupBy(request).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n_")))).alias(f"tokens_by_{key}"))
+
+    return by("role").join(by("modality"), request)

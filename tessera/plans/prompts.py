@@ -74,8 +74,14 @@ def tokens_by_modality(spark, sf_dir: str) -> DataFrame:
 
 
 def ordered_roles(spark, sf_dir: str) -> DataFrame:
-    listed = P.ordered_values(S.segments(spark, sf_dir), "request_id", "seg_index", ["role", "modality"])
-    return listed.select("request_id", F.array_join("role", ",").alias("roles"), F.array_join("modality", ",").alias("modalities"))
+    listed = P.ordered_values(S.segments(spark, sf_dir), "request_id", "seg_index", ["role", "modality", "source"])
+    return listed.select("request_id", *(F.array_join(c, ",").alias(name) for c, name in (("role", "roles"), ("modality", "modalities"), ("source", "sources"))))
+
+
+def token_maps(spark, sf_dir: str) -> DataFrame:
+    """Both maps of each request as JSON objects, their keys in order."""
+    made = P.token_maps(S.segments(spark, sf_dir), "request_id")
+    return made.select("request_id", F.to_json("tokens_by_role").alias("tokens_by_role"), F.to_json("tokens_by_modality").alias("tokens_by_modality"))
 
 
 def prompt_log_json(spark, sf_dir: str) -> DataFrame:
@@ -111,11 +117,11 @@ _CHUNKS = """c AS (SELECT conv_id AS request_id, turn, CASE WHEN turn % 5 <> 1 T
 o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank IS NULL, coalesce(rank, 0), chunk_id) - 1 AS pos FROM c),
 r AS (SELECT conv_id AS request_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS query, CASE conv_id % 3 WHEN 0 THEN '' WHEN 2 THEN 'req/' || conv_id || '.png' END AS image_path FROM conversations GROUP BY conv_id)"""
 _SEG = """seg AS (SELECT conv_id AS request_id, turn AS seg_index, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN 'retrieved_visual' ELSE 'retrieved_text' END ELSE role END AS role,
- CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'image' ELSE 'text' END AS modality, text, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM conversations)"""
+ CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'image' ELSE 'text' END AS modality, CASE WHEN role = 'assistant' THEN 'conv' || conv_id ELSE role END AS source, text, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM conversations)"""
 
 QUERIES = {
     f.__name__: f
-    for f in (prompt_chunk_order, prompt_segments, prompt_flags, user_text_block, prompt_b, chat_payload, metadata_merge, segment_normalize, prompt_summary, tokens_by_role, tokens_by_modality, ordered_roles, prompt_log_json, extract_text, extract_latency)
+    for f in (prompt_chunk_order, prompt_segments, prompt_flags, user_text_block, prompt_b, chat_payload, metadata_merge, segment_normalize, prompt_summary, tokens_by_role, tokens_by_modality, token_maps, ordered_roles, prompt_log_json, extract_text, extract_latency)
 }
 ORACLES = {
     "prompt_chunk_order": f"WITH {_CHUNKS} SELECT request_id, pos AS position, chunk_id FROM o",
@@ -136,8 +142,9 @@ SELECT request_id, 'Use the following context to answer the question.' || chr(10
     "prompt_log_json": f"WITH {_SEG}, s AS (SELECT request_id, sum(n)::BIGINT AS total_prompt_tokens, coalesce(sum(n) FILTER (WHERE role = 'retrieved_text'), 0)::BIGINT AS retrieved_text_token_count, bool_or(modality = 'image' OR role = 'visual_context') AS visual_input_present, count(*) FILTER (WHERE starts_with(role, 'retrieved_')) AS num_retrieved_chunks FROM seg GROUP BY request_id) SELECT json_object('event', 'prompt_summary', 'request_id', request_id, 'total_prompt_tokens', total_prompt_tokens, 'retrieved_text_token_count', retrieved_text_token_count, 'visual_input_present', visual_input_present, 'num_retrieved_chunks', num_retrieved_chunks)::VARCHAR AS line FROM s",
     "tokens_by_role": f"WITH {_SEG} SELECT request_id, role, sum(n)::BIGINT AS tokens FROM seg GROUP BY ALL",
     "tokens_by_modality": f"WITH {_SEG} SELECT request_id, modality, sum(n)::BIGINT AS tokens FROM seg GROUP BY ALL",
-    "ordered_roles": f"WITH {_SEG} SELECT request_id, string_agg(role, ',' ORDER BY seg_index) AS roles, string_agg(modality, ',' ORDER BY seg_index) AS modalities FROM seg GROUP BY request_id",
+    "ordered_roles": f"WITH {_SEG} SELECT request_id, string_agg(role, ',' ORDER BY seg_index) AS roles, string_agg(modality, ',' ORDER BY seg_index) AS modalities, string_agg(source, ',' ORDER BY seg_index) AS sources FROM seg GROUP BY request_id",
     "metadata_merge": "SELECT doc_id, json_object('chunk_id', 'v' || doc_id, 'source', source, 'lang', lang)::VARCHAR AS metadata FROM documents",
+    "token_maps": f"WITH {_SEG}, r AS (SELECT request_id, role AS k, sum(n)::BIGINT AS n FROM seg GROUP BY ALL), m AS (SELECT request_id, modality AS k, sum(n)::BIGINT AS n FROM seg GROUP BY ALL), a AS (SELECT request_id, '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' AS tokens_by_role FROM r GROUP BY request_id), b AS (SELECT request_id, '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' AS tokens_by_modality FROM m GROUP BY request_id) SELECT * FROM a JOIN b USING (request_id)",
     "extract_text": "SELECT event_id, CASE WHEN event_id % 8 < 7 THEN event_type ELSE '' END AS answer FROM events",
     "extract_latency": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 9)::DOUBLE ELSE value END AS seconds FROM events",
 }

@@ -54,7 +54,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     retrieved = F.when(F.pmod("turn", F.lit(3)) == 0, "retrieved_visual").otherwise("retrieved_text")
     role = F.when(F.col("role") == "assistant", retrieved).otherwise(F.col("role"))
     conv = table(spark, sf_dir, "conversations")
-    return conv.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seg_index"), role.alias("role"), F.when(role == "retrieved_visual", "image").otherwise("text").alias("modality"), F.col("text"))
+    return conv.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seg_index"), role.alias("role"), F.when(role == "retrieved_visual", "image").otherwise("text").alias("modality"), F.when(F.col("role") == "assistant", F.format_string("conv%d", "conv_id")).otherwise(F.col("role")).alias("source"), F.col("text"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
