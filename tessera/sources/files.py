@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, fields
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 
@@ -16,20 +18,29 @@ IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp", "tiff")
 
 
 def text_records(spark: SparkSession, path: str) -> DataFrame:
-    """source (the path), doc_id (its stem) and markdown of all ``*.txt`` below a folder.
+    """source (the path), doc_id (its stem) and markdown of all ``*.txt`` below a folder, in order of their paths.
 
-    A missing folder raises when the frame is made, as Spark resolves the path then.
+    A missing folder raises when the frame is made, as Spark resolves the path then; a file that isn't
+    UTF-8 when it is read.
     """
-    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("markdown"))
-    return found.select("source", X.file_stem(F.col("source")).alias("doc_id"), "markdown")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    found = files.select(F.col("path").alias("source"), X.file_stem(F.col("path")).alias("doc_id"), F.validate_utf8(F.col("content").cast("string")).alias("markdown"))
+    return found.orderBy("source")
+
+
+@F.pandas_udf(T.StringType())
+def _lenient(contents: pd.Series) -> pd.Series:
+    """UTF-8 without the bytes that are none."""
+    return contents.map(lambda c: bytes(c).decode("utf-8", "ignore"), na_action="ignore")
 
 
 def mixed_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind (text or image), text (bytes that aren't UTF-8 replaced) and length, for known suffixes in any case."""
+    """path, kind (text or image), length and text (without bytes that aren't UTF-8), for known suffixes in any case, in order of path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     kind = F.when(suffix.isin(*TEXT_SUFFIXES), "text").when(suffix.isin(*IMAGE_SUFFIXES), "image")
-    return files.select("path", kind.alias("kind"), "length", "content").where("kind is not null").select("path", "kind", "length", F.when(F.col("kind") == "text", F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+    known = files.select("path", kind.alias("kind"), "length", F.when(kind == "text", F.col("content")).alias("raw_")).where("kind is not null")
+    return known.select("path", "kind", "length", _lenient("raw_").alias("text")).orderBy("path")
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -17,6 +17,10 @@ def test_text_folder(spark, tmp_path):
     (tmp_path / "in" / "doc.b.txt").write_text("image\ntext")
     (tmp_path / "no.md").write_text("x")
     assert sorted((r["doc_id"], r["markdown"]) for r in text_records(spark, str(tmp_path)).collect()) == [("doc.b", "image\ntext"), ("doc_a", "cache text")]
+    assert [r["doc_id"] for r in text_records(spark, str(tmp_path)).collect()] == ["doc_a", "doc.b"]
+    (tmp_path / "bad.txt").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="INVALID_UTF8"):
+        text_records(spark, str(tmp_path)).collect()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         text_records(spark, str(tmp_path / "missing"))
 
@@ -26,7 +30,7 @@ def test_mixed_folder(spark, tmp_path):
     (tmp_path / "b.PNG").write_bytes(b"123")
     (tmp_path / "c.pdf").write_bytes(b"123")
     got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["length"], r["text"]) for r in mixed_files(spark, str(tmp_path)).collect()}
-    assert got["b.PNG"] == ("image", 3, None) and got["a.MD"][:2] == ("text", 8) and got["a.MD"][2].startswith("ok ") and len(got) == 2
+    assert got["b.PNG"] == ("image", 3, None) and got["a.MD"] == ("text", 8, "ok  end") and list(got) == ["a.MD", "b.PNG"]
 
 
 def test_results(spark, tmp_path):
