@@ -59,9 +59,9 @@ def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     A document's distinct pieces meet the vocabulary, in a join that AQE splits where a piece is
     common; positions are never shuffled, as ids are put in beside the document's pieces.
     """
-    each = chunks.select(key, F.explode("pieces").alias("piece")).distinct()
-    own = each.join(vocab, "piece").groupBy(key).agg(F.collect_list(F.struct("piece", "token_id")).alias("vocab_"))
     whole = chunks.groupBy(key).agg(F.collect_list(F.struct("chunk_index", "pieces")).alias("chunks_"))
+    each = whole.select(key, F.explode(F.array_distinct(F.flatten(F.col("chunks_.pieces")))).alias("piece"))
+    own = each.join(vocab, "piece").groupBy(key).agg(F.collect_list(F.struct("piece", "token_id")).alias("vocab_"))
     return whole.join(own, key).select(key, F.inline(_numbered("chunks_", "vocab_")))
 
 
