@@ -89,7 +89,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.named = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.exact = regex.compile(public_tokenizers.PATTERN)
         self.letters = _byte_letters()
@@ -101,7 +101,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        special = {k for k, t in enumerate(texts) if t and self.named.search(t)}
+        special = {k for name in self.named for k, t in enumerate(texts) if t and name in t}
         if special:
             rest = iter(self.encode([t for k, t in enumerate(texts) if k not in special]))
             of = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
