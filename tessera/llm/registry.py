@@ -12,6 +12,7 @@ from tessera.llm.quote_links import OP2_SQL, op2
 from tessera.llm.token_files import op6
 from tessera.llm.url_filter import op9
 from tessera.llm.warc import op8
+from tessera.llm.whitening import op11
 
 QUERIES = {
     "op1_html_extraction": op1,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_warc": op8,
     "op9_url_filter": op9,
     "op10_license_scan": op10,
+    "op11_embedding_whitening": op11,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
