@@ -7,6 +7,7 @@ from tessera.llm.html_extract import op1
 from tessera.llm.license_scan import op10
 from tessera.llm.mixing import op3
 from tessera.llm.ngram_jaccard import op7
+from tessera.llm.periodic_runs import op13
 from tessera.llm.quality_rules import op5
 from tessera.llm.quote_links import OP2_SQL, op2
 from tessera.llm.token_files import op6
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_url_filter": op9,
     "op10_license_scan": op10,
     "op11_embedding_whitening": op11,
+    "op13_periodic_runs": op13,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
