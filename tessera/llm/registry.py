@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.contextual_pii import op12
 from tessera.llm.decontaminate import op4
 from tessera.llm.html_extract import op1
 from tessera.llm.license_scan import op10
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9,
     "op10_license_scan": op10,
     "op11_embedding_whitening": op11,
+    "op12_contextual_pii": op12,
     "op13_periodic_runs": op13,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
