@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import pruning as G
 from tessera.operators import tiered_cache as K
 from tessera.operators.ranking import last_wins
+from tessera.operators.stack_distance import lru_hits
 from tessera.session import table
 from tessera.sources import tables as S
 
@@ -17,7 +18,7 @@ GPU, CPU = 4, 6
 
 
 def lru_stack_distance(spark, sf_dir: str) -> DataFrame:
-    return K.lru_hits(S.trace(spark, sf_dir, CACHES), CAPACITY)
+    return lru_hits(S.trace(spark, sf_dir, CACHES), CAPACITY)
 
 
 def cache_trace(spark, sf_dir: str) -> DataFrame:
