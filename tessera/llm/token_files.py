@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -60,11 +61,15 @@ _FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 _CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
 
 
+class _Unsure(Exception):
+    """A pre-token holds characters that re may class otherwise than the library does."""
+
+
 def _unsure(piece: str) -> bool:
-    """Whether a pre-token holds characters that re classes otherwise than Unicode does."""
+    """Whether a pre-token holds such a character: separators, numbers that are no decimal digits, unassigned ones."""
     if piece.isascii():
         return not _CONTROLS.isdisjoint(piece)
-    return any(c in _CONTROLS or (c.isalnum() and not c.isalpha() and not c.isdecimal()) for c in piece)
+    return any(c in _CONTROLS or (c.isalnum() and not c.isalpha() and not c.isdecimal()) or unicodedata.category(c) == "Cn" for c in piece)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -75,51 +80,57 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Memo(dict):
+    """The ids of pre-tokens, each encoded when it is first met; none that is unsure is ever kept."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if _unsure(piece):
+            raise _Unsure
+        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < MEMO_PIECES:
+            self[piece] = packed
+        return packed
+
+
 class Encoder:
     """The tokenizers library, with each distinct pre-token of a worker encoded once by its model.
 
     A byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens, joined. Texts that hold the name of a special token, which the library gives an id
-    of its own, are encoded by the library as they are.
+    pre-tokens, joined. Texts with an unsure pre-token, or with the name of a special token, which the
+    library gives an id of its own, are encoded by the library as they are. What a text's ids are
+    depends on nothing but the text.
     """
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
-        self.exact = regex.compile(public_tokenizers.PATTERN)
-        self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.tokenizer.model)
 
-    def _ids(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        special = {k for name in self.named for k, t in enumerate(texts) if t and name in t}
-        if special:
-            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in special]))
-            of = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-            return [np.array(of(t), dtype="<u4").tobytes() if k in special else next(rest) for k, t in enumerate(texts)]
-        pieces = [_FAST.findall(t) if t else [] for t in texts]
-        memo = self.memo
-        new = set().union(*pieces).difference(memo)
-        unsure = {p for p in new if _unsure(p)}
-        if unsure:
-            pieces = [p if unsure.isdisjoint(p) else self.exact.findall(t) for p, t in zip(pieces, texts, strict=True)]
-            new = set().union(*pieces).difference(memo)
-        fresh = {p: self._ids(p) for p in new}
-        if len(memo) + len(fresh) <= MEMO_PIECES:
-            memo.update({p: ids for p, ids in fresh.items() if p not in unsure})
-        get = memo.__getitem__
-        if any(p not in memo for p in fresh):  # full, or unsure: encoded again where they return
-            get = lambda p: memo[p] if p in memo else fresh[p]
-        return [b"".join(map(get, p)) for p in pieces]
+        out, ids_of, named = [], self.memo.__getitem__, self.named
+        for text in texts:
+            try:
+                if not text:
+                    out.append(b"")
+                elif any(name in text for name in named):
+                    out.append(self._plain(text))
+                else:
+                    out.append(b"".join(map(ids_of, _FAST.findall(text))))
+            except _Unsure:
+                out.append(self._plain(text))
+        return out
 
 
 @lru_cache(maxsize=4)

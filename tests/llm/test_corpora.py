@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -215,6 +216,34 @@ def test_memo_encodes_as_the_library(texts, names):
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+ODD = ["\x1c", "\n\x1c", "'s", "\u1c89", "\U00013460", "\U000143fa", "\U00010d40", "²", "½", "Ⅷ", "é", "a", " ", "\n", "1", "_", "\u0301", "\U00032400", "\u0378", "'ll", "\x85", "٣"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.lists(st.sampled_from(ODD), max_size=6).map("".join), max_size=4), max_size=5))
+def test_ids_do_not_hang_on_what_came_before(batches):
+    one = token_files.Encoder(token_files.encoder("byte_bpe_50k.json").path)
+    for texts in batches:
+        got = [np.frombuffer(e, dtype="<u4").tolist() for e in one.encode(texts)]
+        assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_character_before_a_contraction():
+    """Of each code point, as the one before a contraction and after a letter."""
+    one = token_files.encoder("byte_bpe_50k.json")
+    texts = [f"a{chr(c)}'s {chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or unicodedata.category(chr(c)) != "Cn" and c % 7 == 0 or 0x10D40 <= c < 0x10D90 or 0x13460 <= c < 0x14400 or 0x16100 <= c < 0x16200)]
+    got = [np.frombuffer(e, dtype="<u4").tolist() for e in one.encode(texts)]
+    assert got == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_full_memo_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_PIECES", 3)
+    one = token_files.Encoder(token_files.encoder("byte_bpe_50k.json").path)
+    texts = ["one two three four", "five six one", "\x1c's two", "two seven"]
+    assert [np.frombuffer(e, dtype="<u4").tolist() for e in one.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(one.memo) == 3
+
+
 def test_special_names_have_their_ids():
     got = token_files.encoder("byte_bpe_50k.json").encode(["a", "a <|endoftext|> b", None, "b"])
     assert [np.frombuffer(e, dtype="<u4").tolist() for e in got] == [[64], [64, 220, 50256, 275], [], [65]]
