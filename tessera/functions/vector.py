@@ -1,14 +1,12 @@
-"""Vectors: normalising, scoring blocks of rows against a set of queries, embedding by hash."""
+"""Vectors: normalising, embedding by hash and by terms."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,39 +24,10 @@ def l2_normalize(vector: str | Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / length)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), FLOOR)
 
 
-def top_scores(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, by: str | None = None) -> DataFrame:
-    """Candidates (query_id, chunk_id, modality, score) that hold each query's k best of all chunks.
-
-    chunks: chunk_id string, modality string, embedding array<float>. Each batch of rows is one
-    matrix product with the stated queries and keeps its k best by (-score, chunk_id) for each
-    query (and each value of ``by``), so that only these go on to the ranking window. The queries
-    are shipped with the plan; their number is the caller's, not the data's.
-    """
-    ids = [q for q, _ in queries]
-    matrix = _unit(np.array([v for _, v in queries], dtype=np.float64)) if queries else np.zeros((0, 1))
-
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame[frame["embedding"].notna()]
-            if frame.empty or not ids:
-                continue
-            vectors = _unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64))
-            scores = np.einsum("ij,kj->ik", vectors, matrix)
-            names, groups = frame["chunk_id"].to_numpy(), frame["modality"].to_numpy()
-            for at, query in enumerate(ids):
-                for group in np.unique(groups) if by else [None]:
-                    inside = np.flatnonzero(groups == group) if by else np.arange(len(names))
-                    order = inside[np.lexsort((names[inside].astype(str), -scores[inside, at]))][:k]
-                    yield pa.RecordBatch.from_pydict({"query_id": [query] * len(order), "chunk_id": list(names[order]), "modality": list(groups[order]), "score": scores[order, at]}, schema=pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("modality", pa.string()), ("score", pa.float64())]))
-
-    return chunks.select("chunk_id", "modality", "embedding").mapInArrow(best, "query_id long, chunk_id string, modality string, score double")
-
-
 def hash_vector(text: str | None, size: int = 768) -> list[float]:
     """A fixed pseudo-random vector of a text, of nearly unit length."""
     seed = int.from_bytes(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest()[:4], "big")

@@ -1,22 +1,28 @@
-"""Retrieval: exact top-k by cosine similarity under the two stacks' rules."""
+"""Retrieval: exact top-k by cosine similarity under the two stacks' rules.
+
+chunks: chunk_id, modality, embedding; queries: query_id, embedding, a table of any number of rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import top_scores
+from tessera.operators.vector_index import VectorIndex
+
 
-Queries = list[tuple[int, list[float]]]
+def top_scores(chunks: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """Rows (query_id, chunk_id, modality, score) that hold each query's k best of all chunks, or of each value of ``by``."""
+    return VectorIndex.build(chunks, by).search(queries, k).drop("group_")
 
 
-def dense_topk(chunks: DataFrame, queries: Queries, k: int) -> DataFrame:
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Each query's k best chunks; ties by chunk_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return top_scores(chunks, queries, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def retrieve_a(chunks: DataFrame, queries: Queries, k: int) -> DataFrame:
+def retrieve_a(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """4k candidates of each modality, merged and ranked by (-score, chunk_id, modality), not cut to k."""
     pool = 4 * max(1, k)
     per = Window.partitionBy("query_id", "modality").orderBy(F.desc("score"), "chunk_id")
@@ -25,7 +31,7 @@ def retrieve_a(chunks: DataFrame, queries: Queries, k: int) -> DataFrame:
     return cut_.withColumn("retrieval_rank", F.row_number().over(merged)).drop("place_")
 
 
-def retrieve_b(chunks: DataFrame, queries: Queries, k: int, boost: float, force_visual: bool = False) -> DataFrame:
+def retrieve_b(chunks: DataFrame, queries: DataFrame, k: int, boost: float, force_visual: bool = False) -> DataFrame:
     """3k candidates by plain score; visual scores boosted; the first k by boosted score.
 
     With force_visual the last of the k becomes the best visual candidate if there is none among

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +11,12 @@ from tessera.operators import retrieval as R
 from tessera.session import table
 from tessera.sources import tables as S
 
-#: Queries of a block, which are shipped with a scan of all chunks; of any set of queries, all blocks are asked.
-BLOCK = 4096
 TERMS = ["the", "que", "er"]
 
 
 def _asked(spark, sf_dir: str, search) -> DataFrame:
-    """What search(chunks, queries) finds for all queries, every row whose id is divisible by 100, block by block."""
-    chunks = S.chunks(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [search(chunks, block) for block in S.query_blocks(spark, sf_dir, BLOCK)])
+    """What search(chunks, queries) finds for all queries."""
+    return search(S.chunks(spark, sf_dir), S.search_queries(spark, sf_dir))
 
 
 def _top(spark, sf_dir: str) -> DataFrame:

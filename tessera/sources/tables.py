@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +31,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.format_string("v%d", "vec_id").alias("chunk_id"), F.when(F.col("label") < 3, "image").otherwise("text").alias("modality"), "embedding")
 
 
-def query_blocks(spark: SparkSession, sf_dir: str, size: int) -> Iterator[list[tuple[int, list[float]]]]:
-    """The searches' queries, every embedding whose id is divisible by 100, in blocks of at most ``size``; one empty block if there is none.
-
-    Rows come partition by partition, so the driver holds a block and a partition's queries.
-    """
-    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
-    block, given = [], False
-    for row in asked.toLocalIterator():
-        block.append((row["vec_id"], list(row["embedding"])))
-        if len(block) == size:
-            yield block
-            block, given = [], True
-    if block or not given:
-        yield block
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches' queries: every embedding whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,17 +42,21 @@ def test_blank_texts_have_no_words(spark):
     assert C.word_chunks(docs, "doc", "body", 4).count() == 0
 
 
+def asked(spark, *vectors):
+    return spark.createDataFrame(list(enumerate(map(list, vectors))), "query_id long, embedding array<float>")
+
+
 def test_retrieve_a_keeps_candidates_beyond_k(spark):
     chunks = spark.createDataFrame([("image-red", "image", [0.0, 0.0, 0.0]), ("text-cache", "text", [1.0, 0.0, 0.0]), ("text-mixed", "text", [1.0, 1.0, 1.0])], "chunk_id string, modality string, embedding array<float>")
-    rows = R.retrieve_a(chunks, [(0, [0.0, 1.0, 0.0])], 2).orderBy("retrieval_rank").collect()
+    rows = R.retrieve_a(chunks, asked(spark, [0.0, 1.0, 0.0]), 2).orderBy("retrieval_rank").collect()
     assert [(r["chunk_id"], round(r["score"], 5)) for r in rows] == [("text-mixed", 0.57735), ("image-red", 0.0), ("text-cache", 0.0)]
 
 
 def test_forced_visual_takes_the_last_place(spark):
     chunks = spark.createDataFrame([("a", "text", [1.0, 0.0]), ("b", "text", [1.0, 0.1]), ("v", "image", [0.2, 1.0])], "chunk_id string, modality string, embedding array<float>")
-    rows = R.retrieve_b(chunks, [(0, [1.0, 0.0])], 2, 1.0, force_visual=True).orderBy("rank").collect()
+    rows = R.retrieve_b(chunks, asked(spark, [1.0, 0.0]), 2, 1.0, force_visual=True).orderBy("rank").collect()
     assert [r["chunk_id"] for r in rows] == ["a", "v"]
-    assert R.retrieve_b(chunks, [(0, [1.0, 0.0])], 2, 1.0).count() == 2
+    assert R.retrieve_b(chunks, asked(spark, [1.0, 0.0]), 2, 1.0).count() == 2
 
 
 def test_hash_vector_is_fixed():
