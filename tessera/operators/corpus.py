@@ -65,10 +65,10 @@ def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     return whole.join(own, key).select(key, F.inline(_numbered("chunks_", "vocab_")))
 
 
-def image_chunks(pages: DataFrame, source: Column, path: Column, text: Column) -> DataFrame:
-    """Image records as chunks without tokens; a blank text is replaced by a description."""
+def image_chunks(pages: DataFrame, source: Column, path: Column, text: Column, image: Column) -> DataFrame:
+    """Records that have an image as chunks without tokens; a blank text is replaced by a description."""
     said = F.trim(text)
-    return pages.select(
+    return pages.where(image.isNotNull()).select(
         X.image_chunk_id(source, path).alias("chunk_id"),
         F.coalesce(F.nullif(said, F.lit("")), F.concat(F.lit("Retrieved image from "), source)).alias("text"),
         source.alias("source"),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import corpus as C
-from tessera.session import table
+from tessera.session import cut, shared_folder, table
 from tessera.sources import tables as S
+from tessera.sources.dataset_dir import read_dataset, write_dataset
+from tessera.sources.image_sink import read_images, write_images
 
 WINDOW = 64
 TEXT_NAMES = ("markdown", "text", "content", "query", "answer")
@@ -43,6 +45,24 @@ def union_splits(spark, sf_dir: str) -> DataFrame:
     return docs.where(~lacking).unionByName(docs.where(lacking).drop("source"), allowMissingColumns=True).orderBy("split", "doc_id")
 
 
+def dataset_dir(spark, sf_dir: str) -> DataFrame:
+    """Documents saved as a dataset with a split a lang, and two of its columns and the split read back."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "split")
+    with shared_folder(spark, "dataset") as path:
+        write_dataset(docs, path)
+        read = read_dataset(spark, path, ["doc_id", "text", "split"])
+        return cut(read.select("doc_id", "split", F.md5("text").alias("text_md5")))
+
+
+def image_sink(spark, sf_dir: str) -> DataFrame:
+    """Images of records, here their texts' bytes and null for some, written twice; the files that are there, and how many each write made."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.pmod("doc_id", F.lit(11))).alias("page"), F.when(F.pmod("doc_id", F.lit(5)) != 0, F.col("text").cast("binary")).alias("image"))
+    images = docs.select(X.image_file_name(F.col("doc_id"), F.col("page")).alias("file_name"), "image")
+    with shared_folder(spark, "images") as path:
+        first, second = (write_images(images, path)[0] for _ in range(2))
+        return cut(read_images(spark, path).select("file_name", F.sha2("image", 256).alias("image_sha256"), F.lit(first).cast("long").alias("made_first"), F.lit(second).cast("long").alias("made_second")))
+
+
 def image_file_name(spark, sf_dir: str) -> DataFrame:
     return S.records(spark, sf_dir).select("doc_id", X.image_file_name(F.col("doc_id"), F.col("page")).alias("file_name"))
 
@@ -93,7 +113,8 @@ def image_chunk_ids(spark, sf_dir: str) -> DataFrame:
 
 def image_chunks(spark, sf_dir: str) -> DataFrame:
     title = F.when(F.pmod("page_id", F.lit(3)) != 0, F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).otherwise(F.lit("  "))
-    return C.image_chunks(table(spark, sf_dir, "pages"), F.col("url"), F.col("url"), title)
+    image = F.when(F.pmod("page_id", F.lit(7)) != 0, F.col("html").cast("binary"))
+    return C.image_chunks(table(spark, sf_dir, "pages"), F.col("url"), F.col("url"), title, image)
 
 
 def image_chunks_b(spark, sf_dir: str) -> DataFrame:
@@ -136,14 +157,16 @@ _HASH = "substr(sha256('{m}:' || array_to_string({ids}, ',')), 1, 32)"
 
 QUERIES = {
     f.__name__: f
-    for f in (record_text, record_doc_id, record_source, record_metadata, union_splits, image_file_name, token_count, tokenize, vocab_ids, chunk_words, chunk_tokens, chunk_ids, block_hash, block_build, image_chunk_ids, image_chunks, image_chunks_b, model_spec, query_sample, variant_matrix, synthetic_chunks)
+    for f in (record_text, record_doc_id, record_source, record_metadata, union_splits, dataset_dir, image_sink, image_file_name, token_count, tokenize, vocab_ids, chunk_words, chunk_tokens, chunk_ids, block_hash, block_build, image_chunk_ids, image_chunks, image_chunks_b, model_spec, query_sample, variant_matrix, synthetic_chunks)
 }
 ORACLES = {
     "record_text": _REC + f"SELECT doc_id, coalesce({', '.join(f'CASE WHEN {_TRIM.format(c)} THEN {c} END' for c in TEXT_NAMES)}, '') AS record_text FROM rec",
     "record_doc_id": "SELECT doc_id AS key, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN nullif(source, '') ELSE nullif(lang, '') END AS record_id FROM documents",
     "record_source": _REC + "SELECT doc_id, CASE WHEN source <> '' THEN source WHEN doc_id::BIGINT % 5 = 0 THEN 'unknown' WHEN page IS NOT NULL THEN doc_id || '#page=' || page ELSE doc_id END AS record_source FROM rec",
     "record_metadata": _REC + "SELECT doc_id, json_object('doc_id', doc_id, 'query', query, 'answer', answer, 'source', source, 'page', page, 'split', split, 'n_chars', n_chars)::VARCHAR AS metadata FROM rec",
-    "union_splits": "SELECT doc_id, lang AS split, CASE WHEN lang <> 'de' THEN source END AS source, n_chars FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')",
+    "union_splits": "SELECT doc_id, lang AS split, CASE WHEN lang IS DISTINCT FROM 'de' THEN source END AS source, n_chars FROM documents",
+    "dataset_dir": "SELECT doc_id, coalesce(lang, 'unnamed') AS split, md5(text) AS text_md5 FROM documents",
+    "image_sink": "SELECT substr(sha256(doc_id || CASE WHEN doc_id % 3 = 0 THEN '-page-' || (doc_id % 11) ELSE '' END), 1, 24) || '.png' AS file_name, sha256(text) AS image_sha256, count(*) OVER () AS made_first, 0::BIGINT AS made_second FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL",
     "image_file_name": _REC + "SELECT doc_id, substr(sha256(doc_id || CASE WHEN page IS NOT NULL THEN '-page-' || page ELSE '' END), 1, 24) || '.png' AS file_name FROM rec",
     "token_count": f"SELECT doc_id, len({_WORDS})::BIGINT AS n_tokens FROM documents",
     "tokenize": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS decoded_md5 FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)",
@@ -154,7 +177,7 @@ ORACLES = {
     "block_hash": f"SELECT item_id, {_HASH.format(m='text', ids='i')} AS text_block, {_HASH.format(m='visual', ids='i')} AS visual_block FROM (SELECT item_id, list_transform({_WORDS}, lambda w: length(w)) AS i FROM benchmark)",
     "block_build": f"SELECT doc_id, n AS num_tokens, 0::BIGINT AS layer_start, 31::BIGINT AS layer_end, n * 256 AS bytes FROM (SELECT doc_id, greatest(1, len({_WORDS}))::BIGINT AS n FROM documents)",
     "image_chunk_ids": "SELECT page_id, substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id FROM pages",
-    "image_chunks": "SELECT substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id, coalesce(nullif(trim(CASE WHEN page_id % 3 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '  ' END), ''), 'Retrieved image from ' || url) AS text, url AS source, 'image' AS modality, url AS image_path, 0::BIGINT AS chunk_index FROM pages",
+    "image_chunks": "SELECT substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id, coalesce(nullif(trim(CASE WHEN page_id % 3 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '  ' END), ''), 'Retrieved image from ' || url) AS text, url AS source, 'image' AS modality, url AS image_path, 0::BIGINT AS chunk_index FROM pages WHERE page_id % 7 <> 0 AND html IS NOT NULL",
     "image_chunks_b": f"SELECT page_id, 'img_' || regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS chunk_id, '[Image: ' || name || ']' AS content, 576::BIGINT AS n_tokens, {_HASH.format(m='visual', ids='range(576)')} AS block_id FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages)",
     "model_spec": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ViT-L-14' WHEN 1 THEN 'hf-hub:org/' || source WHEN 2 THEN 'hf-hub:' || lang || '/' || source ELSE source END AS spec, CASE WHEN doc_id % 4 = 0 THEN 'openai' END AS pretrained FROM documents",
     "query_sample": "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 20",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -49,6 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
+@contextmanager
+def shared_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder below the shared one, which goes at the end; what is read from it must be cut before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        inside = spark._jvm.org.apache.hadoop.fs.Path(path)
+        inside.getFileSystem(spark._jsc.hadoopConfiguration()).delete(inside, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
