@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -10,6 +11,7 @@ from tessera.operators import benchmarks as B
 from tessera.operators import corpus as C
 from tessera.operators import prompts as P
 from tessera.operators import pruning as G
+from tessera.operators import ranking
 from tessera.operators import retrieval as R
 from tessera.operators.ranking import last_wins, order_statistic, ordered_rank
 from tessera.operators.tiered_cache import ModalityAwareLru, PlainLru, TieredCache
@@ -77,6 +79,24 @@ def test_order_statistics(spark):
     assert order_statistic(df.limit(0), "ttft_ms", {"x": F.lit(0)}, ["variant"]).count() == 0
 
 
+@pytest.mark.parametrize("bracket,shipped", [(100_000, 10_000), (5, 10_000), (5, 0)])
+def test_order_statistics_of_skewed_values(spark, monkeypatch, bracket, shipped):
+    monkeypatch.setattr(ranking, "BRACKET", bracket)
+    monkeypatch.setattr(ranking, "BROADCAST_BRACKETS", shipped)
+    monkeypatch.setattr(ranking, "GRID", 16)
+    rng = random.Random(bracket)
+    groups = {"hot": [7.5] * 900 + [rng.uniform(0, 20) for _ in range(100)], "wide": [rng.gauss(0, 9) for _ in range(700)], None: [1.0, 1.0, 2.0], "one": [float("nan")]}
+    rows = [(g, v, -1) for g, vs in groups.items() for v in [*vs, None]]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "kind string, x double, place_ int")
+    places = {f"p{k}": F.floor(F.col("n") * F.lit(k / 100)) for k in (0, 3, 5, 50, 94, 95, 99)}
+    got = {r["kind"]: r for r in order_statistic(df, "x", places, ["kind"]).collect()}
+    for g, vs in groups.items():
+        assert repr([got[g][f"p{k}"] for k in (0, 3, 5, 50, 94, 95, 99)]) == repr([sorted(vs)[len(vs) * k // 100] for k in (0, 3, 5, 50, 94, 95, 99)])
+    whole = order_statistic(df.where("kind = 'hot'"), "x", {"last": F.col("n") - 1, "none": F.col("n")}, [])
+    assert [tuple(r) for r in whole.collect()] == [(max(groups["hot"]), None)]
+
+
 def test_last_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, seq int, v string")
     assert {r["k"]: r["v"] for r in last_wins(df, ["k"], F.col("seq")).collect()} == {"a": "y", "b": None}
