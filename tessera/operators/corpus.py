@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators.ranking import ordered_rank
+from tessera.session import cut, planned_bytes, shuffle_partitions
 
 
 def word_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -25,14 +31,62 @@ def word_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     )
 
 
-def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """piece and token_id, numbered from 1 by first appearance in order of (key, position)."""
-    # distinct pieces of a text keep the order of their first appearance
-    pieces = docs.select(key, F.posexplode(F.array_distinct(X.tokens(text))).alias("pos", "piece"))
-    first = pieces.groupBy("piece").agg(F.min(F.struct(key, "pos")).alias("first_"))
+#: Pieces that a task's dictionary holds before it is passed on.
+DICTIONARY_PIECES = 500_000
+
+
+def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pieces of a partition with the least (key, index, pos) that each stands at, null keys first."""
+    known: dict[str, tuple] = {}
+    part, schema = TaskContext.get().partitionId(), None
+
+    def told() -> pa.RecordBatch:
+        rank, keys, index, pos = zip(*known.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.int32()), pa.array(known, pa.string()), pa.array([k if r else None for r, k in zip(rank, keys, strict=True)], schema.field("key_").type), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["part_", "piece", "key_", "index_", "pos"])
+
+    for batch in batches:
+        schema = batch.schema
+        order = pc.sort_indices(pa.Table.from_batches([batch]), [("key_", "ascending"), ("index_", "ascending")], null_placement="at_start")
+        lists = batch.column("pieces").take(order)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        _, first = np.unique(codes, return_index=True)  # the first in this order
+        row = np.searchsorted(ends, first, side="right")
+        at = order.take(pa.array(row))
+        keys, index = (batch.column(c).take(at).to_pylist() for c in ("key_", "index_"))
+        blank = type(next((k for k in keys if k is not None), 0))()
+        places = zip([k is not None for k in keys], [blank if k is None else k for k in keys], index, (first - np.r_[0, ends[:-1]][row]).tolist(), strict=True)
+        for piece, place in zip(coded.dictionary.take(pa.array(codes[first])).to_pylist(), places, strict=True):
+            if piece not in known or place < known[piece]:
+                known[piece] = place
+        if len(known) >= DICTIONARY_PIECES:
+            yield told()
+            known.clear()
+    if known:
+        yield told()
+
+
+def _dictionaries(pieces: DataFrame) -> DataFrame:
+    """part_, piece, and key_, index_ and pos of its first place, for each partition of pieces (key_, index_, pieces)."""
+    kind = pieces.schema["key_"].dataType
+    return pieces.mapInArrow(_dictionary, T.StructType([T.StructField("part_", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("key_", kind), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())]))
+
+
+def _numbers(dictionaries: DataFrame) -> DataFrame:
+    """piece and token_id, from 1 on in order of first places."""
+    first = dictionaries.groupBy("piece").agg(F.min(F.struct("key_", "index_", "pos")).alias("first_"))
     return ordered_rank(first, ["first_"], name="token_id").select("piece", "token_id")
 
 
+def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """piece and token_id, numbered from 1 by first appearance in order of (key, position), null keys first.
+
+    Each partition makes a dictionary of its own; the dictionaries are merged to the first places.
+    """
+    return _numbers(_dictionaries(docs.select(F.col(key).alias("key_"), F.lit(0).cast("long").alias("index_"), X.tokens(text).alias("pieces"))))
+
+
 def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """key, chunk_index, content and pieces of each window of tokens that isn't blank."""
     tokens = docs.select(key, X.tokens(text).alias("tokens_"))
@@ -40,29 +94,36 @@ def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return tokens.select(key, F.posexplode(parts).alias("chunk_index", "pieces")).select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("pieces", " ").alias("content"), "pieces")
 
 
-_IDS = T.StructType([T.StructField("chunk_index", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
+#: Bytes of a part's texts, about, by the plan's own estimate.
+PART_BYTES = 32 << 20
 
 
-@F.pandas_udf(T.ArrayType(_IDS))
-def _numbered(chunks: pd.Series, vocab: pd.Series) -> pd.Series:
-    """The ids of a document's chunks by its own part of the vocabulary."""
-    out = []
-    for parts, known in zip(chunks, vocab, strict=True):
-        ids = {x["piece"]: x["token_id"] for x in known}
-        out.append([{"chunk_index": c["chunk_index"], "token_ids": [ids[p] for p in c["pieces"]]} for c in parts])
-    return pd.Series(out, dtype=object)
+def _numbered(chunks: pa.Table, words: pa.Table) -> pa.Table:
+    """A part's chunks with the ids of their pieces, looked up in the part's own dictionary."""
+    if not chunks.num_rows:
+        return chunks.select(["key_", "index_"]).append_column("token_ids", pa.array([], pa.list_(pa.int64())))
+    pieces = chunks["pieces"].combine_chunks()
+    place = pc.index_in(pieces.flatten(), value_set=words["piece"].combine_chunks())
+    ids = words["token_id"].combine_chunks().take(place)
+    ends = pa.array(np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))], pa.int32())
+    return chunks.select(["key_", "index_"]).append_column("token_ids", pa.ListArray.from_arrays(ends, ids))
 
 
-def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
     """key, chunk_index and token_ids of chunks (key, chunk_index, pieces).
 
-    A document's distinct pieces meet the vocabulary, in a join that AQE splits where a piece is
-    common; positions are never shuffled, as ids are put in beside the document's pieces.
+    Chunks are dealt to parts and written once. Each part makes a dictionary of its distinct pieces,
+    which meets the vocabulary given, or that of all parts; then ids are put in by whole columns from
+    the part's dictionary. So a common piece is looked up once a part, and no document is gathered.
     """
-    whole = chunks.groupBy(key).agg(F.collect_list(F.struct("chunk_index", "pieces")).alias("chunks_"))
-    each = whole.select(key, F.explode(F.array_distinct(F.flatten(F.col("chunks_.pieces")))).alias("piece"))
-    own = each.join(vocab, "piece").groupBy(key).agg(F.collect_list(F.struct("piece", "token_id")).alias("vocab_"))
-    return whole.join(own, key).select(key, F.inline(_numbered("chunks_", "vocab_")))
+    parts = max(shuffle_partitions(chunks.sparkSession), planned_bytes(chunks) // PART_BYTES + 1)
+    dealt = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").repartition(parts, key, "chunk_index"))
+    words = _dictionaries(dealt)
+    own = words.select("part_", "piece").join(_numbers(words) if vocab is None else vocab.select("piece", "token_id"), "piece")
+    own = own.select(F.col("part_").alias("of_"), "piece", "token_id")
+    kind = T.StructType([T.StructField("key_", chunks.schema[key].dataType), T.StructField("index_", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
+    found = dealt.withColumn("part_", F.spark_partition_id()).groupBy("part_").cogroup(own.groupBy("of_")).applyInArrow(_numbered, kind)
+    return found.withColumnsRenamed({"key_": key, "index_": "chunk_index"})
 
 
 def image_chunks(pages: DataFrame, source: Column, path: Column, text: Column, image: Column) -> DataFrame:

@@ -92,7 +92,7 @@ def chunk_tokens(spark, sf_dir: str) -> DataFrame:
 def chunk_ids(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chunks = C.token_chunks(docs.select("doc_id", "text"), "doc_id", "text", WINDOW)
-    numbered = C.with_token_ids(chunks, "doc_id", C.vocabulary(docs, "doc_id", "text"))
+    numbered = C.with_token_ids(chunks, "doc_id")
     return numbered.select("doc_id", "chunk_index", X.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index"), F.col("token_ids")).alias("chunk_id"))
 
 

@@ -34,8 +34,30 @@ def test_vocabulary_and_chunks(spark):
     docs = spark.createDataFrame([("a", "cache text cache text image"), ("b", "image context text cache"), ("c", None), ("d", "")], "doc string, body string")
     vocab = C.vocabulary(docs, "doc", "body")
     assert {r["piece"]: r["token_id"] for r in vocab.collect()} == {"cache": 1, "text": 2, "image": 3, "context": 4}
-    chunks = C.with_token_ids(C.token_chunks(docs, "doc", "body", 2), "doc", vocab)
-    assert {(r["doc"], r["chunk_index"]): r["token_ids"] for r in chunks.collect()} == {("a", 0): [1, 2], ("a", 1): [1, 2], ("a", 2): [3], ("b", 0): [3, 4], ("b", 1): [2, 1]}
+    cut = C.token_chunks(docs, "doc", "body", 2)
+    for chunks in (C.with_token_ids(cut, "doc", vocab), C.with_token_ids(cut, "doc")):
+        assert {(r["doc"], r["chunk_index"]): r["token_ids"] for r in chunks.collect()} == {("a", 0): [1, 2], ("a", 1): [1, 2], ("a", 2): [3], ("b", 0): [3, 4], ("b", 1): [2, 1]}
+    assert C.with_token_ids(cut.limit(0), "doc").count() == 0
+
+
+def test_ids_follow_keys_and_places(spark, monkeypatch):
+    monkeypatch.setattr(C, "DICTIONARY_PIECES", 3)
+    rng = random.Random(8)
+    rows = [(k if k % 9 else None, " ".join(rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(k % 13))) for k in range(1, 80)]
+    docs = spark.createDataFrame(rows, "doc long, body string").repartition(5)
+    wanted = {}
+    for key in sorted({k for k, _ in rows}, key=lambda k: (k is not None, k or 0)):
+        at = {}
+        for k, text in rows:
+            if k == key:
+                for pos, w in enumerate(text.split()):
+                    at[w] = min(pos, at.get(w, pos))
+        for w in sorted((w for w in at if w not in wanted), key=at.get):
+            wanted[w] = at[w], len(wanted) + 1
+    got = {r["piece"]: r["token_id"] for r in C.vocabulary(docs, "doc", "body").collect()}
+    assert got.keys() == wanted.keys() and sorted(got.values()) == list(range(1, len(got) + 1))
+    known = [w for w in wanted if w in {x for k, t in rows if k for x in t.split()} - {x for k, t in rows if not k for x in t.split()}]
+    assert sorted(known, key=got.get) == sorted(known, key=lambda w: wanted[w][1])
 
 
 def test_blank_texts_have_no_words(spark):
