@@ -21,15 +21,10 @@ from tessera.llm.files import delete
 from tessera.session import shared_dir, table
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """Rows as one struct beside the text that is judged, so that no column's name can clash."""
-    return docs.select(docs["text"], F.struct(*(docs[c] for c in docs.columns)).alias("row_"))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(_whole(docs), rules).where("kept_").select("row_.*")
+    return quality_rules.judge(docs, rules).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return decontaminate.contamination(_whole(docs), items).where(F.size("hits_") == 0).select("row_.*")
+    return decontaminate.contamination(docs, items).where(F.size("hits") == 0).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ sizes per (source, bucket), so that neither a source with most of the rows nor a
 in one task. Nothing grows with the data on the driver.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of
-its own, last in order; equal rows are kept apart; rows with equal ids are ordered by size; very long
-texts span blocks; extra columns stay; an empty table gives an empty result; if no text has words,
+its own, last in order; equal rows are kept apart; rows with equal ids are ordered by hashes of
+size and text; very long texts span blocks; extra columns stay, but for those named like the result's; an empty table gives an empty result; if no text has words,
 all targets are 0.
 """
 
@@ -79,12 +79,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataF
 
 def stream_positions(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (number, doc_id, size, ...) with at_, the words of its source shuffled before each row."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.lit(41))
+    own = [F.col(c) for c in ("text_key",) if c in docs.columns]  # rows without an id, or with the same one, part by it
+    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.lit(41), "size", *own)
     rows = docs.withColumn("key_", key).withColumn("bucket_", F.pmod("key_", F.lit(buckets)).cast("int"))
     totals = rows.groupBy("number", "bucket_").agg(F.sum("size").alias("words_"))
     above = Window.partitionBy("number").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("number", "bucket_", F.coalesce(F.sum("words_").over(above), F.lit(0)).alias("start_"))
-    inside = Window.partitionBy("number", "bucket_").orderBy("key_", F.asc_nulls_first("doc_id"), "size", *([] if "text_key" not in docs.columns else ["text_key"])).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("number", "bucket_").orderBy("key_", F.asc_nulls_first("doc_id"), "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within_", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(starts, ["number", "bucket_"]).withColumn("at_", F.col("within_") + F.col("start_")).drop("key_", "bucket_", "within_", "start_")
 
@@ -128,10 +129,21 @@ def plan(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, block_words
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source_size, target, taken and all other columns but source, of docs (doc_id, source, size, ...).
+    """doc_id, size, source_size, target, taken and all other columns but source, of docs (doc_id, source, size, ...).
 
-    docs must be cheap to read again: a table of ids and sizes, not of texts.
+    docs must be cheap to read again: a table of ids and sizes, not of texts. A column text_key, if
+    there is one, parts rows of one id. Other columns stay, but for those named like the result's.
     """
+    known_names = ("doc_id", "source", "size", "text_key")
+    extra = [c for c in docs.columns if c not in known_names]
+    mine = [c for c in known_names if c in docs.columns]
+    packed = docs.select(*mine, F.struct(F.lit(0).alias("none_"), *(docs[c].alias(f"c{k}") for k, c in enumerate(extra))).alias("own_"))
+    mixed = _mix(packed, weights, most, block_words)
+    result = ("doc_id", "size", "source_size", "target", "taken", "text_key")
+    return mixed.select(*(c for c in result if c in mixed.columns), *(F.col(f"own_.c{k}").alias(c) for k, c in enumerate(extra) if c not in result))
+
+
+def _mix(docs: DataFrame, weights, most: int, block_words: int) -> DataFrame:
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows_"))
     goals = cut(plan(sizes, weights, most, block_words))
     n_docs = sizes.agg(F.sum("rows_")).first()[0] or 0
@@ -184,5 +196,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     from tessera.session import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_key"))
     return mix(cut(docs)).select("doc_id", "size", "source_size", "target", "taken")

@@ -4,8 +4,8 @@ Every whole text is measured once (``text_statistics``); a list of threshold con
 and pruned on labelled rows and turned into one ordered Spark conditional expression.
 
 Defined results: a null or empty text has all counts 0 and fails the base rule; texts of any length
-are measured whole; repeated rows are judged alike, each for itself; columns named like the
-measures are kept out of the way, since the measures sit in one struct; empty tables give empty
+are measured whole; repeated rows are judged alike, each for itself; columns of any name stay,
+since a row's own are in one struct and the measures in another; empty tables give empty
 results; without usable labels the list is empty and keeps all that passes the base rule; a null
 label or doc_id labels nothing.
 """
@@ -240,11 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
     return learn(got[list(FEATURES)].to_numpy(dtype=float), (got["label_"] == 0).to_numpy())
 
 
-def judge(docs: DataFrame, rules: list[Rule], stats: str = "stats_") -> DataFrame:
-    """The rows of docs with the struct of counts, base_failed_ and kept_."""
-    out = docs.withColumn(stats, text_statistics("text"))
-    failed = base_failed(stats)
-    return out.withColumns({"base_failed_": failed, "kept_": F.when(failed, F.lit(False)).otherwise(verdict(rules, stats))})
+def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """row, a struct of the columns of docs, stats, the struct of counts, base_failed and kept, for each row of docs (text, ...)."""
+    out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_statistics(docs["text"]).alias("stats"))
+    failed = base_failed("stats")
+    return out.withColumns({"base_failed": failed, "kept": F.when(failed, F.lit(False)).otherwise(verdict(rules, "stats"))})
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -254,4 +254,4 @@ def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit(docs, table(spark, sf_dir, "labels"))
     out = judge(docs, rules)
-    return out.select("doc_id", *(F.col(f"stats_.{c}").alias(c) for c in COUNTS[:5]), F.col("base_failed_").alias("base_failed"), F.col("kept_").alias("kept"))
+    return out.select("row.doc_id", *(f"stats.{c}" for c in COUNTS[:5]), "base_failed", "kept")

@@ -42,6 +42,8 @@ SUBFIELD = struct.Struct("<2sHII")
 HEAD = struct.Struct("<4sIBBH")
 #: Read from a file at once.
 CHUNK = 1 << 20
+#: Bytes at which a file is closed.
+FILE_BYTES = 128 << 20
 
 SCHEMA = T.StructType(
     [
@@ -271,30 +273,40 @@ LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("re
 def write(pages: DataFrame, folder: str) -> int:
     """Write pages (page_id, url, html) as archives into folder; the number of records.
 
-    Only digests and ids are grouped; the pages join the largest id of their digest, a join that
-    AQE can split where one payload is very common. Files are first written under a hidden name of
-    the attempt, and renamed by the driver once the job has ended, so strays are never read.
+    Only digests and ids are grouped, and digests met twice written; pages join them by a plain
+    shuffle on both sides, which AQE splits where one payload is very common. A file is closed at
+    FILE_BYTES and another begun, so files, and the partitions that read them, stay alike. Files are
+    first written under a hidden name of the attempt, and renamed by the driver once the job has
+    ended, so strays are never read.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("hex", F.sha1("body"))
-    first = rows.groupBy("hex").agg(F.max("page_id").alias("response"))
-    bodies = rows.join(first, "hex").select("page_id", "url", "body", "hex", F.when(F.col("page_id") == F.col("response"), F.lit(None).cast("long")).otherwise(F.col("response")).alias("refers"))
+    twice = rows.groupBy("hex").agg(F.max("page_id").alias("response"), F.count("*").alias("times")).where("times > 1").drop("times")
+    refers = F.when(F.col("page_id") == F.col("response"), F.lit(None).cast("long")).otherwise(F.col("response"))
+    bodies = rows.join(cut(twice), "hex", "left").select("page_id", "url", "body", "hex", refers.alias("refers"))
+    limit = FILE_BYTES
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, out, path, n = TaskContext.get(), None, "", 0
+        context, out, path, n, weight = TaskContext.get(), None, "", 0, 0
+        told = lambda: pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
         for batch in batches:
             for page_id, url, body, code, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    path = f"{folder}/pages-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
+                    path, n, weight = f"{folder}/pages-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz", 0, 0
                     out = open_output(path + ".part")
-                out.write(member(record(page_id, url, body, refers, base64.b32encode(bytes.fromhex(code)).decode())))
-                n += 1
+                whole = member(record(page_id, url, body, refers, base64.b32encode(bytes.fromhex(code)).decode()))
+                out.write(whole)
+                n, weight = n + 1, weight + len(whole)
+                if weight >= limit:
+                    out.close()
+                    out = None
+                    yield told()
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
+            yield told()
 
-    listed = bodies.mapInArrow(put, LISTING).collect()
+    listed = bodies.mapInArrow(put, LISTING).collect()  # a row a file
     rename([r["path"] + ".part" for r in listed])
     return sum(r["records"] for r in listed)
 

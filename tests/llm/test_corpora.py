@@ -138,17 +138,30 @@ def test_leaks_are_found_in_any_order(spark, docs):
     all_docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(leaks, "doc_id long, text string"))
     found = decontaminate.contamination(all_docs, items)
     assert found.count() == all_docs.count()
-    hits = {(r["doc_id"], r["h"]["item_id"]): r["h"]["coverage"] for r in found.select("doc_id", F.explode("hits_").alias("h")).collect()}
-    assert hits == {(d, i): 1.0 for d in (1000, 1001, 1002) for i in (1, 5)}
-    joined = decontaminate.hits_by_join(all_docs, items).select(F.explode("hits").alias("h")).collect()
-    assert len(joined) == 6
-    assert decontaminate.contamination(docs, items.limit(0)).where("size(hits_) > 0").count() == 0
+    hits = {(r["doc_id"], r["h"]["item_id"]): r["h"]["coverage"] for r in found.select("row.doc_id", F.explode("hits").alias("h")).collect()}
+    assert hits == {(d, i): 1.0 for d in (1000, 1001, 1002) for i in (1, 5)} | {(d, 4): 1.0 for d in (1000, 1001, 1002, 1003)}
+    by_join = decontaminate.hits_by_join(all_docs, items)
+    assert by_join.select(F.explode("hits")).count() == len(hits)
+    order = lambda df, c: {tuple(h["item_id"] for h in r[c]) for r in df.collect()} - {()}
+    assert order(by_join, "hits") == order(found, "hits") == {(1, 4, 5), (4,)}
+    assert decontaminate.contamination(docs, items.limit(0)).where("size(hits) > 0").count() == 0
+
+
+def test_short_items_are_found_where_their_words_stand_together(spark):
+    items = spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (3, "beta alpha beta"), (4, "of the four words"), (None, "Gamma")], "item_id long, text string")
+    texts = ["x alpha beta y", "beta, ALPHA beta", "alphabet", "alpha x beta", "gamma", "", None, "of the four words"]
+    docs = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "doc_id long, text string, hits string")
+    wanted = {0: [1, 2], 1: [1, 2, 3], 3: [1], 4: [None], 7: [4]}
+    found = decontaminate.contamination(docs, items).select("row.*", F.transform("hits", lambda h: h.item_id).alias("i")).collect()
+    assert {r["doc_id"]: r["i"] for r in found if r["i"]} == wanted and {r["hits"] for r in found} == {"mine"}
+    joined = decontaminate.hits_by_join(docs, items).select("text", F.transform("hits", lambda h: h.item_id).alias("i")).collect()
+    assert {texts.index(r["text"]): r["i"] for r in joined} == wanted
 
 
 def test_join_finds_the_same_leaks(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    shipped = decontaminate.contamination(docs, items).where("size(hits_) > 0").select("doc_id", F.transform("hits_", lambda h: h.item_id).alias("i"))
-    joined = docs.join(decontaminate.hits_by_join(docs, items), "text").select("doc_id", F.array_sort(F.transform("hits", lambda h: h.item_id)).alias("i"))
+    shipped = decontaminate.contamination(docs, items).where("size(hits) > 0").select("row.doc_id", F.transform("hits", lambda h: h.item_id).alias("i"))
+    joined = docs.join(decontaminate.hits_by_join(docs, items), "text").select("doc_id", F.transform("hits", lambda h: h.item_id).alias("i"))
     assert sorted(map(repr, shipped.collect())) == sorted(map(repr, joined.collect()))
 
 
@@ -180,10 +193,26 @@ def test_mix_meets_targets(docs, doc_rows, no_docs):
             assert 0 <= r["taken"] <= 3 * r["size"]
             taken[(r["source_size"], round(r["target"], 6))] += r["taken"]
         assert taken == {(sizes[s], round(t, 6)): round(t) for s, t in wanted.items()}
+        # whole epochs of every document of a source, one more of some, and a part of one at most
+        for s, target in wanted.items():
+            of = [(r["size"], r["taken"]) for r in got if (r["source_size"], round(r["target"], 6)) == (sizes[s], round(target, 6))]
+            epochs, rest = divmod(round(target), max(1, sizes[s]))
+            more = [(size, taken - epochs * size) for size, taken in of]
+            assert sum(m for _, m in more) == rest and sum(0 < m < size for size, m in more) <= 1 and all(0 <= m <= size for size, m in more)
     assert mixing.mix(no_docs.select("doc_id", "source", F.lit(1).cast("long").alias("size"))).count() == 0
     assert sorted(map(repr, mixing.mix(narrow).collect())) == sorted(map(repr, mixing.mix(narrow.repartition(5)).collect()))
 
 
+def test_mix_with_clashing_names_and_without_ids(spark):
+    rows = [(None, "s", 5, k, "n", 1.5) for k in range(300)] + [(7, None, 3, 1, "m", 2.5)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, text_key long, number string, target double").withColumn("at_", F.lit("mine"))
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "text_key", "number", "at_"]
+    assert Counter(r["number"] for r in got.collect()) == {"n": 300, "m": 3} and {r["at_"] for r in got.collect()} == {"mine"}
+    numbered = docs.withColumn("number", F.when(F.col("source").isNull(), 2).otherwise(1))
+    assert mixing.stream_positions(numbered.where("number = 1"), 64).select("at_").distinct().count() == 300
+
+
 def test_excess_is_reshared(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 3, "z": 0}
     got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
@@ -291,6 +320,23 @@ def test_archives_round_trip(spark, pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_the_table_equal_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)  # many files a task
+    rows = [(r["page_id"], r["url"], r["html"]) for r in table(spark, sf, "pages").collect()]
+    rows += [(10_000 + k, "hot", "<p>one very common page</p>") for k in range(300)] + [(20_000 + k, "u", rows[0][2]) for k in range(2)]
+    largest = {}
+    for page_id, _, html in rows:
+        largest[html or ""] = max(page_id, largest.get(html or "", page_id))
+    wanted = Counter()
+    for page_id, _, html in rows:
+        body, first = (html or "").encode(), largest[html or ""]
+        wanted[page_id, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if page_id == first else "revisit", None if page_id == first else first] += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert Counter(map(tuple, warc.round_trip(pages).collect())) == wanted
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    assert warc.write(pages, folder) == len(rows) and warc.read(spark, folder).rdd.getNumPartitions() > 5
+
+
 def test_archive_filters_are_pushed_down(spark, pages):
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(pages, folder)

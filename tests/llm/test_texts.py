@@ -188,11 +188,14 @@ def test_text_statistics(docs, doc_rows):
 def test_quality_verdicts(spark, sf, docs, no_docs):
     rules = quality_rules.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
     judged = quality_rules.judge(docs, rules)
-    for r in judged.select("text", "base_failed_", "kept_").collect():
+    for r in judged.select("row.text", "base_failed", "kept").collect():
         n, _, _, _, repeated = brute_counts(r["text"])
-        assert r["base_failed_"] == (n < 50 or 100 * repeated > 50 * n)
-        assert not (r["base_failed_"] and r["kept_"])
+        assert r["base_failed"] == (n < 50 or 100 * repeated > 50 * n)
+        assert not (r["base_failed"] and r["kept"])
     assert quality_rules.judge(no_docs, rules).count() == 0
+    clash = docs.withColumns({c: F.lit("mine") for c in ("stats", "row", "kept_", "stats_", "base_failed")})
+    rows = quality_rules.judge(clash, rules).select("row.*", "kept").collect()
+    assert len(rows) == docs.count() and {r["stats"] for r in rows} == {r["row"] for r in rows} == {"mine"}
     assert quality_rules.fit(no_docs, table(spark, sf, "labels")) == []
 
 
