@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 
+# The system text, and the headings of a prompt's sections.
 SYSTEM = "You are a helpful multimodal RAG assistant."
 
 
@@ -76,6 +77,44 @@ def context_prompt(query: Column, chunks: Column) -> Column:
     return F.concat(F.lit("Use the following context to answer the question.\n\n"), F.array_join(numbered, "\n\n"), F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 
 
+def _object(json: Column) -> Column:
+    """A JSON object as a map of variants; anything else as an empty one."""
+    value = F.try_parse_json(json)
+    return F.coalesce(F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>")), F.create_map().cast("map<string,variant>"))
+
+
+def merged_json(*objects: Column) -> Column:
+    """JSON objects as one, its keys in order; of those that have a key the last counts, also with null."""
+    merged = _object(objects[0])
+    for later in map(_object, objects[1:]):
+        merged = F.map_concat(_without(merged, later), later)
+    keys = F.array_sort(F.map_keys(merged))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(merged, k))), {"ignoreNullFields": "false"})
+
+
+def _without(entries: Column, later: Column) -> Column:
+    return F.map_filter(entries, lambda k, _: ~F.map_contains_key(later, k))
+
+
+def normalize_chunk(chunk: Column) -> Column:
+    """A retrieved chunk, any JSON object, as a struct: what it may lack is filled, its score taken from its metadata.
+
+    The metadata's score counts only where the chunk has no key score at all; a score of null stays null.
+    """
+    value = F.try_parse_json(chunk)
+    at = lambda path: F.try_variant_get(value, path, "variant")
+    told = lambda path, kind: F.try_variant_get(value, path, kind)
+    text = lambda name, default: F.coalesce(told(f"$.{name}", "string"), F.lit(default)).alias(name)
+    score = F.when(at("$.score").isNotNull(), told("$.score", "double")).otherwise(told("$.metadata.score", "double"))
+    metadata = F.coalesce(F.to_json(F.when(F.schema_of_variant(at("$.metadata")).startswith("OBJECT"), at("$.metadata"))), F.lit("{}"))
+    return F.struct(text("chunk_id", ""), text("text", ""), text("source", ""), text("modality", "text"), told("$.image_path", "string").alias("image_path"), told("$.retrieval_rank", "int").alias("retrieval_rank"), score.alias("score"), metadata.alias("metadata"))
+
+
+def log_event(name: str, context: Column, payload: Column) -> Column:
+    """A log line: the event's name, its context and its payload (objects in JSON) as one object; a key of both is the payload's."""
+    return merged_json(context, payload, F.to_json(F.struct(F.lit(name).alias("event"))))
+
+
 def normalize_segments(df: DataFrame) -> DataFrame:
     """Fill what a segment may lack: text, its length, role, modality, source."""
     text = F.coalesce("text", F.lit(""))

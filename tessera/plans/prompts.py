@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import generation as G
 from tessera.operators import prompts as P
 from tessera.session import table
 from tessera.sources import tables as S
@@ -43,6 +44,45 @@ def chat_payload(spark, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir).select("request_id", P.chat_payload(F.col("query"), F.col("image_path"), F.col("chunks")).alias("payload"))
 
 
+class EchoEngine:
+    """Stands in for a model: says what the user said, and fails on texts of some lengths."""
+
+    def chat(self, messages: list[dict], **parameters) -> dict:
+        text = messages[-1]["content"][0]["text"]
+        if len(text) % 7 == 0:
+            raise ValueError("a length that can't be answered")
+        return {"generated_text": text, "timing": {"generation_seconds": len(messages)}}
+
+
+def generate_responses(spark, sf_dir: str) -> DataFrame:
+    """Every request through prompt, engine and summary; failing ones have an empty answer."""
+    told = G.respond(_requests(spark, sf_dir), EchoEngine)
+    number = lambda c, path: F.get_json_object(c, path).cast("long")
+    return told.select("request_id", F.md5("answer_text").alias("answer_md5"), F.size("retrieved_chunk_ids").cast("long").alias("n_chunks"), F.col("error").isNotNull().alias("failed"), number("timing_summary", "$.generation_seconds").alias("seconds"), *(number("prompt_summary", f"$.{c}").alias(c) for c in ("total_prompt_tokens", "retrieved_text_token_count", "num_retrieved_chunks")))
+
+
+def chunk_normalize(spark, sf_dir: str) -> DataFrame:
+    """Retrieved chunks of every shape: the score absent, null or there, with and without one in the metadata."""
+    n = F.col("vec_id")
+    kind = F.pmod(n, F.lit(6))
+    score = F.when(kind < 2, F.lit("")).when(kind < 4, F.lit('"score":null,')).otherwise(F.concat(F.lit('"score":'), n.cast("string"), F.lit(".5,")))
+    metadata = F.when(F.pmod(n, F.lit(2)) == 0, F.concat(F.lit('"metadata":{"score":'), n.cast("string"), F.lit(".25},"))).when(F.pmod(n, F.lit(3)) == 0, F.lit('"metadata":null,')).otherwise(F.lit(""))
+    modality = F.when(F.col("label") < 3, F.lit('"modality":"image","image_path":"a.png",')).when(F.col("label") < 5, F.lit('"retrieval_rank":3,')).otherwise(F.lit(""))
+    body = F.concat(F.lit("{"), score, metadata, modality, F.lit('"chunk_id":"v'), n.cast("string"), F.lit('"}'))
+    return table(spark, sf_dir, "embeddings").select("vec_id", P.normalize_chunk(body).alias("c")).select("vec_id", "c.*").withColumn("retrieval_rank", F.col("retrieval_rank").cast("long"))
+
+
+def prompt_log_event(spark, sf_dir: str) -> DataFrame:
+    """The event logged for a prompt: the caller's context, whose image path may be missing or null, and the summary."""
+    asked = S.requests(spark, sf_dir)
+    request = F.col("request_id")
+    path = F.when(F.pmod(request, F.lit(3)) == 0, F.lit("")).when(F.pmod(request, F.lit(3)) == 1, F.lit(',"image_path":null')).otherwise(F.concat(F.lit(',"image_path":"req/'), request.cast("string"), F.lit('.png"')))
+    context = F.concat(F.lit('{"conv":'), request.cast("string"), path, F.lit(',"total_prompt_tokens":"theirs"}'))
+    summary = P.summarize(S.segments(spark, sf_dir), "request_id")
+    payload = F.to_json(F.struct(*(c for c in summary.columns if c != "request_id")))
+    return asked.select("request_id", context.alias("context")).join(summary.select("request_id", payload.alias("payload")), "request_id").select("request_id", P.log_event("prompt_summary", F.col("context"), F.col("payload")).alias("line"))
+
+
 def metadata_merge(spark, sf_dir: str) -> DataFrame:
     """Fixed entries first; a chunk's own metadata overrides them, as the later map wins.
 
@@ -116,12 +156,16 @@ def extract_latency(spark, sf_dir: str) -> DataFrame:
 _CHUNKS = """c AS (SELECT conv_id AS request_id, turn, CASE WHEN turn % 5 <> 1 THEN turn END AS rank, 'c' || conv_id || '-' || turn AS chunk_id, turn % 3 = 0 AS image, 'conv' || conv_id AS source, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS text FROM conversations WHERE role = 'assistant'),
 o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank IS NULL, coalesce(rank, 0), chunk_id) - 1 AS pos FROM c),
 r AS (SELECT conv_id AS request_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS query, CASE conv_id % 3 WHEN 0 THEN '' WHEN 2 THEN 'req/' || conv_id || '.png' END AS image_path FROM conversations GROUP BY conv_id)"""
+_BLOCK = """e AS (SELECT request_id, image, pos, '[' || coalesce(rank::VARCHAR, 'unranked') || '] ' || source || chr(10) || CASE WHEN image AND text = '' THEN 'Image from ' || source ELSE text END AS entry FROM o),
+ g AS (SELECT request_id, string_agg(entry, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE NOT image) AS t, string_agg(entry, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE image) AS i FROM e GROUP BY request_id),
+ u AS (SELECT request_id, image_path, concat_ws(chr(10) || chr(10), 'User query:' || chr(10) || query, 'Retrieved context:' || chr(10) || chr(10) || t, 'Retrieved visual context:' || chr(10) || chr(10) || i) AS block FROM r LEFT JOIN g USING (request_id))"""
+_TOLD = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
 _SEG = """seg AS (SELECT conv_id AS request_id, turn AS seg_index, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN 'retrieved_visual' ELSE 'retrieved_text' END ELSE role END AS role,
  CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'image' ELSE 'text' END AS modality, CASE WHEN role = 'assistant' THEN 'conv' || conv_id ELSE role END AS source, text, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM conversations)"""
 
 QUERIES = {
     f.__name__: f
-    for f in (prompt_chunk_order, prompt_segments, prompt_flags, user_text_block, prompt_b, chat_payload, metadata_merge, segment_normalize, prompt_summary, tokens_by_role, tokens_by_modality, token_maps, ordered_roles, prompt_log_json, extract_text, extract_latency)
+    for f in (prompt_chunk_order, prompt_segments, prompt_flags, user_text_block, prompt_b, chat_payload, generate_responses, chunk_normalize, prompt_log_event, metadata_merge, segment_normalize, prompt_summary, tokens_by_role, tokens_by_modality, token_maps, ordered_roles, prompt_log_json, extract_text, extract_latency)
 }
 ORACLES = {
     "prompt_chunk_order": f"WITH {_CHUNKS} SELECT request_id, pos AS position, chunk_id FROM o",
@@ -135,6 +179,16 @@ SELECT request_id, seg_index::BIGINT AS seg_index, role, modality, source, text,
     "user_text_block": f"""WITH {_CHUNKS}, e AS (SELECT request_id, image, pos, '[' || coalesce(rank::VARCHAR, 'unranked') || '] ' || source || chr(10) || CASE WHEN image AND text = '' THEN 'Image from ' || source ELSE text END AS entry FROM o),
  g AS (SELECT request_id, string_agg(entry, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE NOT image) AS t, string_agg(entry, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE image) AS i FROM e GROUP BY request_id)
 SELECT request_id, concat_ws(chr(10) || chr(10), 'User query:' || chr(10) || query, 'Retrieved context:' || chr(10) || chr(10) || t, 'Retrieved visual context:' || chr(10) || chr(10) || i) AS block FROM r LEFT JOIN g USING (request_id)""",
+    "chat_payload": f"""WITH {_CHUNKS}, {_BLOCK}, v AS (SELECT request_id, string_agg(',' || json_object('type', 'image_url', 'image_url', json_object('url', 'file://img/' || turn || '.png'))::VARCHAR, '' ORDER BY pos) AS shown FROM o WHERE image AND turn > 0 GROUP BY request_id)
+SELECT request_id, '{{"messages":[{{"role":"system","content":[{{"type":"text","text":"You are a helpful multimodal RAG assistant."}}]}},{{"role":"user","content":[' || json_object('type', 'text', 'text', block)::VARCHAR
+ || CASE WHEN image_path <> '' THEN ',' || json_object('type', 'image_url', 'image_url', json_object('url', 'file://' || image_path))::VARCHAR ELSE '' END || coalesce(shown, '') || ']}}]}}' AS payload FROM u LEFT JOIN v USING (request_id)""",
+    "generate_responses": f"""WITH {_CHUNKS}, {_BLOCK}, n AS (SELECT request_id, sum({_TOLD.format("CASE WHEN image AND text = '' THEN 'retrieved image: ' || source ELSE text END")}) AS words, sum({_TOLD.format('text')}) FILTER (WHERE NOT image) AS texts, count(*) AS n FROM o GROUP BY request_id)
+SELECT u.request_id, md5(CASE WHEN length(block) % 7 = 0 THEN '' ELSE block END) AS answer_md5, coalesce(n, 0) AS n_chunks, length(block) % 7 = 0 AS failed, CASE WHEN length(block) % 7 <> 0 THEN 2::BIGINT END AS seconds,
+ (7 + {_TOLD.format('query')} + coalesce(words, 0) + CASE WHEN u.image_path <> '' THEN 3 ELSE 0 END)::BIGINT AS total_prompt_tokens, coalesce(texts, 0)::BIGINT AS retrieved_text_token_count, coalesce(n, 0) AS num_retrieved_chunks FROM u JOIN r USING (request_id) LEFT JOIN n USING (request_id)""",
+    "chunk_normalize": """SELECT vec_id, 'v' || vec_id AS chunk_id, '' AS text, '' AS source, CASE WHEN label < 3 THEN 'image' ELSE 'text' END AS modality, CASE WHEN label < 3 THEN 'a.png' END AS image_path, CASE WHEN label BETWEEN 3 AND 4 THEN 3::BIGINT END AS retrieval_rank,
+ CASE WHEN vec_id % 6 = 0 THEN vec_id + 0.25::DOUBLE WHEN vec_id % 6 >= 4 THEN vec_id + 0.5::DOUBLE END AS score, CASE WHEN vec_id % 2 = 0 THEN '{"score":' || vec_id || '.25}' ELSE '{}' END AS metadata FROM embeddings""",
+    "prompt_log_event": f"""WITH {_SEG}, s AS (SELECT request_id, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE role = 'retrieved_text'), 0)::BIGINT AS texts, bool_or(modality = 'image' OR role = 'visual_context') AS visual, count(*) FILTER (WHERE starts_with(role, 'retrieved_')) AS chunks FROM seg GROUP BY request_id)
+SELECT request_id, '{{"conv":' || request_id || ',"event":"prompt_summary",' || CASE request_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"image_path":null,' ELSE '"image_path":"req/' || request_id || '.png",' END || '"num_retrieved_chunks":' || chunks || ',"retrieved_text_token_count":' || texts || ',"total_prompt_tokens":' || total || ',"visual_input_present":' || visual || '}}' AS line FROM s""",
     "prompt_b": f"""WITH {_CHUNKS}, g AS (SELECT request_id, string_agg('[Context ' || (pos + 1) || ' (' || CASE WHEN image THEN 'image' ELSE 'text' END || ')]: ' || text, chr(10) || chr(10) ORDER BY pos) AS t FROM o GROUP BY request_id)
 SELECT request_id, 'Use the following context to answer the question.' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:' AS prompt FROM r LEFT JOIN g USING (request_id)""",
     "segment_normalize": f"WITH {_SEG} SELECT request_id, seg_index, CASE WHEN seg_index % 3 <> 0 THEN role ELSE '' END AS role, CASE WHEN seg_index % 3 <> 1 THEN modality ELSE 'text' END AS modality, '' AS source, CASE WHEN seg_index % 3 <> 2 THEN text ELSE '' END AS text, CASE seg_index % 3 WHEN 1 THEN 7 WHEN 2 THEN 0 ELSE length(text) END::BIGINT AS text_length FROM seg",
