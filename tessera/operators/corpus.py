@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,3 +139,14 @@ def image_chunks(pages: DataFrame, source: Column, path: Column, text: Column, i
     )
 
 
+def first_queries(load: Callable[[], DataFrame], order: str, n: int, fallback: DataFrame | None = None) -> DataFrame:
+    """The first n queries that load gives, in order; all of the fallback's where loading or reading fails, if one is given."""
+    try:
+        first = load().orderBy(order).limit(n)
+        if fallback is not None:
+            first.isEmpty()  # a source that can't be read fails here
+        return first
+    except Exception:
+        if fallback is None:
+            raise
+        return fallback

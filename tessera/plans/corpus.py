@@ -39,10 +39,10 @@ def record_metadata(spark, sf_dir: str) -> DataFrame:
 
 
 def union_splits(spark, sf_dir: str) -> DataFrame:
-    """Splits by lang in order of their names, null being one of its own; one lacks a column, which is null there."""
+    """Splits by lang, null being one of its own; one lacks a column, which is null there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("split"), "source", "n_chars")
     lacking = F.col("split").eqNullSafe("de")
-    return docs.where(~lacking).unionByName(docs.where(lacking).drop("source"), allowMissingColumns=True).orderBy("split", "doc_id")
+    return docs.where(~lacking).unionByName(docs.where(lacking).drop("source"), allowMissingColumns=True)
 
 
 def dataset_dir(spark, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def model_spec(spark, sf_dir: str) -> DataFrame:
 
 def query_sample(spark, sf_dir: str) -> DataFrame:
     """The first queries of the dataset, as its loader takes them."""
-    return table(spark, sf_dir, "benchmark").orderBy("item_id").limit(20).select("item_id", "text")
+    return C.first_queries(lambda: table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", 20)
 
 
 def variant_matrix(spark, sf_dir: str) -> DataFrame:

@@ -195,4 +195,14 @@ def test_union_splits_keeps_every_lang(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in corpus.union_splits(spark, str(tmp_path)).select("doc_id", "split", "source", "n_chars").collect()]
     assert sorted(got, key=repr) == sorted(((d, lang, None if lang == "de" else s, n) for d, lang, s, n in rows), key=repr)
-    assert [r[1] for r in got] == [None, None, "", "de", "en", "fr", "xx"]
+
+
+def test_first_queries_fall_back(spark, tmp_path):
+    own = spark.createDataFrame([(9, "own")], "item_id long, text string")
+    some = spark.createDataFrame([(k, f"q{k}") for k in (3, 1, 2)], "item_id long, text string")
+    assert [r["item_id"] for r in C.first_queries(lambda: some, "item_id", 2, own).collect()] == [1, 2]
+    (tmp_path / "broken.parquet").write_bytes(b"no parquet")
+    for load in (lambda: spark.read.parquet(str(tmp_path / "missing")), lambda: spark.read.schema(own.schema).parquet(str(tmp_path / "broken.parquet"))):
+        assert [r["text"] for r in C.first_queries(load, "item_id", 2, own).collect()] == ["own"]
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE"):
+            C.first_queries(load, "item_id", 2).collect()

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.corpus import vocabulary
 from tessera.operators.tiered_cache import replay
 from tessera.sources.files import BlockStore, Settings, mixed_files, read_results, text_records, write_results
 from tessera.sources.tables import trace
@@ -17,7 +18,8 @@ def test_text_folder(spark, tmp_path):
     (tmp_path / "in" / "doc.b.txt").write_text("image\ntext")
     (tmp_path / "no.md").write_text("x")
     assert sorted((r["doc_id"], r["markdown"]) for r in text_records(spark, str(tmp_path)).collect()) == [("doc.b", "image\ntext"), ("doc_a", "cache text")]
-    assert [r["doc_id"] for r in text_records(spark, str(tmp_path)).collect()] == ["doc_a", "doc.b"]
+    ids = vocabulary(text_records(spark, str(tmp_path)), "source", "markdown")
+    assert {r["piece"]: r["token_id"] for r in ids.collect()} == {"cache": 1, "text": 2, "image": 3}
     (tmp_path / "bad.txt").write_bytes(b"\xff")
     with pytest.raises(Exception, match="INVALID_UTF8"):
         text_records(spark, str(tmp_path)).collect()
@@ -30,7 +32,7 @@ def test_mixed_folder(spark, tmp_path):
     (tmp_path / "b.PNG").write_bytes(b"123")
     (tmp_path / "c.pdf").write_bytes(b"123")
     got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["length"], r["text"]) for r in mixed_files(spark, str(tmp_path)).collect()}
-    assert got["b.PNG"] == ("image", 3, None) and got["a.MD"] == ("text", 8, "ok  end") and list(got) == ["a.MD", "b.PNG"]
+    assert got["b.PNG"] == ("image", 3, None) and got["a.MD"] == ("text", 8, "ok  end") and set(got) == {"a.MD", "b.PNG"}
 
 
 def test_results(spark, tmp_path):
@@ -53,11 +55,20 @@ def test_block_store(spark, tmp_path):
 
 
 def test_settings(tmp_path):
-    (tmp_path / "s.json").write_text('{"cache": {"gpu_blocks": 2, "other": 1}}')
+    (tmp_path / "s.json").write_text('{"cache": {"gpu_blocks": 2, "other": 1}, "model": {"name": "m"}, "more": {}}')
     got = Settings.load(str(tmp_path / "s.json"))
-    assert (got.cache.gpu_blocks, got.cache.cpu_blocks, got.rag.top_k) == (2, 64, 5)
+    assert (got.cache.gpu_blocks, got.cache.cpu_blocks, got.rag.top_k, got.model.dtype) == (2, 8192, 5, "float16")
     with pytest.raises(FileNotFoundError):
         Settings.load(str(tmp_path / "missing.json"))
+    (tmp_path / "s.yaml").write_text("model:\n  name: m\nrag:\n  top_k: '7'\neval:\n  batch_sizes: [1, 2]\npruning:\n")
+    pytest.importorskip("yaml")
+    got = Settings.load(str(tmp_path / "s.yaml"))
+    assert (got.rag.top_k, got.eval.batch_sizes, got.pruning.backend, got.serving.port) == (7, [1, 2], "mobilesam", 8000)
+    assert (got.variant(False, True).cache.enabled, got.variant(False, True).pruning.enabled, got.cache.enabled) == (False, True, True)
+    for text, wrong in (("rag: {top_k: 1}", "model.name"), ("model: {name: m}\nrag: {top_k: x}", "rag.top_k"), ("", "model.name")):
+        (tmp_path / "s.yaml").write_text(text)
+        with pytest.raises(ValueError, match=wrong):
+            Settings.load(str(tmp_path / "s.yaml"))
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
