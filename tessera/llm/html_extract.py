@@ -8,9 +8,12 @@ Gaussian kernel, and a threshold from their spread parts the lines into two clus
 both smoothed and by themselves, are content. So names and tags are priors only: where all of the
 text stands under a doubtful name, it is the content nevertheless.
 
-The regions are the containers of content lines. In a region, short lines are the text's as well if
-they weigh what some of its content does, or most of that, and aren't mostly links: those between content lines, headings
-above, and text elements, or elements of the kind that holds the content, at its begin and end.
+The regions are the containers of content lines: an article or main element with all that stands in
+it, else the element around text elements. In a region, other lines are the text's as well if they
+weigh what some of its content does, or most of that: all lines of an article; elsewhere those
+between content lines, headings above, and text elements, or elements of the kind that holds the
+content, at its begin and end. Lines that are mostly links count only in text elements, between
+content lines or in an article. A line that begins as footers do weighs little.
 
 Defined results: a null or empty page gives an empty text; a page without content lines too; a page
 without any markup is one block; very long and deeply nested pages are streamed in linear memory and
@@ -41,12 +44,14 @@ INLINE_NEVER = frozenset("applet audio button canvas datalist iframe label map n
 NEVER_ROLES = frozenset("navigation contentinfo menu menubar toolbar".split())
 ASIDE_ROLES = frozenset("banner complementary search form alert alertdialog dialog".split())
 NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion discussions disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 #: Names like has-sidebar, ad-free or page-header-wrapper stand on elements around the whole page.
 LAYOUT = frozenset("has no with without layout wrapper free".split())
 #: First parts of names that tell a post's subjects or kind, like category-social and tag-search.
 SUBJECTS = frozenset("category tag taxonomy term type format status".split())
+#: First parts of names of a post's own header.
+POSTS = frozenset("article entry post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a text, which are no region of their own.
 TEXT_LEVEL = HEADINGS | frozenset("address blockquote caption center dd details dl dt figcaption figure hgroup li ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -63,6 +68,8 @@ ARTICLE, DOUBT, AROUND = 3.0, 0.25, 0.03
 #: Least share of its content's weight that a region's other lines have.
 ALIKE = 0.5
 
+# How lines of footers begin.
+_FOOTER = re.compile(r"(?i)(?:copyright|©|\(c\)|&copy;)\s*(?:©|\(c\))?\s*(?:\d{4}|by\b)|all rights reserved\b|powered by\b")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -77,11 +84,15 @@ class Element:
     weight: float
     article: bool
     around: Element | None  # the element around it that is no part of a text
+    root: Element | None = None  # the article or main element that it is or stands in, the innermost
+    whole: bool = False  # whether that is an article, not only the page's main part
     holds: bool = False  # whether blocks stand inside
 
     @property
     def region(self) -> Element | None:
         """The element around its text lines: a div without blocks inside is used as a paragraph."""
+        if self.root is not None:
+            return self.root
         if self.tag in TEXT_LEVEL or (self.tag == "div" and not self.holds):
             return self.around
         return self
@@ -96,7 +107,12 @@ class Line:
 
     @property
     def ratio(self) -> float:
-        return self.element.weight * max(0, len(self.text) - self.links) / self.tags
+        return self.weight * max(0, len(self.text) - self.links) / self.tags
+
+    @property
+    def weight(self) -> float:
+        """The element's, but little for a line outside articles that begins as footers do."""
+        return self.element.weight * (AROUND if not self.element.whole and _FOOTER.match(self.text) else 1.0)
 
 
 @dataclass(slots=True)
@@ -170,7 +186,7 @@ class _Lines(HTMLParser):
             return AROUND if len(parts) == 1 and parts[0] in NAMES and tag == "article" and inside.article else 1.0
         if not NAMES.intersection(parts) or LAYOUT.intersection(parts) or (len(parts) > 1 and parts[0] in SUBJECTS):
             return 1.0
-        if inside.article and {"header", "masthead"}.intersection(parts):
+        if (inside.article or parts[0] in POSTS) and {"header", "masthead"}.intersection(parts):
             return 1.0
         return AROUND if parts[-1] in NAMES else DOUBT
 
@@ -198,7 +214,12 @@ class _Lines(HTMLParser):
         article = tag in ("article", "main") or told.get("role") in ("main", "article") or told.get("itemprop") == "articleBody"
         prior = self._prior(tag, attrs, article, inside)
         around = inside if inside.tag not in TEXT_LEVEL else inside.around
-        self.stack.append(Element(tag, inside.weight * prior, inside.article or (article and prior > AROUND), around))
+        made = Element(tag, inside.weight * prior, inside.article or (article and prior > AROUND), around, inside.root, inside.whole)
+        if article and prior > AROUND:
+            made.root, made.whole = made, tag == "article" or told.get("role") == "article" or told.get("itemprop") == "articleBody"
+        elif article or (prior <= AROUND and not inside.whole):
+            made.root = None  # a comment, or what stands beside the text in the main part
+        self.stack.append(made)
         self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -251,7 +272,7 @@ def content_lines(lines: list[Line]) -> np.ndarray:
     smoothed = smooth(ratios)
     level = LEVEL * smoothed.std()
     content = (smoothed >= level) & (ratios >= level) & (ratios > 0)
-    return content if content.any() else np.array([x.element.weight > 0 for x in lines])
+    return content if content.any() else np.array([x.weight > 0 for x in lines])
 
 
 def kept_lines(lines: list[Line], content: np.ndarray) -> np.ndarray:
@@ -259,20 +280,23 @@ def kept_lines(lines: list[Line], content: np.ndarray) -> np.ndarray:
     regions: dict[int, list[int]] = {}
     for i in np.flatnonzero(content).tolist():
         regions.setdefault(id(lines[i].element.region), []).append(i)
-    weights = {r: [lines[i].element.weight for i in inside] for r, inside in regions.items()}
+    weights = {r: [lines[i].weight for i in inside] for r, inside in regions.items()}
     least = {r: ALIKE * float(np.median(w)) for r, w in weights.items()}
     weights = {r: set(w) for r, w in weights.items()}
     tags = {r: {lines[i].element.tag for i in inside} for r, inside in regions.items()}
     kept = content.copy()
     for i, x in enumerate(lines):
-        r = id(x.element.region)
-        if kept[i] or r not in regions or 2 * x.links >= len(x.text) or (x.element.weight < least[r] and x.element.weight not in weights[r]):
+        r, element = id(x.element.region), x.element
+        if kept[i] or r not in regions or (x.weight < least[r] and x.weight not in weights[r]):
             continue
-        within = regions[r][0] < i < regions[r][-1]
-        kept[i] = within or x.element.tag in TEXT_LEVEL or x.element.tag in tags[r] or x.element is x.element.region
+        text, within = element.tag in TEXT_LEVEL, regions[r][0] < i < regions[r][-1]
+        if 2 * x.links >= len(x.text):
+            kept[i] = text and (within or element.whole)
+        else:
+            kept[i] = within or element.whole or text or element.tag in tags[r] or element is element.region
     first = np.flatnonzero(kept)[:1].tolist()
     for i in reversed(range(*([0] + first if first else [0]))):  # headings just above the text, in another element
-        if lines[i].element.tag not in HEADINGS or lines[i].element.weight < min(least.values()):
+        if lines[i].element.tag not in HEADINGS or lines[i].weight < min(least.values()):
             break
         kept[i] = True
     return kept

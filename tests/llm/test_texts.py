@@ -115,6 +115,42 @@ def test_all_articles_are_kept():
     assert main_text(f"<nav>x</nav><article>{_tagged('p', texts)}</article><div class='ad'>Buy this.</div><article>{_tagged('p', texts[::-1])}</article>").split("\n") == texts + texts[::-1]
 
 
+LONG = _sized(300, 300)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><header><h1>T</h1><p class=byline>By A. Writer</p></header>{_tagged('p', LONG)}</article>", ["T", "By A. Writer", *LONG]),
+        (f"<article><div class=entry-header><h1>T</h1><p>By A. Writer</p></div>{_tagged('p', LONG)}</article>", ["T", "By A. Writer", *LONG]),
+        (f"<div class=post><div class=entry-header><h1>T</h1></div>{_tagged('p', LONG)}</div>", ["T", *LONG]),
+        (f"<article>{_tagged('p', LONG)}<ul><li><a href=1>First reference</a><li><a href=2>Second reference</a></ul></article>", [*LONG, "First reference", "Second reference"]),
+        (f"<article><p>{LONG[0]}</p><p><a href=1>One link only</a></p><h2><a href=2>A heading</a></h2><p>{LONG[1]}</p></article>", [LONG[0], "One link only", "A heading", LONG[1]]),
+        (f"<div><p>{LONG[0]}</p><h2><a href=2>A heading</a></h2><p>{LONG[1]}</p></div>", [LONG[0], "A heading", LONG[1]]),
+        (f"<article>{_tagged('p', LONG)}<div><ul><li>one<li>two</ul></div></article>", [*LONG, "one", "two"]),
+        (f"<body>{_tagged('p', LONG)}<div>Copyright 2020 Example Company and others. All rights reserved.</div></body>", LONG),
+        (f"<body>{_tagged('div', LONG)}<div>© 2020 Example Company and others, all of them. All rights reserved.</div></body>", LONG),
+        (f"<article>{_tagged('p', LONG)}</article><div id=discussion><h3>2 replies</h3><div class=reply><p>A reader disagrees with all of this, at length.</p></div></div>", LONG),
+        (f"<main><div><a href=/>Home</a> <a href=/b>Blog</a></div><article>{_tagged('p', LONG)}<p>Copyright 2020 is what this paragraph is about.</p></article></main>", [*LONG, "Copyright 2020 is what this paragraph is about."]),
+        (f"<main>{_tagged('p', LONG)}<aside><p>Beside the text, of some length as well.</p></aside><div><a href=/>Home</a> <a href=/b>Blog</a></div></main>", LONG),
+        (f"<article>{_tagged('p', LONG)}<div class=share-buttons><a href=1>Share</a></div><div><a href=2>Tag</a> <a href=3>Tag</a></div></article>", LONG),
+    ],
+)
+def test_parts_of_articles(page, text):
+    assert main_text(page).split("\n") == text
+
+
+def test_smoothing_leaves_a_lone_line_out(monkeypatch):
+    """A line as long as some of the article's, but among short ones, is content only without smoothing."""
+    texts = _sized(300, 60, 300, 60, 300)
+    menu = "".join(f"<div>No {k}</div>" for k in range(12))
+    lone = "One sentence of sixty characters that stands there by itself."
+    page = f"<body><section>{menu}<div>{lone}</div>{menu}</section><section>{_tagged('p', texts)}</section></body>"
+    assert main_text(page).split("\n") == texts
+    monkeypatch.setattr(html_extract, "smooth", lambda r: r)
+    assert lone in main_text(page).split("\n")
+
+
 def test_deep_nesting_is_linear():
     deep = "<div>" * 50_000 + "".join(f"<p>word {k} and more of them" for k in range(5000))
     assert main_text(deep).count("\n") == 4999
