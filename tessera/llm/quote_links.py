@@ -3,8 +3,9 @@
 Lines that start with ``>`` marks are quotations; the number of marks is their level. Each quoted
 line, normalised and hashed, is joined to the latest earlier message of its conversation that wrote
 it; a message replies to the one that most characters of its outermost linked level come from.
-A level of a message of which no line is found may have been wrapped at another width: its paragraphs,
-lines joined, are linked in the same way by runs of RUN_WORDS words, or whole if they are no longer.
+A level of which some line is not found may have been wrapped at another width: its paragraphs, lines
+joined, are linked in the same way by runs of RUN_WORDS words, or whole if they are no longer. What
+lines and runs tell is weighed together; a run weighs its first word, the last of a paragraph all.
 Threads follow from replies, and the text is returned without quotations and the attribution lines
 above them. Sorted by (conv_id, thread, turn), every reply follows the message it answers.
 
@@ -92,8 +93,10 @@ def runs(rows: DataFrame, inside) -> DataFrame:
     texts = rows.select("conv_id", "turn", "level", F.explode(parts).alias("text")).select("conv_id", "turn", "level", F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text")).where("text <> ''")
     words = texts.select("conv_id", "turn", "level", F.split("text", " ", -1).alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - RUN_WORDS + 1, F.lit(1)))
-    each = F.explode(F.transform(starts, lambda k: F.array_join(F.slice("words", k, RUN_WORDS), " "))).alias("run")
-    return words.select("conv_id", "turn", "level", each).select("conv_id", "turn", "level", F.xxhash64("run").alias("h"), F.length("run").alias("chars"))
+    run = lambda k: F.array_join(F.slice("words", k, RUN_WORDS), " ")
+    weight = lambda k: F.when(k + RUN_WORDS > F.size("words"), F.length(run(k))).otherwise(F.length(F.get("words", k - 1)) + 1)
+    each = F.inline(F.transform(starts, lambda k: F.struct(F.xxhash64(run(k)).alias("h"), weight(k).alias("chars"))))
+    return words.select("conv_id", "turn", "level", each)
 
 
 def rewrapped(messages: DataFrame, unlinked: DataFrame) -> DataFrame:
@@ -120,9 +123,9 @@ def replies(parsed: DataFrame, messages: DataFrame) -> DataFrame:
     found = latest_writers(written, quoted.select("conv_id", "h", "turn").distinct())
     sums = cut(quoted.join(found, ["conv_id", "h", "turn"]).groupBy("conv_id", "turn", "level", "from_").agg(F.sum("chars").alias("chars")))
     key = ["conv_id", "turn", "level"]
-    unlinked = cut(quoted.select(*key).distinct().join(sums.select(*key), key, "left_anti"))
+    unlinked = cut(quoted.join(found, ["conv_id", "h", "turn"], "left_anti").select(*key).distinct())
     if not unlinked.isEmpty():
-        sums = sums.unionByName(rewrapped(messages, unlinked))
+        sums = sums.unionByName(rewrapped(messages, unlinked)).groupBy(*key, "from_").agg(F.sum("chars").alias("chars"))
     best = F.min(F.struct("level", -F.col("chars"), -F.col("from_"), "from_")).getField("from_")
     return sums.groupBy("conv_id", "turn").agg(best.alias("reply_to"))
 
@@ -173,7 +176,22 @@ texts AS (
 quoted AS (SELECT conv_id, turn, level, norm FROM marked WHERE level > 0 AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 matched AS (
   SELECT q.conv_id, q.turn, q.level, q.norm, (SELECT max(o.turn) FROM marked o WHERE o.own AND o.conv_id = q.conv_id AND o.norm = q.norm AND o.turn < q.turn) AS src FROM quoted q),
-sums AS (SELECT conv_id, turn, level, src, sum(length(norm)) AS chars FROM matched WHERE src IS NOT NULL GROUP BY ALL),
+unlinked AS (SELECT DISTINCT conv_id, turn, level AS lv FROM matched WHERE src IS NULL),
+levels AS (
+  SELECT DISTINCT m.id, u.lv FROM marked m JOIN unlinked u ON u.conv_id = m.conv_id AND u.turn = m.turn AND u.lv = m.level
+  UNION ALL SELECT id, 0 FROM msgs WHERE turn IS NOT NULL AND conv_id IN (SELECT conv_id FROM unlinked)),
+paras AS (
+  SELECT conv_id, turn, lv, trim(replace(unnest(string_split_regex(string_agg(CASE WHEN CASE lv WHEN 0 THEN own ELSE level = lv END THEN norm ELSE '' END, chr(10) ORDER BY pos), '\n\n+')), chr(10), ' ')) AS para
+  FROM marked JOIN levels USING (id) GROUP BY id, conv_id, turn, lv),
+worded AS (SELECT conv_id, turn, lv, string_split(para, ' ') AS w FROM paras WHERE para <> ''),
+placed_runs AS (SELECT *, unnest(range(1, greatest(len(w) - 5, 1) + 1)) AS k FROM worded),
+runs AS (
+  SELECT conv_id, turn, lv, array_to_string(w[k:k + 5], ' ') AS run, CASE WHEN k + 6 > len(w) THEN length(array_to_string(w[k:k + 5], ' ')) ELSE length(w[k]) + 1 END AS chars FROM placed_runs),
+matched_runs AS (
+  SELECT q.conv_id, q.turn, q.lv AS level, q.chars, (SELECT max(o.turn) FROM runs o WHERE o.lv = 0 AND o.conv_id = q.conv_id AND o.run = q.run AND o.turn < q.turn) AS src FROM runs q WHERE q.lv > 0),
+sums AS (
+  SELECT conv_id, turn, level, src, sum(chars) AS chars
+  FROM (SELECT conv_id, turn, level, src, length(norm) AS chars FROM matched UNION ALL SELECT conv_id, turn, level, src, chars FROM matched_runs) WHERE src IS NOT NULL GROUP BY ALL),
 links AS (
   SELECT conv_id, turn, src AS reply_to FROM sums QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, src DESC) = 1),
 up AS (

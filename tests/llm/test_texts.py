@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -412,6 +413,20 @@ def test_quotes_equal_sql(spark):
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
 
 
+def random_message(k):
+    """Few words, quoted at other widths, at several levels, with short lines of others among them."""
+    rng = random.Random(k)
+    text = " ".join(random.Random(j).choice("abcdef") + str(j % 7) for j in range(rng.randrange(30), 40))
+    words, lines = text.split(), []
+    while words:
+        n = rng.randrange(1, 9)
+        lines.append("> " * rng.randrange(3) + " ".join(words[:n]))
+        words = words[n:]
+        if rng.random() < 0.2:
+            lines.append("> " * rng.randrange(2))
+    return "\n".join(lines)
+
+
 def test_rewrapped_quotes_are_linked(spark):
     long = "The first words of a paragraph that goes on\nfor a while and is wrapped\nat some width or other.\n\nA second one,\nmuch shorter."
     other = "Another message altogether, about\nsomething else, of some length."
@@ -422,9 +437,20 @@ def test_rewrapped_quotes_are_linked(spark):
         5: ("> Another message altogether,\n> about something else, of some length.\n>> A second one,\nTwo levels.", 1),
         6: ("> words that nobody of this conversation\n> has written at any time", None),
         7: ("> Yes.\n> something else, of\n> some length.", 2),
+        8: ("Bob", None),
+        9: ("> The first words of a paragraph that\n> goes on for a while and is\n> wrapped at some width or other.\n> Bob\nAll but a name.", 0),
+        10: ("> Bob\n> nothing that anybody wrote here before", 8),
     }
     rows = [(1, 0, "u", long), (1, 1, "a", other), *[(1, k, "u", q) for k, (q, _) in quotes.items()], (2, 9, "u", quotes[2][0])]
-    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    extra = spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, line string, h string, level int")
+    got = link_quotes(extra)
     found = {(r["conv_id"], r["turn"]): r["reply_to"] for r in got.collect()}
     assert found == {(1, 0): None, (1, 1): None, (2, 9): None, **{(1, k): wanted for k, (_, wanted) in quotes.items()}}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    rows += [(1, 2, "u", "> of a paragraph\n> that goes on for a while and is\nTwice."), (None, 3, "u", "> x y z"), (2, None, "u", "> a b")]
+    rows += [(5, k, "u", random_message(k)) for k in range(40)]
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(OP2_SQL).fetchall()))
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
