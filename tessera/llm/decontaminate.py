@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.batches import tidy
 from tessera.session import cut
 
 MIN_MATCH = 4
@@ -192,6 +193,7 @@ def hits_column(items: DataFrame, text: str | Column, coverage: float = COVERAGE
         known = shipped.value
         for texts in batches:
             yield pd.Series([known.hits(t, coverage) for t in texts], dtype=object)
+            tidy()
 
     return find(text)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.batches import small_batches
+from tessera.llm.batches import small_batches, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_exclaim", "n_digits")
 RATIOS = {
@@ -94,7 +94,9 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_statistics(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts], columns=list(COUNTS), dtype="int64")
+    out = pd.DataFrame([measure(t) for t in texts], columns=list(COUNTS), dtype="int64")
+    tidy()
+    return out
 
 
 def feature(stats: str, name: str) -> Column:

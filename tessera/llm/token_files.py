@@ -53,7 +53,7 @@ END_ID = 2
 #: Bytes of a file's texts, about, by the plan's own estimate.
 FILE_BYTES = 128 << 20
 #: Pre-tokens that each worker keeps with their ids.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 250_000
 
 
 #: The pre-tokens of a byte-level BPE for texts of letters, decimal digits, white space and what is none of these.
