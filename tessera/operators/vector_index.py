@@ -6,8 +6,8 @@ its k-th best score there bounds how far a better row can be, and by the triangl
 then asks all cells that can hold one. So the results are those of asking every row.
 
 Queries and rows are two tables that meet by cell: a cell's rows are dealt to parts of PART_ROWS and
-queries to parts of PART_QUERIES, so a task holds one part of each, however many there are and however
-many rows fall into one cell. Shipped are only the centres and a few numbers a cell.
+the queries that visit it to parts of PART_QUERIES, so a task holds one part of each, however many
+there are and however many fall into one cell. Shipped are only the centres and a few numbers a cell.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ class VectorIndex:
         return cls(centres, sorted((Cell(*r) for r in told), key=lambda c: (c.cell, c.group)), rows)
 
     def _visits(self, queries: DataFrame, cells_of: Callable[[np.ndarray, np.ndarray, list], list[list[int]]], extra: list[str]) -> DataFrame:
-        """query_id, vector and each cell and group it asks, with the number of the cell's parts."""
+        """query_id, vector and each cell and group it asks."""
         cells, centres = self.cells, self.centres
 
         def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,21 +145,27 @@ class VectorIndex:
                 owner = np.repeat(np.arange(batch.num_rows), [len(a) for a in asked])
                 to = [cells[c] for a in asked for c in a]
                 taken = [batch.column(c).take(pa.array(owner)) for c in ("query_id", "vector")]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array([c.cell for c in to], pa.int32()), pa.array([c.group for c in to], pa.string()), pa.array([-(-c.rows // PART_ROWS) for c in to], pa.int32())], names=["query_id", "vector", "cell", "group_", "parts"])
+                yield pa.RecordBatch.from_arrays([*taken, pa.array([c.cell for c in to], pa.int32()), pa.array([c.group for c in to], pa.string())], names=["query_id", "vector", "cell", "group_"])
 
         element = queries.schema["vector"].dataType.simpleString()
-        return queries.select("query_id", "vector", *extra).mapInArrow(visit, f"query_id long, vector {element}, cell int, group_ string, parts int")
-
-    def _scan(self, visits: DataFrame, k: int, query_parts: int) -> DataFrame:
-        """Each query's k best rows of every part of the cells it visits."""
-        asked = visits.withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)))
-        sizes = [(c.cell, c.group, -(-c.rows // PART_ROWS)) for c in self.cells]  # as many as there are cells
-        parts = self.rows.sparkSession.createDataFrame(sizes, "cell int, group_ string, parts int")
-        rows = self.rows.join(F.broadcast(parts), ["cell", "group_"]).withColumn("part_", F.pmod("number_", F.col("parts")).cast("int"))
-        rows = rows.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
+        return queries.select("query_id", "vector", *extra).mapInArrow(visit, f"query_id long, vector {element}, cell int, group_ string")
+
+    def _scan(self, visits: DataFrame, k: int) -> DataFrame:
+        """Each query's k best rows of every part of the cells it visits.
+
+        A cell's rows meet each part of the queries that visit it, so rows go out as often as their own
+        cell has such parts; cells that nobody visits stay where they are.
+        """
+        spark, visits = self.rows.sparkSession, cut(visits)
+        asked = {(r["cell"], r["group_"]): -(-r["n"] // PART_QUERIES) for r in visits.groupBy("cell", "group_").agg(F.count("*").alias("n")).collect()}  # as many as there are cells
+        sizes = [(c.cell, c.group, -(-c.rows // PART_ROWS), asked[c.cell, c.group]) for c in self.cells if (c.cell, c.group) in asked]
+        parts = F.broadcast(spark.createDataFrame(sizes, "cell int, group_ string, parts int, blocks int"))
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         key = ("cell", "group_", "part_", "block_")
+        rows = self.rows.join(parts, ["cell", "group_"]).withColumn("part_", F.pmod("number_", F.col("parts")).cast("int")).withColumn("block_", number("blocks"))
+        queries = visits.join(parts, ["cell", "group_"]).withColumn("block_", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("part_", number("parts"))
         left = rows.select(*key, "chunk_id", "modality", "embedding").groupBy(*key)
-        right = asked.select(*key, "query_id", "vector").groupBy(*key)
+        right = queries.select(*key, "query_id", "vector").groupBy(*key)
         return left.cogroup(right).applyInArrow(lambda a, b: best_rows(a, b, k), FOUND)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
@@ -173,7 +179,6 @@ class VectorIndex:
         if not groups:
             return spark.createDataFrame([], FOUND)
         cells, of_group = self.cells, {g: [i for i, c in enumerate(self.cells) if c.group == g] for g in groups}
-        query_parts = max(1, -(-queries.count() // PART_QUERIES))
 
         def nearest(away: np.ndarray, group: str) -> list[int]:
             """The nearest cells that hold k rows, or all."""
@@ -196,9 +201,9 @@ class VectorIndex:
                 out.append([i for i in of_group[group] if i not in asked and max(a[cells[i].cell] - cells[i].far, cells[i].near - a[cells[i].cell]) <= reach])
             return out
 
-        begun = cut(self._scan(self._visits(queries, first, []), k, query_parts))
+        begun = cut(self._scan(self._visits(queries, first, []), k))
         place = Window.partitionBy("query_id", "group_").orderBy(F.desc("score"), "chunk_id")
         kth = begun.withColumn("place_", F.row_number().over(place)).where(F.col("place_") <= k)
         bound = kth.groupBy("query_id", "group_").agg(F.min(F.when(F.col("place_") == k, F.col("score"))).alias("bound_"))
         rest = self._visits(queries.join(bound, "query_id"), others, ["group_", "bound_"])
-        return begun.unionByName(self._scan(rest, k, query_parts))
+        return begun.unionByName(self._scan(rest, k))

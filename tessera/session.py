@@ -20,6 +20,7 @@ def build_session(cpus: int | str = 8, app: str = "tessera") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()

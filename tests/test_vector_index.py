@@ -36,6 +36,8 @@ def brute(rows, queries, k, group=lambda r: ""):
 @pytest.mark.parametrize("clustered,k,by", [(True, 3, None), (False, 40, None), (True, 5, "modality"), (True, 500, "modality")])
 def test_search_equals_asking_every_row(spark, monkeypatch, clustered, k, by):
     monkeypatch.setattr(vector_index, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(vector_index, "PART_ROWS", 50)
+    monkeypatch.setattr(vector_index, "PART_QUERIES", 5)
     rows, queries = made(spark, k, 400, clustered=clustered)
     chunks = spark.createDataFrame([*rows, ("null", "text", None)], ROWS).repartition(3)
     asked = spark.createDataFrame([*queries, (102, None)], "query_id long, embedding array<float>")
