@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, ngram_jaccard, quality_rules, token_files
 from tessera.llm.files import delete
-from tessera.session import shared_dir, table
+from tessera.session import cut, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            delete(spark, f"{folder}/{k - 1}")  # the last stage's rows stay, as the result reads them
-    return docs
+            delete(spark, f"{folder}/{k - 1}")
+    told = cut(docs)  # a row a document, of a few numbers
+    delete(spark, folder)
+    return told

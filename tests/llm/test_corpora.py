@@ -383,3 +383,19 @@ def test_pipeline_equals_its_stages(spark, sf):
     assert mixed.columns == docs.columns and all(left[r["doc_id"]] == r["text"] for r in mixed.collect())
     out = corpus_pipeline.run(spark, sf)
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path, docs):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, hits string, kept string, number string, target string"
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, rows in (("empty", []), ("odd", [(None, None, None, None, None, "r", "h", "k", "n", "t"), (1, "", "en", None, 0, "r", "h", "k", "n", "t"), *[(k, " ".join(f"w{k}x{j}" for j in range(90)), "en", "s", 1, "r", "h", "k", "n", "t") for k in (2, 3)]])):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], items).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()) == [2, 3]
+    left = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, f"{tmp_path}/odd")
+        assert left.columns == columns.replace(" long", "").replace(" string", "").split(", "), name
+        assert {r["hits"] for r in left.collect()} == {"h"}
