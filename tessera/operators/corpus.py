@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +35,18 @@ DICTIONARY_PIECES = 500_000
 
 
 def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pieces of a partition with the least (key, index, pos) that each stands at, null keys first."""
+    """Distinct pieces of a part, which is a partition, with the least (key, index, pos) that each stands at, null keys first."""
     known: dict[str, tuple] = {}
-    part, schema = TaskContext.get().partitionId(), None
+    part, schema = 0, None
 
     def told() -> pa.RecordBatch:
         rank, keys, index, pos = zip(*known.values(), strict=True)
         return pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.int32()), pa.array(known, pa.string()), pa.array([k if r else None for r, k in zip(rank, keys, strict=True)], schema.field("key_").type), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["part_", "piece", "key_", "index_", "pos"])
 
     for batch in batches:
-        schema = batch.schema
+        if not batch.num_rows:
+            continue
+        part, schema = batch.column("part_")[0].as_py(), batch.schema
         order = pc.sort_indices(pa.Table.from_batches([batch]), [("key_", "ascending"), ("index_", "ascending")], null_placement="at_start")
         lists = batch.column("pieces").take(order)
         coded = lists.flatten().dictionary_encode()
@@ -68,7 +69,7 @@ def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dictionaries(pieces: DataFrame) -> DataFrame:
-    """part_, piece, and key_, index_ and pos of its first place, for each partition of pieces (key_, index_, pieces)."""
+    """part_, piece, and key_, index_ and pos of its first place, for each partition of pieces (part_, key_, index_, pieces)."""
     kind = pieces.schema["key_"].dataType
     return pieces.mapInArrow(_dictionary, T.StructType([T.StructField("part_", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("key_", kind), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())]))
 
@@ -84,7 +85,7 @@ def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Each partition makes a dictionary of its own; the dictionaries are merged to the first places.
     """
-    return _numbers(_dictionaries(docs.select(F.col(key).alias("key_"), F.lit(0).cast("long").alias("index_"), X.tokens(text).alias("pieces"))))
+    return _numbers(_dictionaries(docs.select(F.col(key).alias("key_"), F.lit(0).cast("long").alias("index_"), X.tokens(text).alias("pieces"), F.lit(0).alias("part_"))))
 
 
 def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -117,12 +118,12 @@ def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame | None = None)
     the part's dictionary. So a common piece is looked up once a part, and no document is gathered.
     """
     parts = max(shuffle_partitions(chunks.sparkSession), planned_bytes(chunks) // PART_BYTES + 1)
-    dealt = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").repartition(parts, key, "chunk_index"))
+    dealt = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").repartition(parts, "key_", "index_").withColumn("part_", F.spark_partition_id()))
     words = _dictionaries(dealt)
     own = words.select("part_", "piece").join(_numbers(words) if vocab is None else vocab.select("piece", "token_id"), "piece")
     own = own.select(F.col("part_").alias("of_"), "piece", "token_id")
     kind = T.StructType([T.StructField("key_", chunks.schema[key].dataType), T.StructField("index_", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
-    found = dealt.withColumn("part_", F.spark_partition_id()).groupBy("part_").cogroup(own.groupBy("of_")).applyInArrow(_numbered, kind)
+    found = dealt.groupBy("part_").cogroup(own.groupBy("of_")).applyInArrow(_numbered, kind)
     return found.withColumnsRenamed({"key_": key, "index_": "chunk_index"})
 
 

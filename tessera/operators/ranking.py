@@ -1,9 +1,13 @@
-"""Ranks over all rows, or over large groups, without one task that holds them."""
+"""Ranks over all rows, and order statistics of groups, without one task that holds them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import cut, shuffle_partitions
 
@@ -13,20 +17,28 @@ BRACKET = 100_000
 BROADCAST_BRACKETS = 10_000
 
 
-def ordered_rank(df: DataFrame, order: list[Column | str], group: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """df with the 1-based place of each row in its group (or in all rows), in the given order.
+def ordered_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """df with the 1-based place of each row in the given order.
 
-    Rows are dealt by ranges of (group, order); a place is the rank inside the partition and the
-    group's rows in the partitions before. Only counts per (partition, group) are summed up.
+    Rows are dealt by ranges of the order, sorted in their partition and written once; a place is the
+    one in the partition and the rows of those before, whose counts are a number a partition.
     """
-    group = group or []
-    dealt = cut(df.repartitionByRange(shuffle_partitions(df.sparkSession), *group, *order).withColumn("part_", F.spark_partition_id()))
-    counts = dealt.groupBy("part_", *group).agg(F.count("*").alias("n_"))
-    above = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part_", *group, F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("start_"))
-    inside = Window.partitionBy("part_", *group).orderBy(*order)
-    ranked = dealt.withColumn("inside_", F.row_number().over(inside)).join(starts, ["part_", *group])
-    return ranked.withColumn(name, (F.col("inside_") + F.col("start_")).cast("long")).drop("part_", "inside_", "start_")
+    parts = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = cut(parts.withColumn("part_", F.spark_partition_id()))
+    starts, total, columns = {}, 0, df.columns
+    for part, n in sorted(map(tuple, dealt.groupBy("part_").count().collect())):
+        starts[part], total = total, total + n
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            if batch.num_rows:
+                at = starts[batch.column("part_")[0].as_py()] if at is None else at
+                places = pa.array(range(at + 1, at + 1 + batch.num_rows), pa.int64())
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), places], names=[*columns, name])
+
+    return dealt.mapInArrow(number, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def order_statistic(df: DataFrame, value: str, places: dict[str, Column], group: list[str]) -> DataFrame:

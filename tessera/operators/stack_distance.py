@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +73,6 @@ def _range_rows(schema: T.StructType):
         last = np.zeros(n, dtype=np.int64)
         last[key] = np.arange(n)  # of each key the last assignment stays
         yield rows.assign(
-            range_=np.int64(TaskContext.get().partitionId()),
             place_=np.arange(n),
             distance=pd.Series(distance, dtype="Int64").where(~first),
             met_=np.cumsum(first) - first,
@@ -153,9 +151,10 @@ def stack_distances(trace: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     n = rows.count()
     ranges = max(-(-n // range_rows), min(shuffle_partitions(rows.sparkSession), n // 1000 + 1), 1)
     order = ("cache_id", "seq", "block_id")
-    dealt = cut(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
-    numbers = [T.StructField(c, T.LongType()) for c in ("range_", "place_", "distance", "met_", "last_")]
-    schema = T.StructType([*rows.schema.fields, *numbers])
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumn("range_", F.spark_partition_id().cast("long")))
+    numbers = [T.StructField(c, T.LongType()) for c in ("place_", "distance", "met_", "last_")]
+    schema = T.StructType([*dealt.schema.fields, *numbers])
     counted = dealt.mapInPandas(_range_rows(schema), schema)
     block = Window.partitionBy("cache_id", "block_id").orderBy("range_")  # a row a range
     ahead = {f"next_{c}": F.lead(c).over(block) for c in ("range_", "place_", "met_", "seq")}
