@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import unit_rows
@@ -45,6 +45,11 @@ def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return unit_rows(flat.reshape(n, len(flat) // n if n else 0))
 
 
+def has_numbers(vector: str) -> Column:
+    """Whether a vector is there and all of its entries are finite numbers."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False)))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
     return np.sqrt(np.maximum(squares, 0.0))
@@ -114,9 +119,9 @@ class VectorIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, by: str | None = None, cells: int = CELLS) -> VectorIndex:
-        """Index chunks (chunk_id, modality, embedding), each value of ``by`` for itself; null vectors are left out."""
+        """Index chunks (chunk_id, modality, embedding), each value of ``by`` for itself; vectors that are null or hold null or non-finite entries are left out."""
         group = F.coalesce(F.col(by), F.lit("")) if by else F.lit("")
-        known = chunks.where("embedding is not null").select("chunk_id", "modality", "embedding", group.alias("group_"))
+        known = chunks.where(has_numbers("embedding")).select("chunk_id", "modality", "embedding", group.alias("group_"))
         sample = known.select("embedding", F.xxhash64("chunk_id").alias("h_"), "chunk_id").orderBy("h_", "chunk_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
         centres = centres_of(matrix_of(sample["embedding"])) if cells == CELLS else centres_of(matrix_of(sample["embedding"]), cells)
 
@@ -171,10 +176,10 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, group_, chunk_id, modality and score: for each query (query_id, embedding) rows that hold its k best of each group.
 
-        query_ids are distinct; queries without a vector find nothing.
+        query_ids are distinct; queries without a vector of numbers find nothing.
         """
         spark = self.rows.sparkSession
-        queries = queries.where("embedding is not null").select("query_id", F.col("embedding").alias("vector"))
+        queries = queries.where(has_numbers("embedding")).select("query_id", F.col("embedding").alias("vector"))
         groups = sorted({c.group for c in self.cells})
         if not groups:
             return spark.createDataFrame([], FOUND)

@@ -39,8 +39,8 @@ def test_search_equals_asking_every_row(spark, monkeypatch, clustered, k, by):
     monkeypatch.setattr(vector_index, "PART_ROWS", 50)
     monkeypatch.setattr(vector_index, "PART_QUERIES", 5)
     rows, queries = made(spark, k, 400, clustered=clustered)
-    chunks = spark.createDataFrame([*rows, ("null", "text", None)], ROWS).repartition(3)
-    asked = spark.createDataFrame([*queries, (102, None)], "query_id long, embedding array<float>")
+    chunks = spark.createDataFrame([*rows, ("null", "text", None), ("nan", "text", [float("nan")] * 6), ("inf", "text", [float("inf")] * 6), ("hole", "text", [1.0, None] * 3)], ROWS).repartition(3)
+    asked = spark.createDataFrame([*queries, (102, None), (103, [float("nan")] * 6)], "query_id long, embedding array<float>")
     index = VectorIndex.build(chunks, by)
     assert len(index.centres) > 1 and sum(c.rows for c in index.cells) == len(rows)
     order = "row_number() over (partition by query_id, group_ order by round(score, 9) desc, chunk_id)"
