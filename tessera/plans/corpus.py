@@ -112,8 +112,9 @@ def image_chunk_ids(spark, sf_dir: str) -> DataFrame:
 
 
 def image_chunks(spark, sf_dir: str) -> DataFrame:
+    """Every page as a record whose image is its html's bytes, none being empty ones."""
     title = F.when(F.pmod("page_id", F.lit(3)) != 0, F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).otherwise(F.lit("  "))
-    image = F.when(F.pmod("page_id", F.lit(7)) != 0, F.col("html").cast("binary"))
+    image = F.coalesce("html", F.lit("")).cast("binary")
     return C.image_chunks(table(spark, sf_dir, "pages"), F.col("url"), F.col("url"), title, image)
 
 
@@ -177,7 +178,7 @@ ORACLES = {
     "block_hash": f"SELECT item_id, {_HASH.format(m='text', ids='i')} AS text_block, {_HASH.format(m='visual', ids='i')} AS visual_block FROM (SELECT item_id, list_transform({_WORDS}, lambda w: length(w)) AS i FROM benchmark)",
     "block_build": f"SELECT doc_id, n AS num_tokens, 0::BIGINT AS layer_start, 31::BIGINT AS layer_end, n * 256 AS bytes FROM (SELECT doc_id, greatest(1, len({_WORDS}))::BIGINT AS n FROM documents)",
     "image_chunk_ids": "SELECT page_id, substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id FROM pages",
-    "image_chunks": "SELECT substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id, coalesce(nullif(trim(CASE WHEN page_id % 3 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '  ' END), ''), 'Retrieved image from ' || url) AS text, url AS source, 'image' AS modality, url AS image_path, 0::BIGINT AS chunk_index FROM pages WHERE page_id % 7 <> 0 AND html IS NOT NULL",
+    "image_chunks": "SELECT substr(sha256('image:' || url || ':' || url), 1, 32) AS chunk_id, coalesce(nullif(trim(CASE WHEN page_id % 3 <> 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '  ' END), ''), 'Retrieved image from ' || url) AS text, url AS source, 'image' AS modality, url AS image_path, 0::BIGINT AS chunk_index FROM pages",
     "image_chunks_b": f"SELECT page_id, 'img_' || regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS chunk_id, '[Image: ' || name || ']' AS content, 576::BIGINT AS n_tokens, {_HASH.format(m='visual', ids='range(576)')} AS block_id FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages)",
     "model_spec": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ViT-L-14' WHEN 1 THEN 'hf-hub:org/' || source WHEN 2 THEN 'hf-hub:' || lang || '/' || source ELSE source END AS spec, CASE WHEN doc_id % 4 = 0 THEN 'openai' END AS pretrained FROM documents",
     "query_sample": "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 20",

@@ -206,3 +206,11 @@ def test_first_queries_fall_back(spark, tmp_path):
         assert [r["text"] for r in C.first_queries(load, "item_id", 2, own).collect()] == ["own"]
         with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE"):
             C.first_queries(load, "item_id", 2).collect()
+
+
+def test_every_page_is_an_image_chunk(spark, tmp_path):
+    rows = [(k, None if k == 1 else f"http://a/{k}", None if k == 2 else f"<title> t{k} </title>") for k in range(15)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    told = sorted((r["source"] or "", r["text"]) for r in corpus.image_chunks(spark, str(tmp_path)).collect())
+    blank = [k for k in range(15) if k % 3 == 0 or k == 2]
+    assert told == sorted(("" if k == 1 else f"http://a/{k}", f"Retrieved image from http://a/{k}" if k in blank else f"t{k}") for k in range(15))
