@@ -11,13 +11,17 @@ block that isn't in the tier at hand.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tessera.session import shuffle_partitions
 
 
 class Policy(Protocol):
@@ -173,24 +177,61 @@ def serve(cache: TieredCache, accesses: list[tuple[str, bool]]) -> Iterator[tupl
         yield outcome, [{"block_id": b, "tier": t, "dropped": d, "modality": "visual" if v else "text"} for b, t, d, v in evicted], len(cache.gpu), len(cache.cpu), len(cache.ssd), cache.touches.get(block, 0)
 
 
+#: Accesses that a task replays before it passes them on.
+TOLD = 5_000
+
+
+def told(batches: Iterable[pa.RecordBatch], made: Callable[[], TieredCache]) -> Iterator[pa.RecordBatch]:
+    """Accesses (columns of TRACE, then request, null where an access is one) that come by cache and in order, as served.
+
+    What is held: the cache at hand, one request, and TOLD accesses that are served.
+    """
+    schema = to_arrow_schema(TRACE)
+    out: list[tuple] = []
+    request: list[tuple] = []
+    cache = at = None
+
+    def serve_request() -> None:
+        served = serve(cache, [(row[2], row[3] == "visual") for row in request])
+        out.extend((*row[:4], *said) for row, said in zip(request, served, strict=True))
+        request.clear()
+
+    def passed_on() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if request and (row[0] != at or row[4] is None or row[4] != request[-1][4]):
+                serve_request()
+                if len(out) >= TOLD:
+                    yield passed_on()
+            if cache is None or row[0] != at:
+                cache, at = made(), row[0]
+            request.append(row)
+    if request:
+        serve_request()
+    if out:
+        yield passed_on()
+
+
 def replay(trace: DataFrame, gpu_blocks: int, cpu_blocks: int, ssd_blocks: int | None = None, policy: str | Callable[[], Policy] = "modality_aware_lru") -> DataFrame:
     """Outcome and evictions of each access of trace (cache_id, seq, block_id, modality, maybe request_id).
 
     A request's accesses are looked up together and its misses put afterwards; without request_id
-    every access is a request of its own. Requests follow each other by their first access. A
-    cache's accesses are a sequence by nature, so a fold a cache is the unit of work; the number of
-    caches is the parallelism.
+    every access is a request of its own. Requests follow each other by their first access, accesses
+    of one seq by their block. A cache's accesses are a sequence by nature, so the number of caches
+    is the parallelism; Spark sorts them, and they pass through a fold that holds a cache's blocks
+    and a request, not its accesses.
     """
-    make, whole = policy_of(policy), "request_id" in trace.columns
-    columns = ["cache_id", "seq", "block_id", "modality", *(["request_id"] if whole else [])]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        cache, out, requests = TieredCache(gpu_blocks, cpu_blocks, ssd_blocks, make()), [], {}
-        for k, row in enumerate(rows.sort_values("seq")[columns].itertuples(index=False)):
-            requests.setdefault(row[4] if whole else k, []).append(row)
-        for request in requests.values():
-            told = serve(cache, [(row[2], row[3] == "visual") for row in request])
-            out += [(*row[:4], *said) for row, said in zip(request, told, strict=True)]
-        return pd.DataFrame(out, columns=TRACE.names)
-
-    return trace.select(*columns).groupBy("cache_id").applyInPandas(fold, TRACE)
+    make = policy_of(policy)
+    rows = trace.repartition(shuffle_partitions(trace.sparkSession), "cache_id")
+    known = [F.col(c).cast(TRACE[c].dataType).alias(c) for c in ("cache_id", "seq", "block_id", "modality")]
+    if "request_id" in trace.columns:
+        first = F.min(F.struct("seq", "block_id")).over(Window.partitionBy("cache_id", "request_id"))
+        ordered = rows.select(*known, F.struct(first.alias("first"), "request_id").alias("request_")).sortWithinPartitions("cache_id", "request_", "seq", "block_id", "modality")
+        rows = ordered.select(*TRACE.names[:4], F.struct("request_.request_id").alias("request_"))
+    else:
+        rows = rows.select(*known, F.lit(None).cast("string").alias("request_")).sortWithinPartitions("cache_id", "seq", "block_id", "modality")
+    return rows.mapInArrow(lambda batches: told(batches, lambda: TieredCache(gpu_blocks, cpu_blocks, ssd_blocks, make())), TRACE)

@@ -2,10 +2,11 @@
 
 from collections import Counter, OrderedDict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.tiered_cache import PlainLru, TieredCache, policy_of, replay, serve
+from tessera.operators.tiered_cache import TOLD, PlainLru, TieredCache, policy_of, replay, serve, told
 from tessera.sources import tables as S
 
 
@@ -70,3 +71,31 @@ def test_trace_goldens(spark, sf, size, policy, wanted):
     assert {m: tuple(counts[m, t] for t in ("gpu", "cpu", "ssd", "miss")) for m in ("text", "visual")} == wanted
     if size == "0.01" and policy == "lru":
         assert told.agg(F.max("gpu_size")).first()[0] == 295
+
+
+def test_accesses_pass_through_the_fold():
+    taken = []
+
+    def batches():
+        for k in range(40):
+            taken.append(k)
+            yield pa.RecordBatch.from_pylist([{"c": k // 20, "s": i, "b": f"b{i % 7}", "m": "text", "r": {"id": i // 5}} for i in range(1000 * (k % 20), 1000 * (k % 20) + 1000)])
+
+    out, n = told(batches(), lambda: TieredCache(4, 6)), 0
+    for batch in out:
+        n += batch.num_rows
+        assert len(taken) * 1000 - n <= TOLD + 1000
+    assert n == 40_000
+
+
+def test_a_replay_holds_no_cache_whole(spark, sf):
+    for trace in (S.trace(spark, sf), S.trace(spark, sf).withColumn("request_id", F.lit(1))):
+        plan = replay(trace, 4, 6)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_requests_that_cross_follow_their_first_access(spark):
+    rows = [(0, 1, "a", "text", 9), (0, 2, "b", "text", 3), (0, 3, "b", "text", 9), (0, 4, "a", "text", 3), (0, 4, "c", "text", 3), (None, 1, "a", "text", 9)]
+    trace = spark.createDataFrame(rows, "cache_id long, seq long, block_id string, modality string, request_id long")
+    got = {(r["cache_id"], r["seq"], r["block_id"]): r["outcome"] for r in replay(trace, 4, 4).collect()}
+    assert got == {(0, 1, "a"): "miss", (0, 3, "b"): "miss", (0, 2, "b"): "gpu", (0, 4, "a"): "gpu", (0, 4, "c"): "miss", (None, 1, "a"): "miss"}
