@@ -30,48 +30,53 @@ def word_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     )
 
 
-#: Pieces that a task's dictionary holds before it is passed on.
-DICTIONARY_PIECES = 500_000
+#: Pieces that a task's dictionary holds before it is passed on, and tokens of a text that come to it in one row.
+DICTIONARY_PIECES = 100_000
+ROW_TOKENS = 64
 
 
 def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pieces of a part, which is a partition, with the least (key, index, pos) that each stands at, null keys first."""
+    """Distinct pieces of each part with the least (key, index, pos) that each stands at, null keys first; a piece may come more than once."""
     known: dict[str, tuple] = {}
-    part, schema = 0, None
+    part, schema = None, None
 
     def told() -> pa.RecordBatch:
         rank, keys, index, pos = zip(*known.values(), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.int32()), pa.array(known, pa.string()), pa.array([k if r else None for r, k in zip(rank, keys, strict=True)], schema.field("key_").type), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["part_", "piece", "key_", "index_", "pos"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, schema = batch.column("part_")[0].as_py(), batch.schema
-        order = pc.sort_indices(pa.Table.from_batches([batch]), [("key_", "ascending"), ("index_", "ascending")], null_placement="at_start")
-        lists = batch.column("pieces").take(order)
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        _, first = np.unique(codes, return_index=True)  # the first in this order
-        row = np.searchsorted(ends, first, side="right")
-        at = order.take(pa.array(row))
-        keys, index = (batch.column(c).take(at).to_pylist() for c in ("key_", "index_"))
-        blank = type(next((k for k in keys if k is not None), 0))()
-        places = zip([k is not None for k in keys], [blank if k is None else k for k in keys], index, (first - np.r_[0, ends[:-1]][row]).tolist(), strict=True)
-        for piece, place in zip(coded.dictionary.take(pa.array(codes[first])).to_pylist(), places, strict=True):
-            if piece not in known or place < known[piece]:
-                known[piece] = place
-        if len(known) >= DICTIONARY_PIECES:
-            yield told()
-            known.clear()
+        out = pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.int64()), pa.array(known, pa.string()), pa.array([k if r else None for r, k in zip(rank, keys, strict=True)], schema.field("key_").type), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["part_", "piece", "key_", "index_", "pos"])
+        known.clear()
+        return out
+
+    for whole in batches:
+        schema = whole.schema
+        for of in whole.column("part_").unique().to_pylist():
+            batch = whole.filter(pc.equal(whole.column("part_"), of))
+            if known and of != part:
+                yield told()
+            part = of
+            order = pc.sort_indices(pa.Table.from_batches([batch.select(["key_", "index_"])]), [("key_", "ascending"), ("index_", "ascending")], null_placement="at_start")
+            lists = batch.column("pieces").take(order)
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            _, first = np.unique(codes, return_index=True)  # the first in this order
+            row = np.searchsorted(ends, first, side="right")
+            at = order.take(pa.array(row))
+            keys, index = (batch.column(c).take(at).to_pylist() for c in ("key_", "index_"))
+            blank = type(next((k for k in keys if k is not None), 0))()
+            places = zip([k is not None for k in keys], [blank if k is None else k for k in keys], index, (first - np.r_[0, ends[:-1]][row]).tolist(), strict=True)
+            for piece, place in zip(coded.dictionary.take(pa.array(codes[first])).to_pylist(), places, strict=True):
+                if piece not in known or place < known[piece]:
+                    known[piece] = place
+                if len(known) >= DICTIONARY_PIECES:
+                    yield told()
     if known:
         yield told()
 
 
 def _dictionaries(pieces: DataFrame) -> DataFrame:
-    """part_, piece, and key_, index_ and pos of its first place, for each partition of pieces (part_, key_, index_, pieces)."""
+    """part_, piece, and key_, index_ and pos of its first place, for each part of pieces (part_, key_, index_, pieces)."""
     kind = pieces.schema["key_"].dataType
-    return pieces.mapInArrow(_dictionary, T.StructType([T.StructField("part_", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("key_", kind), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())]))
+    return pieces.mapInArrow(_dictionary, T.StructType([T.StructField("part_", T.LongType()), T.StructField("piece", T.StringType()), T.StructField("key_", kind), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())]))
 
 
 def _numbers(dictionaries: DataFrame) -> DataFrame:
@@ -83,9 +88,12 @@ def _numbers(dictionaries: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     """piece and token_id, numbered from 1 by first appearance in order of (key, position), null keys first.
 
-    Each partition makes a dictionary of its own; the dictionaries are merged to the first places.
+    Texts come in rows of few tokens, so a batch is small whatever its texts are. Each partition makes
+    dictionaries of its own, which are merged to the first places.
     """
-    return _numbers(_dictionaries(docs.select(F.col(key).alias("key_"), F.lit(0).cast("long").alias("index_"), X.tokens(text).alias("pieces"), F.lit(0).alias("part_"))))
+    tokens = docs.select(F.col(key).alias("key_"), X.tokens(text).alias("tokens_"))
+    rows = tokens.select("key_", F.posexplode(X.windows(F.col("tokens_"), ROW_TOKENS)).alias("index_", "pieces"), F.lit(0).cast("long").alias("part_"))
+    return _numbers(_dictionaries(rows.withColumn("index_", F.col("index_").cast("long"))))
 
 
 def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,24 @@ def test_every_page_is_an_image_chunk(spark, tmp_path):
     told = sorted((r["source"] or "", r["text"]) for r in corpus.image_chunks(spark, str(tmp_path)).collect())
     blank = [k for k in range(15) if k % 3 == 0 or k == 2]
     assert told == sorted(("" if k == 1 else f"http://a/{k}", f"Retrieved image from http://a/{k}" if k in blank else f"t{k}") for k in range(15))
+
+
+def test_a_dictionary_is_passed_on_within_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(C, "DICTIONARY_PIECES", 10)
+    rows = [{"key_": k, "index_": 0, "pieces": [f"p{i}" for i in range(k, k + 12)], "part_": k // 3} for k in range(6)]
+    told = list(C._dictionary([pa.RecordBatch.from_pylist(rows)]))
+    assert max(b.num_rows for b in told) <= 10 and all(len(set(b["part_"].to_pylist())) == 1 for b in told)
+    first = {}
+    for b in told:
+        for r in b.to_pylist():
+            place = (r["key_"], r["index_"], r["pos"])
+            first[r["part_"], r["piece"]] = min(place, first.get((r["part_"], r["piece"]), place))
+    assert first == {(part, f"p{i}"): (max(part * 3, i - 11), 0, i - max(part * 3, i - 11)) for part in (0, 1) for i in range(part * 3, part * 3 + 14)}
+
+
+def test_vocabulary_takes_a_long_text_in_short_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "_dictionaries", lambda pieces: seen.append(pieces.select(F.max(F.size("pieces"))).first()[0]) or pieces)
+    monkeypatch.setattr(C, "_numbers", lambda found: found)
+    C.vocabulary(spark.createDataFrame([(1, "a b c " * 1000)], "doc long, body string"), "doc", "body")
+    assert seen == [C.ROW_TOKENS]
