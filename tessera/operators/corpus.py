@@ -103,8 +103,9 @@ def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return tokens.select(key, F.posexplode(parts).alias("chunk_index", "pieces")).select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("pieces", " ").alias("content"), "pieces")
 
 
-#: Bytes of a part's texts, about, by the plan's own estimate.
+#: Bytes of a partition's texts, about, by the plan's own estimate; a part is so many chunks of a partition.
 PART_BYTES = 32 << 20
+PART_CHUNKS = 1 << 14
 
 
 def _numbered(chunks: pa.Table, words: pa.Table) -> pa.Table:
@@ -121,12 +122,13 @@ def _numbered(chunks: pa.Table, words: pa.Table) -> pa.Table:
 def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
     """key, chunk_index and token_ids of chunks (key, chunk_index, pieces).
 
-    Chunks are dealt to parts and written once. Each part makes a dictionary of its distinct pieces,
+    Chunks are dealt to partitions and written once, numbered; a part is PART_CHUNKS of a partition's
+    chunks in a row, whatever the partition holds. Each part makes a dictionary of its distinct pieces,
     which meets the vocabulary given, or that of all parts; then ids are put in by whole columns from
     the part's dictionary. So a common piece is looked up once a part, and no document is gathered.
     """
     parts = max(shuffle_partitions(chunks.sparkSession), planned_bytes(chunks) // PART_BYTES + 1)
-    dealt = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").repartition(parts, "key_", "index_").withColumn("part_", F.spark_partition_id()))
+    dealt = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").repartition(parts, "key_", "index_").withColumn("part_", F.floor(F.monotonically_increasing_id() / PART_CHUNKS)))
     words = _dictionaries(dealt)
     own = words.select("part_", "piece").join(_numbers(words) if vocab is None else vocab.select("piece", "token_id"), "piece")
     own = own.select(F.col("part_").alias("of_"), "piece", "token_id")

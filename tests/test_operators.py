@@ -236,3 +236,19 @@ def test_vocabulary_takes_a_long_text_in_short_rows(spark, monkeypatch):
     monkeypatch.setattr(C, "_numbers", lambda found: found)
     C.vocabulary(spark.createDataFrame([(1, "a b c " * 1000)], "doc long, body string"), "doc", "body")
     assert seen == [C.ROW_TOKENS]
+
+
+def test_ids_are_put_into_few_chunks_at_once(spark, monkeypatch):
+    number = C._numbered
+
+    def checked(chunks, words):
+        assert chunks.num_rows <= 3, chunks.num_rows
+        return number(chunks, words)
+
+    monkeypatch.setattr(C, "PART_CHUNKS", 3)
+    monkeypatch.setattr(C, "_numbered", checked)
+    docs = spark.range(40).select("id", F.expr("concat('a b c d w', id, ' x', id % 7)").alias("body"))
+    vocab = {r["piece"]: r["token_id"] for r in C.vocabulary(docs, "id", "body").collect()}
+    got = {(r["id"], r["chunk_index"]): r["token_ids"] for r in C.with_token_ids(C.token_chunks(docs, "id", "body", 2), "id").collect()}
+    words = {k: ["a", "b", "c", "d", f"w{k}", f"x{k % 7}"] for k in range(40)}
+    assert got == {(k, i): [vocab[w] for w in words[k][2 * i : 2 * i + 2]] for k in words for i in range(3)}
