@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from tessera.session import settings
 from tessera.sources import stores
 
 # Files that mark a saved dataset, and the keys of its listings.
@@ -31,6 +32,16 @@ SPLITS, FILES, NAME = "splits", "_data_files", "filename"
 SPLIT, ONLY = "split", "train"
 #: What a null split is saved as.
 UNNAMED = "unnamed"
+#: Rows that come to a writing task at once, and bytes of them that are parted by split and saved at once.
+BATCH_ROWS = 1024
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of SLICE_BYTES by the mean of its rows, or of a row."""
+    step = max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
 
 
 def is_dataset_dir(path: str) -> bool:
@@ -103,8 +114,8 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         open_: dict[str, tuple] = {}
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
+        for part in (part for batch in batches for part in _slices(batch)):
+            rows = pa.Table.from_batches([part])
             names = rows[SPLIT].fill_null(UNNAMED)
             rest = rows.drop_columns([SPLIT])
             for name in names.unique().to_pylist():
@@ -172,5 +183,6 @@ def write_dataset(df: DataFrame, path: str, force: bool = False) -> bool:
     if not (force or stores.is_empty(path)):
         return False
     df.sparkSession.dataSource.register(DatasetDirSource)
-    df.withColumn(SPLIT, F.col(SPLIT).cast("string")).write.format("dataset_dir").mode("append").save(path)
+    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        df.withColumn(SPLIT, F.col(SPLIT).cast("string")).write.format("dataset_dir").mode("append").save(path)
     return True

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.sources import dataset_dir
 from tessera.sources.dataset_dir import is_dataset_dir, read_dataset, shards, write_dataset
 from tessera.sources.image_sink import read_images, write_images
 
@@ -75,3 +76,15 @@ def test_images_are_written_once(spark, tmp_path):
     assert {n: os.stat(f"{path}/{n}").st_mtime_ns for n in times} == times
     assert sorted((r["file_name"], bytes(r["image"])) for r in read_images(spark, path).collect()) == [("a.png", b"9"), ("b.png", b"2"), ("d.png", b"4x")]
     assert write_images(images.limit(0), path) == (0, 0)
+
+
+def test_a_shard_is_saved_in_small_batches(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    df = spark.range(3000).select("id", F.lit("en").alias("split")).coalesce(1)
+    assert write_dataset(df, path)
+    with pa.ipc.open_stream(shards(path)[0].path) as told:
+        sizes = [b.num_rows for b in told]
+    assert sum(sizes) == 3000 and max(sizes) <= dataset_dir.BATCH_ROWS
+    monkeypatch.setattr(dataset_dir, "SLICE_BYTES", 100)
+    batch = pa.RecordBatch.from_pylist([{"text": "x" * 60}] * 9)
+    assert [p.num_rows for p in dataset_dir._slices(batch)] == [1] * 9 and list(dataset_dir._slices(batch.slice(0, 0))) == []
