@@ -10,7 +10,7 @@ from tessera.operators import corpus as C
 from tessera.session import cut, shared_folder, table
 from tessera.sources import tables as S
 from tessera.sources.dataset_dir import read_dataset, write_dataset
-from tessera.sources.image_sink import read_images, write_images
+from tessera.sources.image_sink import many_files, read_images, write_images
 
 WINDOW = 64
 TEXT_NAMES = ("markdown", "text", "content", "query", "answer")
@@ -60,7 +60,8 @@ def image_sink(spark, sf_dir: str) -> DataFrame:
     images = docs.select(X.image_file_name(F.col("doc_id"), F.col("page")).alias("file_name"), "image")
     with shared_folder(spark, "images") as path:
         first, second = (write_images(images, path)[0] for _ in range(2))
-        return cut(read_images(spark, path).select("file_name", F.sha2("image", 256).alias("image_sha256"), F.lit(first).cast("long").alias("made_first"), F.lit(second).cast("long").alias("made_second")))
+        with many_files(spark):
+            return cut(read_images(spark, path).select("file_name", F.sha2("image", 256).alias("image_sha256"), F.lit(first).cast("long").alias("made_first"), F.lit(second).cast("long").alias("made_second")))
 
 
 def image_file_name(spark, sf_dir: str) -> DataFrame:

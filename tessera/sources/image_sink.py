@@ -9,18 +9,26 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from tessera.session import settings
 from tessera.sources import stores
 
 #: Told in it, under a hidden name: files that a write made and found.
 REPORT = ".written-"
+#: Images that come to a writing task at once, and files that it writes at once, as it mostly waits for the store.
+BATCH_ROWS = 1024
+AT_ONCE = 8
+#: Bytes that opening a file counts as when files are read: some 2,000 small ones make a task, by Spark's default 32.
+OPEN_COST = 64 << 10
 
 
 @dataclass(frozen=True)
@@ -35,13 +43,20 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Stored:
         made = found = 0
-        for batch in batches:
-            for name, image in zip(batch.column("file_name").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                if stores.exists(f"{self.path}/{name}"):
-                    found += 1
-                else:
-                    stores.put_whole(f"{self.path}/{name}", image)
-                    made += 1
+        store, folder = stores.store_of(self.path)
+        store.create_dir(folder, recursive=True)
+
+        def put(name: pa.StringScalar, image: pa.BinaryScalar) -> bool:
+            file = f"{folder}/{name.as_py()}"
+            if store.get_file_info(file).type == fs.FileType.File:
+                return False
+            stores.put_hidden(store, file, image.as_buffer())
+            return True
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for batch in batches:
+                new = sum(pool.map(put, batch.column("file_name"), batch.column("image")))
+                made, found = made + new, found + batch.num_rows - new
         return Stored(made, found)
 
     def commit(self, messages: list[Stored | None]) -> None:
@@ -76,13 +91,19 @@ def write_images(images: DataFrame, path: str, order: str | Column | None = None
     there = images.where("image is not null and file_name is not null")
     chosen = there.groupBy("file_name").agg(F.min_by("image", by).alias("image"))
     report = f"{REPORT}{uuid.uuid4().hex}"
-    chosen.write.format("image_sink").option("report", report).mode("append").save(path)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        chosen.write.format("image_sink").option("report", report).mode("append").save(path)
     told = json.loads(stores.read_bytes(f"{path}/{report}"))
     stores.remove(f"{path}/{report}")
     return told["made"], told["found"]
 
 
+def many_files(spark: SparkSession):
+    """Plans that run inside read many small files in a task."""
+    return settings(spark, spark__sql__files__openCostInBytes=str(OPEN_COST))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """file_name and image of the files of a folder."""
+    """file_name and image of the files of a folder; run it inside many_files() where they are small."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), F.col("content").alias("image"))

@@ -6,6 +6,7 @@ import os
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -37,9 +38,14 @@ def open_new(path: str):
 def put_whole(path: str, data: bytes) -> None:
     """Write a file under a hidden name first, so that nobody ever sees a part of it."""
     store, inside = store_of(path)
+    store.create_dir(os.path.dirname(inside), recursive=True)
+    put_hidden(store, inside, data)
+
+
+def put_hidden(store: fs.FileSystem, inside: str, data: bytes | pa.Buffer) -> None:
+    """The same for a path inside a store, whose folder is there."""
     folder, name = os.path.split(inside)
     hidden = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    store.create_dir(folder, recursive=True)
     with store.open_output_stream(hidden) as f:
         f.write(data)
     store.move(hidden, inside)

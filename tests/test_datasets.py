@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import dataset_dir
 from tessera.sources.dataset_dir import is_dataset_dir, read_dataset, shards, write_dataset
-from tessera.sources.image_sink import read_images, write_images
+from tessera.sources.image_sink import OPEN_COST, many_files, read_images, write_images
 
 
 def saved(folder, *tables):
@@ -88,3 +88,14 @@ def test_a_shard_is_saved_in_small_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(dataset_dir, "SLICE_BYTES", 100)
     batch = pa.RecordBatch.from_pylist([{"text": "x" * 60}] * 9)
     assert [p.num_rows for p in dataset_dir._slices(batch)] == [1] * 9 and list(dataset_dir._slices(batch.slice(0, 0))) == []
+
+
+def test_many_images_are_read_in_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "images")
+    images = spark.range(300).select(F.format_string("%d.png", "id").alias("file_name"), F.col("id").cast("string").cast("binary").alias("image"))
+    assert write_images(images, path) == (300, 0) and write_images(images, path) == (0, 300)
+    with many_files(spark):
+        read = read_images(spark, path)
+        assert read.rdd.getNumPartitions() <= 6
+        assert sorted((r["file_name"], bytes(r["image"])) for r in read.collect()) == sorted((f"{k}.png", str(k).encode()) for k in range(300))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(OPEN_COST) and not [n for n in os.listdir(path) if n.startswith(".") and n.endswith(".png")]
