@@ -10,7 +10,7 @@ from tessera.operators import corpus as C
 from tessera.session import cut, shared_folder, table
 from tessera.sources import tables as S
 from tessera.sources.dataset_dir import read_dataset, write_dataset
-from tessera.sources.image_sink import many_files, read_images, write_images
+from tessera.sources.image_sink import read_images, write_images
 
 WINDOW = 64
 TEXT_NAMES = ("markdown", "text", "content", "query", "answer")
@@ -56,12 +56,14 @@ def dataset_dir(spark, sf_dir: str) -> DataFrame:
 
 def image_sink(spark, sf_dir: str) -> DataFrame:
     """Images of records, here their texts' bytes and null for some, written twice; the files that are there, and how many each write made."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.pmod("doc_id", F.lit(11))).alias("page"), F.when(F.pmod("doc_id", F.lit(5)) != 0, F.col("text").cast("binary")).alias("image"))
+    key = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(key.cast("string").alias("doc_id"), F.when(key % 3 == 0, key % 11).alias("page"), F.when(key % 5 != 0, F.col("text").cast("binary")).alias("image"))
     images = docs.select(X.image_file_name(F.col("doc_id"), F.col("page")).alias("file_name"), "image")
+    names = images.select("file_name")  # those without an image, too, which must not be there
     with shared_folder(spark, "images") as path:
         first, second = (write_images(images, path)[0] for _ in range(2))
-        with many_files(spark):
-            return cut(read_images(spark, path).select("file_name", F.sha2("image", 256).alias("image_sha256"), F.lit(first).cast("long").alias("made_first"), F.lit(second).cast("long").alias("made_second")))
+        read = read_images(spark, path, names).select("file_name", F.sha2("image", 256).alias("image_sha256"), F.lit(first).cast("long").alias("made_first"), F.lit(second).cast("long").alias("made_second"))
+        return cut(read)
 
 
 def image_file_name(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -57,6 +58,21 @@ def children(path: str) -> list[str]:
     return sorted(x.base_name for x in store.get_file_info(fs.FileSelector(inside)))
 
 
+def file_names(path: str) -> Iterator[str]:
+    """Names of the files in a folder in no order; those of a local one come as they are read."""
+    store, inside = store_of(path)
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(inside) as found:
+            yield from (x.name for x in found if x.is_file())
+    else:
+        yield from (x.base_name for x in store.get_file_info(fs.FileSelector(inside)) if x.type == fs.FileType.File)
+
+
+def is_missing(path: str) -> bool:
+    store, inside = store_of(path)
+    return store.get_file_info(inside).type == fs.FileType.NotFound
+
+
 def remove(path: str) -> None:
     store, inside = store_of(path)
     store.delete_file(inside)

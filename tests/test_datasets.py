@@ -3,10 +3,12 @@
 import json
 import os
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import corpus
 from tessera.sources import dataset_dir
 from tessera.sources.dataset_dir import is_dataset_dir, read_dataset, shards, write_dataset
 from tessera.sources.image_sink import OPEN_COST, many_files, read_images, write_images
@@ -99,3 +101,28 @@ def test_many_images_are_read_in_few_tasks(spark, tmp_path):
         assert read.rdd.getNumPartitions() <= 6
         assert sorted((r["file_name"], bytes(r["image"])) for r in read.collect()) == sorted((f"{k}.png", str(k).encode()) for k in range(300))
     assert spark.conf.get("spark.sql.files.openCostInBytes") != str(OPEN_COST) and not [n for n in os.listdir(path) if n.startswith(".") and n.endswith(".png")]
+
+
+def test_images_of_odd_documents_equal_their_sql(spark, tmp_path):
+    """Texts of no bytes make files that are read back; ids below zero have pages below zero."""
+    rows = [(1, ""), (2, "b"), (3, None), (-3, "n"), (-12, ""), (-10, "five"), (None, "x"), (9, "p")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in corpus.image_sink(spark, str(tmp_path)).collect()]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(got) == sorted(con.execute(corpus.ORACLES["image_sink"]).fetchall()) and len(got) == 5
+
+
+def test_images_of_a_failed_attempt_count_as_made(spark, tmp_path):
+    """While a write runs, a file appears as one that an earlier attempt of its task made."""
+    path = str(tmp_path / "images")
+
+    @F.udf("binary")
+    def attempted(name):
+        os.makedirs(path, exist_ok=True)
+        with open(f"{path}/{name}", "wb") as f:
+            f.write(b"1")
+        return b"1"
+
+    images = spark.createDataFrame([("a.png",), ("b.png",)], "file_name string").withColumn("image", attempted("file_name"))
+    assert write_images(images, path) == (2, 0) and write_images(images, path) == (0, 2)
