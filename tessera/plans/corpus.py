@@ -10,7 +10,7 @@ from tessera.operators import corpus as C
 from tessera.session import cut, shared_folder, table
 from tessera.sources import tables as S
 from tessera.sources.dataset_dir import read_dataset, write_dataset
-from tessera.sources.image_sink import read_images, write_images
+from tessera.sources.image_sink import read_images, remove_images, write_images
 
 WINDOW = 64
 TEXT_NAMES = ("markdown", "text", "content", "query", "answer")
@@ -63,7 +63,9 @@ def image_sink(spark, sf_dir: str) -> DataFrame:
     with shared_folder(spark, "images") as path:
         first, second = (write_images(images, path)[0] for _ in range(2))
         read = read_images(spark, path, names).select("file_name", F.sha2("image", 256).alias("image_sha256"), F.lit(first).cast("long").alias("made_first"), F.lit(second).cast("long").alias("made_second"))
-        return cut(read)
+        found = cut(read)
+        remove_images(names, path)  # a folder of many files would be listed in the driver to go
+        return found
 
 
 def image_file_name(spark, sf_dir: str) -> DataFrame:

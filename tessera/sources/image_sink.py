@@ -45,6 +45,14 @@ def _is_there(store: fs.FileSystem, file: str) -> bool:
     return store.get_file_info(file).type == fs.FileType.File
 
 
+def _remove(store: fs.FileSystem, file: str) -> bool:
+    try:
+        store.delete_file(file)
+    except FileNotFoundError:
+        return False
+    return True
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, report: str) -> None:
         self.path, self.report = path, report
@@ -166,3 +174,8 @@ def read_images(spark: SparkSession, path: str, names: DataFrame | None = None)
                     yield pa.RecordBatch.from_arrays([some, images], names=["file_name", "image"]).filter(images.is_valid())
 
     return _named(_listed(spark, path) if names is None else names).mapInArrow(read, "file_name string, image binary")
+
+
+def remove_images(names: DataFrame, path: str) -> int:
+    """Remove the files of names (file_name) from a folder in tasks; how many were there."""
+    return _asked(names, path, _remove).agg(F.count_if("yes")).first()[0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.plans import corpus
 from tessera.sources import dataset_dir
 from tessera.sources.dataset_dir import is_dataset_dir, read_dataset, shards, write_dataset
-from tessera.sources.image_sink import OPEN_COST, many_files, read_images, write_images
+from tessera.sources.image_sink import OPEN_COST, many_files, read_images, remove_images, write_images
 
 
 def saved(folder, *tables):
@@ -126,3 +126,15 @@ def test_images_of_a_failed_attempt_count_as_made(spark, tmp_path):
 
     images = spark.createDataFrame([("a.png",), ("b.png",)], "file_name string").withColumn("image", attempted("file_name"))
     assert write_images(images, path) == (2, 0) and write_images(images, path) == (0, 2)
+
+
+def test_images_are_read_and_removed_by_their_names(spark, tmp_path):
+    path = str(tmp_path / "images")
+    images = spark.createDataFrame([("a.png", b""), ("b.png", b"2"), ("c.png", b"3")], "file_name string, image binary")
+    assert write_images(images, path) == (3, 0)
+    (tmp_path / "images/.hidden.png").write_bytes(b"x")
+    names = spark.createDataFrame([("a.png",), ("c.png",), ("c.png",), ("none.png",), (None,)], "file_name string")
+    for read, told in ((read_images(spark, path, names), [("a.png", b""), ("c.png", b"3")]), (read_images(spark, path), [("a.png", b""), ("b.png", b"2"), ("c.png", b"3")])):
+        assert read.inputFiles() == []  # none was listed to plan it
+        assert sorted((r["file_name"], bytes(r["image"])) for r in read.collect()) == told
+    assert remove_images(names, path) == 2 and sorted(os.listdir(path)) == [".hidden.png", "b.png"]
