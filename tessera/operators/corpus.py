@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators.ranking import ordered_rank
-from tessera.session import cut, planned_bytes, shuffle_partitions
+from tessera.session import cut, shuffle_partitions
 
 
 def word_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -35,14 +36,29 @@ DICTIONARY_PIECES = 100_000
 ROW_TOKENS = 64
 
 
+def _coded(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, list[str], list[tuple]]:
+    """A batch (key_, index_, pieces) in order, null keys first; codes of its pieces, and the piece and first place of each code."""
+    order = pc.sort_indices(pa.Table.from_batches([batch.select(["key_", "index_"])]), [("key_", "ascending"), ("index_", "ascending")], null_placement="at_start")
+    batch = batch.take(order)
+    lists = batch.column("pieces")
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    known, first = np.unique(codes, return_index=True)  # the first in this order
+    row = np.searchsorted(ends, first, side="right")
+    keys, index = (batch.column(c).take(pa.array(row)).to_pylist() for c in ("key_", "index_"))
+    places = zip([k is not None for k in keys], keys, index, (first - np.r_[0, ends[:-1]][row]).tolist(), strict=True)
+    return batch, codes, coded.dictionary.take(pa.array(known)).to_pylist(), list(places)
+
+
 def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct pieces of each part with the least (key, index, pos) that each stands at, null keys first; a piece may come more than once."""
     known: dict[str, tuple] = {}
     part, schema = None, None
 
     def told() -> pa.RecordBatch:
-        rank, keys, index, pos = zip(*known.values(), strict=True)
-        out = pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.int64()), pa.array(known, pa.string()), pa.array([k if r else None for r, k in zip(rank, keys, strict=True)], schema.field("key_").type), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["part_", "piece", "key_", "index_", "pos"])
+        _, keys, index, pos = zip(*known.values(), strict=True)
+        out = pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.int64()), pa.array(known, pa.string()), pa.array(keys, schema.field("key_").type), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["part_", "piece", "key_", "index_", "pos"])
         known.clear()
         return out
 
@@ -53,18 +69,8 @@ def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if known and of != part:
                 yield told()
             part = of
-            order = pc.sort_indices(pa.Table.from_batches([batch.select(["key_", "index_"])]), [("key_", "ascending"), ("index_", "ascending")], null_placement="at_start")
-            lists = batch.column("pieces").take(order)
-            coded = lists.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy()
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            _, first = np.unique(codes, return_index=True)  # the first in this order
-            row = np.searchsorted(ends, first, side="right")
-            at = order.take(pa.array(row))
-            keys, index = (batch.column(c).take(at).to_pylist() for c in ("key_", "index_"))
-            blank = type(next((k for k in keys if k is not None), 0))()
-            places = zip([k is not None for k in keys], [blank if k is None else k for k in keys], index, (first - np.r_[0, ends[:-1]][row]).tolist(), strict=True)
-            for piece, place in zip(coded.dictionary.take(pa.array(codes[first])).to_pylist(), places, strict=True):
+            _, _, pieces, places = _coded(batch)
+            for piece, place in zip(pieces, places, strict=True):
                 if piece not in known or place < known[piece]:
                     known[piece] = place
                 if len(known) >= DICTIONARY_PIECES:
@@ -103,36 +109,94 @@ def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return tokens.select(key, F.posexplode(parts).alias("chunk_index", "pieces")).select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("pieces", " ").alias("content"), "pieces")
 
 
-#: Bytes of a partition's texts, about, by the plan's own estimate; a part is so many chunks of a partition.
-PART_BYTES = 32 << 20
+#: Chunks of a partition that make a part, unless their pieces fill a dictionary before.
 PART_CHUNKS = 1 << 14
+#: Chunks that are coded at once, so few pieces come to a dictionary before it is seen to be full.
+CODED_CHUNKS = 1 << 11
+
+
+def _parted(chunks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parts of at most so many chunks (key_, index_, pieces), a row each: its chunks' pieces as packed codes, and its words by code."""
+
+    def parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        known: dict[str, int] = {}
+        first: list[tuple] = []
+        held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]] = []  # keys and places, sizes, codes
+
+        def told() -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches([b for b, _, _ in held])
+            sizes = pa.concat_arrays([s for _, s, _ in held])
+            codes = pa.compress(np.concatenate([c for _, _, c in held]).tobytes(), codec="zstd", asbytes=True)
+            _, keys, index, pos = zip(*first, strict=True) if first else ((),) * 4
+            kind = rows.schema.field("key_").type
+            words = pa.StructArray.from_arrays([pa.array(known, pa.string()), pa.array(keys, kind), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["piece", "key_", "index_", "pos"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            lists = [one(pa.concat_arrays(rows[c].chunks)) for c in ("key_", "index_")]
+            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, one(sizes), pa.array([codes], pa.binary()), one(words)], names=["part_", "keys", "indexes", "sizes", "codes", "words"])
+            number += 1
+            for x in (known, first, held):
+                x.clear()
+            return out
+
+        n = 0
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                batch, codes, pieces, places = _coded(whole.slice(at, min(chunks - n, CODED_CHUNKS)))
+                at, n = at + batch.num_rows, n + batch.num_rows
+                for piece, place in zip(pieces, places, strict=True):
+                    code = known.setdefault(piece, len(known))
+                    if code == len(first):
+                        first.append(place)
+                    elif place < first[code]:
+                        first[code] = place
+                sizes = pc.fill_null(pc.list_value_length(batch.column("pieces")), 0)
+                held.append((batch.select(["key_", "index_"]), sizes, np.array([known[p] for p in pieces], np.int32)[codes]))
+                if n >= chunks or len(known) >= DICTIONARY_PIECES:
+                    yield told()
+                    n = 0
+        if held:
+            yield told()
+
+    return parted
 
 
 def _numbered(chunks: pa.Table, words: pa.Table) -> pa.Table:
-    """A part's chunks with the ids of their pieces, looked up in the part's own dictionary."""
-    if not chunks.num_rows:
-        return chunks.select(["key_", "index_"]).append_column("token_ids", pa.array([], pa.list_(pa.int64())))
-    pieces = chunks["pieces"].combine_chunks()
-    place = pc.index_in(pieces.flatten(), value_set=words["piece"].combine_chunks())
-    ids = words["token_id"].combine_chunks().take(place)
-    ends = pa.array(np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))], pa.int32())
-    return chunks.select(["key_", "index_"]).append_column("token_ids", pa.ListArray.from_arrays(ends, ids))
+    """A part's chunks with the ids of their pieces, looked up by code in the part's own words."""
+    names = ["key_", "index_", "token_ids"]
+    made = []
+    for part in chunks.to_batches():
+        keys, index, sizes = (part.column(c).flatten() for c in ("keys", "indexes", "sizes"))
+        ends = np.r_[0, np.cumsum(sizes.to_numpy(zero_copy_only=False))]
+        packed = part.column("codes")[0].as_buffer()
+        codes = np.frombuffer(pa.decompress(packed, decompressed_size=int(ends[-1]) * 4, codec="zstd"), np.int32)
+        by_code = pc.index_in(pa.array(np.arange(codes.max(initial=-1) + 1), pa.int32()), value_set=words["code"].combine_chunks())
+        ids = words["token_id"].combine_chunks().take(by_code).take(pa.array(codes))
+        made.append(pa.RecordBatch.from_arrays([keys, index, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=names))
+    key = chunks.schema.field("keys").type.value_type
+    return pa.Table.from_batches(made, pa.schema(list(zip(names, (key, pa.int64(), pa.list_(pa.int64())), strict=True))))
 
 
 def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
     """key, chunk_index and token_ids of chunks (key, chunk_index, pieces).
 
-    Chunks are dealt to partitions and written once, numbered; a part is PART_CHUNKS of a partition's
-    chunks in a row, whatever the partition holds. Each part makes a dictionary of its distinct pieces,
-    which meets the vocabulary given, or that of all parts; then ids are put in by whole columns from
-    the part's dictionary. So a common piece is looked up once a part, and no document is gathered.
+    Chunks are written once, where they are made, as parts: a part is a row with PART_CHUNKS of a
+    partition's chunks, the pieces as codes of the part's own dictionary, so it takes less room than the
+    texts. The dictionaries meet the vocabulary given, or that of all parts; then ids are put in by whole
+    columns from the part's dictionary. So a common piece is looked up once a part, no text is shuffled
+    and no document is gathered.
     """
-    parts = max(shuffle_partitions(chunks.sparkSession), planned_bytes(chunks) // PART_BYTES + 1)
-    dealt = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").repartition(parts, "key_", "index_").withColumn("part_", F.floor(F.monotonically_increasing_id() / PART_CHUNKS)))
-    words = _dictionaries(dealt)
-    own = words.select("part_", "piece").join(_numbers(words) if vocab is None else vocab.select("piece", "token_id"), "piece")
-    own = own.select(F.col("part_").alias("of_"), "piece", "token_id")
-    kind = T.StructType([T.StructField("key_", chunks.schema[key].dataType), T.StructField("index_", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
+    of = chunks.schema[key].dataType
+    word = T.StructType([T.StructField("piece", T.StringType()), T.StructField("key_", of), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())])
+    kind = T.StructType([T.StructField("part_", T.LongType()), T.StructField("keys", T.ArrayType(of)), T.StructField("indexes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(word))])
+    parts = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").mapInArrow(_parted(PART_CHUNKS), kind))
+    words = parts.select("part_", F.posexplode("words").alias("code", "word_")).select("part_", "code", "word_.*")
+    own = words.select("part_", "code", "piece").join(_numbers(words) if vocab is None else vocab.select("piece", "token_id"), "piece")
+    own = own.select(F.col("part_").alias("of_"), "code", F.col("token_id").cast("long").alias("token_id"))
+    kind = T.StructType([T.StructField("key_", of), T.StructField("index_", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
+    dealt = parts.drop("words").repartition(shuffle_partitions(chunks.sparkSession), "part_")  # few bytes, but much to do
     found = dealt.groupBy("part_").cogroup(own.groupBy("of_")).applyInArrow(_numbered, kind)
     return found.withColumnsRenamed({"key_": key, "index_": "chunk_index"})
 

@@ -252,3 +252,26 @@ def test_ids_are_put_into_few_chunks_at_once(spark, monkeypatch):
     got = {(r["id"], r["chunk_index"]): r["token_ids"] for r in C.with_token_ids(C.token_chunks(docs, "id", "body", 2), "id").collect()}
     words = {k: ["a", "b", "c", "d", f"w{k}", f"x{k % 7}"] for k in range(40)}
     assert got == {(k, i): [vocab[w] for w in words[k][2 * i : 2 * i + 2]] for k in words for i in range(3)}
+
+
+def test_numbered_chunks_are_kept_in_less_room_than_their_texts(spark, monkeypatch):
+    """What is written between the two readings of the pieces; with parts of many chunks and of few, and keys that are null."""
+    sizes, cut = [], C.cut
+
+    def weighed(df):
+        out = cut(df)
+        shown = (F.length(c) if kind == "binary" else F.length(F.to_json(F.struct(c))) for c, kind in out.dtypes)
+        sizes.append(out.select(F.sum(sum(shown, F.lit(0)))).first()[0])
+        return out
+
+    monkeypatch.setattr(C, "cut", weighed)
+    docs = spark.range(400).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.expr("repeat(concat('letters and words of w', id % 9, ' again '), 64)").alias("body"))
+    chunks = C.token_chunks(docs, "id", "body", 64)
+    vocab = {r["piece"]: r["token_id"] for r in C.vocabulary(docs, "id", "body").collect()}
+    wanted = {(r["id"], r["chunk_index"]): [vocab[p] for p in r["pieces"]] for r in chunks.collect()}
+    for most in (1 << 14, 7):
+        monkeypatch.setattr(C, "PART_CHUNKS", most)
+        got = C.with_token_ids(chunks, "id").collect()
+        assert len(got) == len(wanted) and {(r["id"], r["chunk_index"]): r["token_ids"] for r in got} == wanted
+    texts = docs.select(F.sum(F.length("body"))).first()[0]
+    assert sizes[0] < texts / 4, (sizes, texts)
