@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators.ranking import ordered_rank
-from tessera.session import cut, shuffle_partitions
+from tessera.session import cut, freed_shuffles, shuffle_partitions
 
 
 def word_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -113,10 +113,12 @@ def token_chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 PART_CHUNKS = 1 << 14
 #: Chunks that are coded at once, so few pieces come to a dictionary before it is seen to be full.
 CODED_CHUNKS = 1 << 11
+#: Words of a part that are unpacked into one batch.
+BATCH_WORDS = 1 << 14
 
 
 def _parted(chunks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Parts of at most so many chunks (key_, index_, pieces), a row each: its chunks' pieces as packed codes, and its words by code."""
+    """Parts of at most so many chunks (key_, index_, pieces), a row each: its chunks' pieces as packed codes, and its packed words by code."""
 
     def parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -131,10 +133,13 @@ def _parted(chunks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
             codes = pa.compress(np.concatenate([c for _, _, c in held]).tobytes(), codec="zstd", asbytes=True)
             _, keys, index, pos = zip(*first, strict=True) if first else ((),) * 4
             kind = rows.schema.field("key_").type
-            words = pa.StructArray.from_arrays([pa.array(known, pa.string()), pa.array(keys, kind), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["piece", "key_", "index_", "pos"])
+            words = pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array(keys, kind), pa.array(index, pa.int64()), pa.array(pos, pa.int64())], names=["piece", "key_", "index_", "pos"])
+            packed = pa.BufferOutputStream()
+            with pa.ipc.new_stream(packed, words.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(words)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             lists = [one(pa.concat_arrays(rows[c].chunks)) for c in ("key_", "index_")]
-            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, one(sizes), pa.array([codes], pa.binary()), one(words)], names=["part_", "keys", "indexes", "sizes", "codes", "words"])
+            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, one(sizes), pa.array([codes], pa.binary()), pa.array([packed.getvalue().to_pybytes()], pa.binary())], names=["part_", "keys", "indexes", "sizes", "codes", "words"])
             number += 1
             for x in (known, first, held):
                 x.clear()
@@ -163,6 +168,17 @@ def _parted(chunks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
     return parted
 
 
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part_, code, piece and its first place in the part, of parts (part_, words)."""
+    for batch in batches:
+        for part, packed in zip(batch.column("part_"), batch.column("words"), strict=True):
+            with pa.ipc.open_stream(packed.as_buffer()) as stream:
+                words = stream.read_all()
+            codes = pa.array(np.arange(words.num_rows), pa.int32())
+            for some in words.add_column(0, "code", codes).add_column(0, "part_", pa.repeat(part, words.num_rows)).to_batches(BATCH_WORDS):
+                yield some
+
+
 def _numbered(chunks: pa.Table, words: pa.Table) -> pa.Table:
     """A part's chunks with the ids of their pieces, looked up by code in the part's own words."""
     names = ["key_", "index_", "token_ids"]
@@ -189,11 +205,14 @@ def with_token_ids(chunks: DataFrame, key: str, vocab: DataFrame | None = None)
     and no document is gathered.
     """
     of = chunks.schema[key].dataType
-    word = T.StructType([T.StructField("piece", T.StringType()), T.StructField("key_", of), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())])
-    kind = T.StructType([T.StructField("part_", T.LongType()), T.StructField("keys", T.ArrayType(of)), T.StructField("indexes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(word))])
+    word = T.StructType([T.StructField("part_", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("key_", of), T.StructField("index_", T.LongType()), T.StructField("pos", T.LongType())])
+    kind = T.StructType([T.StructField("part_", T.LongType()), T.StructField("keys", T.ArrayType(of)), T.StructField("indexes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType())])
     parts = cut(chunks.select(F.col(key).alias("key_"), F.col("chunk_index").cast("long").alias("index_"), "pieces").mapInArrow(_parted(PART_CHUNKS), kind))
-    words = parts.select("part_", F.posexplode("words").alias("code", "word_")).select("part_", "code", "word_.*")
-    own = words.select("part_", "code", "piece").join(_numbers(words) if vocab is None else vocab.select("piece", "token_id"), "piece")
+    words = parts.select("part_", "words").mapInArrow(_words, word)
+    if vocab is None:
+        with freed_shuffles(chunks.sparkSession):
+            vocab = _numbers(words)
+    own = words.select("part_", "code", "piece").join(vocab.select("piece", "token_id"), "piece")
     own = own.select(F.col("part_").alias("of_"), "code", F.col("token_id").cast("long").alias("token_id"))
     kind = T.StructType([T.StructField("key_", of), T.StructField("index_", T.LongType()), T.StructField("token_ids", T.ArrayType(T.LongType()))])
     dealt = parts.drop("words").repartition(shuffle_partitions(chunks.sparkSession), "part_")  # few bytes, but much to do
